@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash, token_counts
+from . import digest, language_id, mixing, packing, quality, simhash, token_counts
+from .common import fold
 from .paths import tokenizer
 
 
@@ -16,6 +17,23 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir), tokenizer("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = language_id.fit(docs, fold("doc_id", 3) != 1, sample=2400)
+    said = language_id.predict(docs, model)
+    return said.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 3) != 1, sample=2000)
+    return quality.predict(docs, net).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(_docs(spark, sf_dir))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), tokenizer("word_bpe_49k.json"), capacity=2048, end_id=0)
 
@@ -28,7 +46,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir), weights=(1, 2, 3), most=3.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op7_best_fit_packing, op8_simhash_near_dedup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_language_id, op6_quality_classifier, op7_best_fit_packing, op8_simhash_near_dedup, op9_source_mixing, op10_document_fingerprints)}
 
 #: Queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {}
