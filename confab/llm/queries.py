@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, language_id, mixing, ngram_lm, packing, quality, simhash, token_counts
+from . import digest, language_id, line_dedup, mixing, ngram_lm, packing, quality, simhash, token_counts
 from .common import fold
 from .paths import tokenizer
 
@@ -24,6 +24,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.withColumn("held_out", fold("doc_id", 5) == 1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.duplicate_lines(_docs(spark, sf_dir), edits=2, min_chars=24)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     model = language_id.fit(docs, fold("doc_id", 3) != 1, sample=2400)
@@ -53,7 +57,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir), weights=(1, 2, 3), most=3.0)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op4_language_id, op6_quality_classifier, op7_best_fit_packing, op8_simhash_near_dedup, op9_source_mixing, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_lm_scoring, op3_line_dedup, op4_language_id, op6_quality_classifier, op7_best_fit_packing, op8_simhash_near_dedup, op9_source_mixing, op10_document_fingerprints)}
 
 #: Queries that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {}
