@@ -218,3 +218,19 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (), i
     return by_text(docs, columns, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", lang_pred string, score double", make, text_col)
 
 
+
+
+def select_rows(docs: DataFrame, model: LanguageModel, least: float = 0.0, text_col: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns, that aren't `und` and whose prediction scores least or more. A model without
+    classes can't tell languages and keeps every row whose text has a letter."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            keep = []
+            for x in batch.column(at).to_pylist():
+                lang, score = model.predict(x or "")
+                keep.append(lang != UNDETERMINED and score >= least if model.classes else any(map(str.isalpha, x or "")))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

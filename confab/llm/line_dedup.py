@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_text, durable, parallelism, slices
 from .components import components
@@ -298,7 +299,7 @@ def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: s
             marks = np.array([_key(x or "") for x in batch.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks)], names=[*names, "__mark"])
 
-    rows = docs.mapInArrow(add, docs.schema.add("__mark", "bigint"))
+    rows = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("__mark", T.LongType())]))
     both = rows.join(lost, rows[id_col].eqNullSafe(lost["__id"]) & (rows["__mark"] == lost["__lost"]), "left")
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__lines"), i))
     text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

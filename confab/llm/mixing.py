@@ -57,19 +57,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block: int = 32, shard_rows: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, size, source_size, target, taken (words of the row that the mix takes, repeats counted), source.
-
-    Sources in code point order, null last, get weights in turn; targets share the words of all. A source's rows are
-    dealt by hash to shards of about shard_rows rows, laid end to end by id within a shard, and cut to blocks of about
-    block words, of equal size but for one word. Sainte-Laguë gives each source a number of blocks, then each of its
-    shards a part of that (an integer quota). A shard takes all its blocks quota // blocks times, and quota % blocks of
-    them, chosen by a seeded permutation, once more. No block, so no row, is taken more than ceil(most) times.
-
-    Null texts have size 0. Rows without words take 0. Rows with equal ids lie in their shard by size; repeated rows
-    are alike and may trade what they take. An empty table gives none; other columns aren't read. Only one row for each
-    source reaches the driver."""
-    sized = durable(docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+def _plan(sized: DataFrame, keep: list[str], weights: tuple[float, ...], most: float, block: int, shard_rows: int, seed: int) -> DataFrame:
+    """The columns in keep (the id first), size, source_size, target, taken, source, whole (how often the row is taken
+    whole) and spans (the words [a, b) taken once more) of rows with keep, source and size."""
+    id_col = keep[0]
     sums = [(r["source"], int(r["s"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()]
     sums.sort(key=lambda x: (x[0] is None, [ord(c) for c in x[0] or ""]))
     sizes = np.array([s for _, s, _ in sums], np.int64)
@@ -114,5 +105,44 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     )
     once_more = """aggregate(sequence(lo, hi), 0L, (acc, i) -> acc + if((i * step + shift) % blocks < extra,
         greatest(0L, least(begin + size, ((i + 1) * words) div blocks) - greatest(begin, (i * words) div blocks)), 0L))"""
+    spans = '''if(size > 0, filter(transform(filter(sequence(lo, hi), i -> (i * step + shift) % blocks < extra),
+        i -> struct(greatest(begin, (i * words) div blocks) - begin AS a, least(begin + size, ((i + 1) * words) div blocks) - begin AS b)), s -> s.a < s.b), null)'''
     taken = f"if(size > 0, (shard_quota div blocks) * size + {once_more}, 0L) AS taken"
-    return placed.selectExpr(id_col, "size", "source_size", "target", taken, "source")
+    return placed.selectExpr(*keep, "size", "source_size", "target", taken, "source", "(shard_quota div blocks) AS whole", f"{spans} AS spans")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block: int = 32, shard_rows: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, size, source_size, target, taken (words of the row that the mix takes, repeats counted), source.
+
+    Sources in code point order, null last, get weights in turn; targets share the words of all. A source's rows are
+    dealt by hash to shards of about shard_rows rows, laid end to end by id within a shard, and cut to blocks of about
+    block words, of equal size but for one word. Sainte-Laguë gives each source a number of blocks, then each of its
+    shards a part of that (an integer quota). A shard takes all its blocks quota // blocks times, and quota % blocks of
+    them, chosen by a seeded permutation, once more. No block, so no row, is taken more than ceil(most) times.
+
+    Null texts have size 0. Rows without words take 0. Rows with equal ids lie in their shard by size; repeated rows
+    are alike and may trade what they take. An empty table gives none; other columns aren't read. Only one row for each
+    source reaches the driver."""
+    sized = durable(docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    return _plan(sized, [id_col], weights, most, block, shard_rows, seed).select(id_col, "size", "source_size", "target", "taken", "source")
+
+
+def sample_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block: int = 32, shard_rows: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time that a row is taken whole, and one with the words of
+    the spans taken once more (with the white space before each; chars_col, if there, follows). See mix."""
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    # rows equal in id and text are told apart by their source, which both sides can sort by
+    copy = F.row_number().over(W.partitionBy("__id", "__mark").orderBy("__source"))
+    rows = docs.withColumns({"__id": F.col(id_col), "__mark": mark, "__source": F.col(source_col)})
+    sized = rows.select("__id", "__mark", "__source", n_words(F.col(text_col)).alias("size")).withColumn("__copy", copy)
+    sized = durable(sized.withColumnRenamed("__source", "source"))
+    plan = _plan(sized, ["__id", "__mark", "__copy"], weights, most, block, shard_rows, seed).where("taken > 0").selectExpr("__id AS __i", "__mark AS __m", "__copy AS __c", "whole AS __whole", "spans AS __spans")
+    both = rows.withColumn("__copy", copy).join(plan, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")) & (F.col("__copy") == F.col("__c")))
+    part = r"[\x20\x09-\x0D]*" + WORD
+    words = both.withColumn("__words", F.when(F.size("__spans") > 0, F.regexp_extract_all(F.col(text_col), F.lit(part), F.lit(0))))
+    once = F.expr("array_join(flatten(transform(__spans, s -> slice(__words, cast(s.a + 1 AS int), cast(s.b - s.a AS int)))), '')")
+    again = F.when(F.size("__spans") > 0, F.array(F.regexp_replace(once, r"^[\x20\x09-\x0D]+", ""))).otherwise(F.array().cast("array<string>"))
+    out = words.withColumn("__text", F.explode(F.concat(F.array_repeat(F.col(text_col), F.col("__whole").cast("int")), again)))
+    kinds = dict(docs.dtypes)
+    new = {text_col: F.col("__text")} | ({chars_col: F.length("__text").cast(kinds[chars_col])} if chars_col in kinds else {})
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -79,6 +79,14 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 2) -> DataFrame:
     return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 
+def _groups(fps: DataFrame, max_bits: int, first: Column) -> DataFrame:
+    """fp and least, the smallest value of first in the fingerprint's component."""
+    nodes = fps.groupBy("fp").agg(F.min(first).alias("rep"))
+    roots = durable(components(links(nodes.select("fp"), max_bits)))
+    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return joined.join(joined.groupBy("root").agg(F.min("rep").alias("least")), "root").select("fp", "least")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 lower-case hex digits), component_id of each row.
 
@@ -87,9 +95,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col:
     other. A row with a null id belongs to its component, whose id is the smallest that isn't null (null if there is
     none). Repeated rows give a row each; an empty table gives none; other columns aren't read."""
     fps = durable(fingerprints(docs, words, id_col, text_col))
-    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    roots = durable(components(links(nodes.select("fp"), max_bits)))
-    joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = joined.join(least, "root").select("fp", "component_id")
+    of = _groups(fps, max_bits, F.col(id_col)).withColumnRenamed("least", "component_id")
     return fps.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns: of each component one, that with the smallest id (then smallest hash of the
+    text; nulls last; of rows equal in both any one)."""
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    kind = dict(docs.dtypes)[id_col]
+    make = lambda rest, found: rest | {"fp": np.array([simhash(x, words) for x in found], np.int64)}
+    fps = durable(by_text(rows, ["id", "mark"], f"id {kind}, mark bigint, fp bigint", make))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    kept = _groups(fps, max_bits, place).select("least.id", "least.mark").distinct().toDF("__id", "__mark")
+    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (mark == kept["__mark"]))
+    one = W.partitionBy("__id", "__mark").orderBy(F.lit(0))
+    return joined.withColumn("__copy", F.row_number().over(one)).where("__copy = 1").select(*docs.columns)
