@@ -61,6 +61,29 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             begin = end
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[str]]:
+    """Texts of one-column batches in lists of about limit characters, across batches."""
+    held, size = [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = texts(batch.column(0).slice(k, 64))
+            held += part
+            size += sum(map(len, part))
+            if size >= limit:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python: Arrow batches of 1,024 rows, where the session has the default of 10,000, keep what a
+    worker holds at once to a few megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1024")
+
+
 def by_text(df: DataFrame, columns: list[str], schema: str, make: Callable, text: str = "text") -> DataFrame:
     """mapInArrow over slices: make(slice without text as dict of arrow arrays, texts) gives a dict of output columns.
 
@@ -73,4 +96,5 @@ def by_text(df: DataFrame, columns: list[str], schema: str, make: Callable, text
             out = make(rest, found)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := out[c], pa.Array) else pa.array(x) for c in names], names=names)
 
+    small_batches(df.sparkSession)
     return df.select(*columns, text).mapInArrow(run, schema)

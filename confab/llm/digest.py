@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, parallelism, slices
+from .common import SLICE_CHARS, parallelism, slices, small_batches, text_slices
 
 WINDOW = 32
 LEVELS = 128  # of entropy, from 0 to log2(WINDOW) bits
@@ -166,7 +166,7 @@ def entropy_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches):
         total = np.zeros(LEVELS, np.int64)
-        for _, found in slices(batches, text_col):
+        for found in text_slices(batches, SLICE_CHARS):
             total += np.bincount(windows([x.encode("utf-8", "surrogatepass") for x in found]).level, minlength=LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS, dtype=np.int32)), pa.array(total)], names=["level", "n"])
 
@@ -183,6 +183,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Cut points are quantiles of the id; only they and one id for each part reach the driver. Null ids come first."""
     parts = parallelism(docs.sparkSession)
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     ids = docs.select(F.col(id_col).alias("id"))
     quantiles = [k / parts for k in range(1, parts)]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, slices
+from .common import SLICE_CHARS, by_text, small_batches, text_slices
 
 UNDETERMINED = "und"
 MIX = np.uint32(2654435761)
@@ -107,10 +107,11 @@ class Ftrl:
 def document_frequencies(docs: DataFrame, bits: int, text_col: str = "text") -> np.ndarray:
     """In how many texts each feature is, over all rows; partial sums leave each task as at most 2^bits rows."""
     size = 1 << bits
+    small_batches(docs.sparkSession)
 
     def run(batches):
         total = np.zeros(size, np.int64)
-        for _, found in slices(batches, text_col):
+        for found in text_slices(batches, SLICE_CHARS):
             for x in found:
                 at = np.bincount(ngrams(x, bits), minlength=size)
                 total += at > 0
@@ -224,6 +225,8 @@ def select_rows(docs: DataFrame, model: LanguageModel, least: float = 0.0, text_
     """Rows of docs, with all their columns, that aren't `und` and whose prediction scores least or more. A model without
     classes can't tell languages and keeps every row whose text has a letter."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_text, durable, parallelism, slices
+from .common import SLICE_CHARS, by_text, durable, parallelism, small_batches, text_slices
 from .components import components
 
 FILTER_BITS = 23
@@ -118,9 +118,10 @@ def _entries(line: str, edits: int) -> tuple[list[int], list[int]]:
 def _meetings(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFrame:
     """sig, key, kind (0 index, 1 probe) of entries whose hash has an index and a probe entry of different lines."""
     ranges = parallelism(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def emit(batches):
-        for _, found in slices(batches, text):
+        for found in text_slices(batches, SLICE_CHARS):
             sigs, keys = [], []
             for line in dict.fromkeys(x for t in found for x in lines_of(t) if len(x) >= min_chars):
                 index, look = _entries(line, edits)
@@ -209,7 +210,7 @@ def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str =
         bits[r["w"]] = r["b"]
 
     def emit(batches):
-        for _, found in slices(batches, text_col):
+        for found in text_slices(batches, SLICE_CHARS):
             fresh = list(dict.fromkeys(x for t in found for x in lines_of(t) if len(x) >= min_chars))
             k = np.array([_key(x) for x in fresh], np.uint64)
             p = k >> np.uint64(64 - FILTER_BITS)
@@ -292,6 +293,7 @@ def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: s
     are (also others, of any name)."""
     lost = decisions(docs, edits, min_chars, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("mark").alias("__lost"), F.col("dropped.line").alias("__lines"))
     names = docs.columns
+    small_batches(docs.sparkSession)
 
     def add(batches):
         at = names.index(text_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, parallelism, slices
+from .common import by_text, parallelism, small_batches, text_slices
 
 WORD_BITS = 48
 BEGIN, END = 1, 2  # hashes of the context before the first word and of the token behind the last
@@ -167,7 +167,7 @@ def _pairs(rows: DataFrame, ranges: int, text: str) -> DataFrame:
     """range, data: of each slice its distinct pairs by first word, with counts."""
 
     def run(batches):
-        for _, found in slices(batches, text, 4_000_000):
+        for found in text_slices(batches, 4_000_000):
             h, n = tokens(found)
             a = contexts(h, n)
             order = np.lexsort((h, a))
@@ -189,6 +189,7 @@ def _pairs(rows: DataFrame, ranges: int, text: str) -> DataFrame:
                     at.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["range", "data"])
 
+    small_batches(rows.sparkSession)
     return rows.select(text).mapInArrow(run, "range int, data binary")
 
 

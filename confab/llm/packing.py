@@ -21,7 +21,7 @@ class WordIds:
     The tokenizer drops white space and lets no token cross it, so a text's ids are those of its words on end. Ids of a
     word are the tokenizer's own. The table starts again when it holds max_words."""
 
-    def __init__(self, tokenizer_file: str, max_words: int = 1_000_000):
+    def __init__(self, tokenizer_file: str, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -87,7 +87,7 @@ class WordIds:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, each text's followed by end_id, and where each text's begin (with the total at last)."""
-        if self.words > self.max_words or self.used > 16 * self.max_words:
+        if self.words > self.max_words or self.used > 16 * self.max_words or len(self.cores) > self.max_words:
             self._clear()
         split = [x.encode("utf-8", "surrogatepass").split() for x in texts]
         get = self.index.get
