@@ -98,7 +98,7 @@ def parse_overlay_line(line: Column) -> Column:
 
 def format_seconds(x: Column) -> Column:
     """One decimal, half to even on the binary value (as C's printf); no grouping."""
-    return F.replace(F.format_number(x, "0.0"), F.lit(","), F.lit(""))
+    return F.replace(F.call_function("format_number", x, F.lit("0.0")), F.lit(","), F.lit(""))
 
 
 def format_result_line(speaker: Column, start: Column, end: Column, text: Column) -> Column:

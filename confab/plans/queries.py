@@ -176,15 +176,17 @@ def clip_intervals(spark, sf):
 
 
 def _turns(spark, sf) -> DataFrame:
-    """Lineitem as turns of an order: a line takes as many seconds as its quantity, on a clock that restarts each order."""
-    li = table(spark, sf, "lineitem")
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(W.unboundedPreceding, 0)
-    # every other line leaves a gap behind it
-    return li.select(F.col("l_orderkey").alias("chunk"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("S"), (F.col("l_suppkey") % 3).cast("string")).alias("speaker"), (F.sum("l_quantity").over(w) - F.col("l_quantity")).alias("start"), (F.sum("l_quantity").over(w) - (F.col("l_linenumber") % 2) * 3).alias("end")).where("end > start")
+    """Lineitem as turns of an order: a line takes as many seconds as its quantity, on a clock that restarts each order;
+    every other turn leaves a gap behind it."""
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    n, q = F.row_number().over(w), F.sum("l_quantity").over(w.rowsBetween(W.unboundedPreceding, 0))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chunk"), n.alias("pos"), F.concat(F.lit("S"), (F.col("l_suppkey") % 3).cast("string")).alias("speaker"), (q - F.col("l_quantity")).alias("start"), q.alias("q"))
+    return li.select("chunk", "pos", "speaker", "start", (F.col("q") - F.col("pos") % 2 * 3).alias("end")).where("end > start")
 
 
-TURNS = """tn AS (SELECT * FROM (SELECT l_orderkey AS chunk, l_linenumber AS pos, 'S' || CAST(l_suppkey % 3 AS VARCHAR) AS speaker, q - l_quantity AS "start", q - (l_linenumber % 2) * 3 AS "end" FROM (
-  SELECT *, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS q FROM lineitem)) WHERE "end" > "start")"""
+TURNS = """tn AS (SELECT * FROM (SELECT l_orderkey AS chunk, pos, 'S' || CAST(l_suppkey % 3 AS VARCHAR) AS speaker, q - l_quantity AS "start", q - (pos % 2) * 3 AS "end" FROM (
+  SELECT *, row_number() OVER w AS pos, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) AS q
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))) WHERE "end" > "start")"""
 WORDS = """wd AS (SELECT o_orderkey AS chunk, CAST(i AS INTEGER) AS pos, i * 7.0::DOUBLE AS "start", i * 7.0::DOUBLE + 2 AS "end" FROM orders, range(0, 12) t(i))"""
 
 
@@ -309,10 +311,10 @@ def _pairs(spark, sf) -> DataFrame:
     """Labelled scores: longer documents score higher."""
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
     x = table(spark, sf, "labels").join(d, "doc_id")
-    return x.select("source", F.round(F.least(F.col("n_chars"), F.lit(8000)) / 8000.0, 4).alias("score"), (F.col("quality") == 1).alias("same"))
+    return x.select("source", (F.floor(F.least(F.col("n_chars"), F.lit(8000)) * 1.25) / 10000.0).alias("score"), (F.col("quality") == 1).alias("same"))
 
 
-PAIRS = "pr AS (SELECT source, round(least(n_chars, 8000) / 8000.0::DOUBLE, 4) AS score, quality = 1 AS same FROM labels JOIN documents USING (doc_id))"
+PAIRS = "pr AS (SELECT source, floor(least(n_chars, 8000) * 1.25::DOUBLE) / 10000.0::DOUBLE AS score, quality = 1 AS same FROM labels JOIN documents USING (doc_id))"
 GRID = """g AS (SELECT CAST(t AS INTEGER) AS theta, CAST(u AS INTEGER) AS temperature FROM range(10, 86, 5) a(t), range(2, 61, 6) b(u)),
 q AS (SELECT source, theta, temperature, same, 1 / (1 + exp(-greatest(-40, least(40, (score - theta / 100.0::DOUBLE) / (temperature / 100.0::DOUBLE))))) AS p FROM pr, g),
 l AS (SELECT source, theta, temperature, sum(ln(greatest(1e-9, least(1 - 1e-9, CASE WHEN same THEN p ELSE 1 - p END)))) AS ll, count(*) AS n FROM q GROUP BY ALL)"""
@@ -378,7 +380,7 @@ def score_rollup(spark, sf):
     return reports.score_rollup(x, "meeting").withColumns({"micro": F.round("micro", 6), "macro": F.round("macro", 6)})
 
 
-@query("SELECT count_if(l_discount = 0) AS perfect, count_if(l_discount > 0 AND l_discount <= 0.1) AS good, count_if(l_discount > 0.1 AND l_discount <= 0.3) AS fair, count_if(l_discount > 0.3) AS poor FROM lineitem")
+@query("SELECT CAST(count_if(l_discount = 0) AS BIGINT) AS perfect, CAST(count_if(l_discount > 0 AND l_discount <= 0.1) AS BIGINT) AS good, CAST(count_if(l_discount > 0.1 AND l_discount <= 0.3) AS BIGINT) AS fair, CAST(count_if(l_discount > 0.3) AS BIGINT) AS poor FROM lineitem")
 def wer_histogram(spark, sf):
     return reports.rate_histogram(table(spark, sf, "lineitem"), "l_discount")
 
@@ -412,13 +414,13 @@ def _decisions(spark, sf) -> DataFrame:
 
 
 @query(f"""WITH {DECISIONS}, j AS (SELECT *, coalesce(assigned = 'Unknown', true) AS u, NOT coalesce(assigned = 'Unknown', true) AND reference IS NOT NULL AND mapped IS DISTINCT FROM reference AS w FROM de)
-SELECT decision, count(*) AS n, count_if(w) AS wrong, count_if(u) AS unknown, sum(seconds) AS seconds, coalesce(sum(seconds) FILTER (w), 0) AS wrong_seconds, round(count_if(w) / (count(*) - count_if(u)), 6) AS rate FROM j GROUP BY 1""")
+SELECT decision, count(*) AS n, CAST(count_if(w) AS BIGINT) AS wrong, CAST(count_if(u) AS BIGINT) AS unknown, sum(seconds) AS seconds, coalesce(sum(seconds) FILTER (w), 0) AS wrong_seconds, round(count_if(w) / (count(*) - count_if(u)), 6) AS rate FROM j GROUP BY 1""")
 def decision_accuracy(spark, sf):
     return reports.decision_accuracy(_decisions(spark, sf)).withColumn("rate", F.round("rate", 6))
 
 
 @query(f"""WITH {DECISIONS}, j AS (SELECT CASE WHEN margin < 0.06 THEN 'unclear' WHEN margin < 0.15 THEN 'middle' ELSE 'clear' END AS band, mapped IS DISTINCT FROM reference AS w FROM de WHERE assigned IS NOT NULL AND assigned <> 'Unknown' AND reference IS NOT NULL AND margin IS NOT NULL)
-SELECT band, count(*) AS n, count_if(w) AS wrong, round(count_if(w) / count(*), 6) AS rate FROM j GROUP BY 1""")
+SELECT band, count(*) AS n, CAST(count_if(w) AS BIGINT) AS wrong, round(count_if(w) / count(*), 6) AS rate FROM j GROUP BY 1""")
 def margin_band(spark, sf):
     return reports.banded(_decisions(spark, sf), "margin", [0.06, 0.15], ["unclear", "middle", "clear"]).withColumn("rate", F.round("rate", 6))
 

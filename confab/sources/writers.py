@@ -13,7 +13,7 @@ def rttm_lines(segments: DataFrame, drop_empty: bool = True) -> DataFrame:
     """SNK-03 and SNK-04: meeting, value in order of start. Rows: meeting, start, end, speaker."""
     dur = F.col("end") - F.col("start")
     x = segments.where(dur > 0) if drop_empty else segments
-    three = lambda c: F.replace(F.format_number(c, "0.000"), F.lit(","), F.lit(""))
+    three = lambda c: F.replace(F.call_function("format_number", c, F.lit("0.000")), F.lit(","), F.lit(""))
     line = F.concat(F.lit("SPEAKER "), F.col("meeting"), F.lit(" 1 "), three(F.col("start")), F.lit(" "), three(dur), F.lit(" <NA> <NA> "), F.col("speaker"), F.lit(" <NA> <NA>"))
     return x.select("meeting", "start", line.alias("value")).sortWithinPartitions("meeting", "start")
 

@@ -44,7 +44,7 @@ def transcript_view(events: DataFrame, session: str = "session") -> DataFrame:
     kept = x.where("_ok").where(~(final & F.coalesce("provisional", F.lit(False)) & (F.col("_done") == 1)))
     texts = kept.groupBy(session, "segment_index").agg(F.max_by("text", "seq").alias("text"))
     tops = events.where(final).groupBy(session).agg(F.max("segment_index").alias("_top"))
-    places = tops.select(session, F.explode(F.sequence(F.lit(0), F.col("_top").cast("int"))).cast(dict(events.dtypes)["segment_index"]).alias("segment_index"))
+    places = tops.select(session, F.explode(F.sequence(F.lit(0).cast(dict(events.dtypes)["segment_index"]), F.col("_top"))).alias("segment_index"))
     return places.join(texts, [session, "segment_index"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
