@@ -46,13 +46,28 @@ def features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(parts, 1)
 
 
-def _exact(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rows), np.int64)
+#: Over this share of alive pairs a product of whole blocks costs less than gathering the pairs.
+DENSE = 0.02
+
+
+def _products(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows."""
+    out = np.empty(len(rows), a.dtype)
     for k in range(0, len(rows), 65536):
-        out[k : k + 65536] = np.einsum("ij,ij->i", q[rows[k : k + 65536]], x[cols[k : k + 65536]])
+        out[k : k + 65536] = np.einsum("ij,ij->i", a[rows[k : k + 65536]], b[cols[k : k + 65536]])
     return out
 
 
+def _reach(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (r, c) those whose product reaches the threshold of r, with it: by blocks or by pairs, as costs less."""
+    if len(r) > DENSE * len(a) * len(b):
+        p = (a @ b.T)[r, c]
+    else:
+        p = _products(a, b, r, c)
+    keep = p >= threshold[r]
+    return r[keep], c[keep], p[keep]
+
+
 def search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, score) of each query's k best by score, then smaller id (all, if fewer)."""
     n = len(x)
@@ -64,24 +79,22 @@ def search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.nd
     qf, xf = q.astype(np.float64), x.astype(np.float64)
     fq, fx = [[features(v, min(s, d)) for s in LEVELS] for v in (qf, xf)]
     slack = 1e-9 * np.sqrt((qf * qf).sum(1).max() * (xf * xf).sum(1).max()) + 1e-6
+    # whole numbers up to 2^53 are exact in doubles, which multiply by blocks; larger ones stay integers
+    exact = (qf, xf) if np.abs(qf).max(initial=0) * np.abs(xf).max(initial=0) * max(d, 1) < 2**53 else (q, x)
     out = []
     for b in range(0, len(q), 256):
         rows = np.arange(b, min(b + 256, len(q)))
         if n > k:
             bound = fq[1][rows] @ fx[1].T
             pilot = np.argpartition(-bound, k - 1, axis=1)[:, :k]
-            threshold = _exact(q, x, np.repeat(rows, k), pilot.ravel()).reshape(len(rows), k).min(1) - slack
-            alive = fq[0][rows] @ fx[0].T >= threshold[:, None]
-            alive &= bound >= threshold[:, None]
-            r, c = np.nonzero(alive)
-            keep = np.empty(len(r), bool)
-            for i in range(0, len(r), 65536):
-                s = slice(i, i + 65536)
-                keep[s] = np.einsum("ij,ij->i", fq[2][rows[r[s]]], fx[2][c[s]]) >= threshold[r[s]]
-            r, c = r[keep], c[keep]
+            threshold = _products(exact[0], exact[1], np.repeat(rows, k), pilot.ravel()).reshape(len(rows), k).min(1).astype(np.float64) - slack
+            r, c = np.nonzero((fq[0][rows] @ fx[0].T >= threshold[:, None]) & (bound >= threshold[:, None]))
+            r, c, _ = _reach(fq[2][rows], fx[2], r, c, threshold)
+            r, c, score = _reach(exact[0][rows], exact[1], r, c, threshold)
         else:
             r, c = (v.ravel() for v in np.indices((len(rows), n)))
-        score = _exact(q, x, rows[r], c)
+            score = _products(exact[0][rows], exact[1], r, c)
+        score = score.astype(np.int64)
         order = np.lexsort((ids[c], -score, r))
         r, c, score = r[order], c[order], score[order]
         first = np.searchsorted(r, np.arange(len(rows)))
