@@ -58,14 +58,14 @@ def _products(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray)
     return out
 
 
-def _reach(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs (r, c) those whose product reaches the threshold of r, with it: by blocks or by pairs, as costs less."""
-    if len(r) > DENSE * len(a) * len(b):
-        p = (a @ b.T)[r, c]
+def _narrow(alive: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: np.ndarray) -> None:
+    """Of the alive pairs (a row of a, a row of b) those stay whose product reaches the row's threshold: by blocks or by
+    pairs, as costs less."""
+    if np.count_nonzero(alive) > DENSE * alive.size:
+        alive &= a @ b.T >= threshold[:, None]
     else:
-        p = _products(a, b, r, c)
-    keep = p >= threshold[r]
-    return r[keep], c[keep], p[keep]
+        r, c = np.nonzero(alive)
+        alive[r, c] = _products(a, b, r, c) >= threshold[r]
 
 
 def search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,13 +88,14 @@ def search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.nd
             bound = fq[1][rows] @ fx[1].T
             pilot = np.argpartition(-bound, k - 1, axis=1)[:, :k]
             threshold = _products(exact[0], exact[1], np.repeat(rows, k), pilot.ravel()).reshape(len(rows), k).min(1).astype(np.float64) - slack
-            r, c = np.nonzero((fq[0][rows] @ fx[0].T >= threshold[:, None]) & (bound >= threshold[:, None]))
-            r, c, _ = _reach(fq[2][rows], fx[2], r, c, threshold)
-            r, c, score = _reach(exact[0][rows], exact[1], r, c, threshold)
+            alive = bound >= threshold[:, None]
+            alive &= fq[0][rows] @ fx[0].T >= threshold[:, None]
+            _narrow(alive, fq[2][rows], fx[2], threshold)
+            _narrow(alive, exact[0][rows], exact[1], threshold)
+            r, c = np.nonzero(alive)
         else:
             r, c = (v.ravel() for v in np.indices((len(rows), n)))
-            score = _products(exact[0][rows], exact[1], r, c)
-        score = score.astype(np.int64)
+        score = _products(exact[0][rows], exact[1], r, c).astype(np.int64)
         order = np.lexsort((ids[c], -score, r))
         r, c, score = r[order], c[order], score[order]
         first = np.searchsorted(r, np.arange(len(rows)))
