@@ -48,6 +48,8 @@ def features(x: np.ndarray, segments: int) -> np.ndarray:
 
 #: Over this share of alive pairs a product of whole blocks costs less than gathering the pairs.
 DENSE = 0.02
+#: A query's threshold is the k-th best exact score among this many times k candidates with the highest bounds.
+PILOT = 8
 
 
 def _products(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -86,11 +88,14 @@ def search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.nd
         rows = np.arange(b, min(b + 256, len(q)))
         if n > k:
             bound = fq[1][rows] @ fx[1].T
-            pilot = np.argpartition(-bound, k - 1, axis=1)[:, :k]
-            threshold = _products(exact[0], exact[1], np.repeat(rows, k), pilot.ravel()).reshape(len(rows), k).min(1).astype(np.float64) - slack
+            finest = fq[2][rows] @ fx[2].T
+            many = min(n, PILOT * k)
+            pilot = np.argpartition(-finest, many - 1, axis=1)[:, :many]
+            found = _products(exact[0], exact[1], np.repeat(rows, many), pilot.ravel()).reshape(len(rows), many)
+            threshold = np.partition(found, many - k, axis=1)[:, many - k].astype(np.float64) - slack
             alive = bound >= threshold[:, None]
             alive &= fq[0][rows] @ fx[0].T >= threshold[:, None]
-            _narrow(alive, fq[2][rows], fx[2], threshold)
+            alive &= finest >= threshold[:, None]
             _narrow(alive, exact[0][rows], exact[1], threshold)
             r, c = np.nonzero(alive)
         else:
