@@ -617,3 +617,183 @@ def greedy_match(spark, sf):
 def bleu_chrf(spark, sf):
     x = _texts(spark, sf)
     return metrics.bleu(x, "item_id").select(F.lit("bleu").alias("metric"), F.round("bleu", 6).alias("value")).union(metrics.chrf(x, "item_id").select(F.lit("chrf"), F.round("chrf", 6)))
+
+
+# --- further operators ---
+
+
+@query(f"WITH {SEG}, t AS (SELECT * FROM seg QUALIFY row_number() OVER (PARTITION BY session ORDER BY pos DESC) <= 20), n AS (SELECT session, 'SPEAKER_0' || CAST(pos % 4 AS VARCHAR) AS speaker, \"end\" - \"start\" AS d FROM t WHERE speaker <> 'Unknown') SELECT session, speaker, round(sum(d), 2) AS seconds, count(*) AS n_segments FROM n GROUP BY ALL")
+def speaker_log(spark, sf):
+    """AGG-03."""
+    s = seg_view(spark, sf).withColumn("speaker", F.when(F.col("speaker") != "Unknown", F.concat(F.lit("SPEAKER_0"), (F.col("pos") % 4).cast("string"))).otherwise("Unknown"))
+    return segments.log_summary(s, 20).withColumn("seconds", F.round("seconds", 2))
+
+
+@query(f"WITH {CONV}, c AS (SELECT *, pos // 3 AS chunk FROM conv) SELECT session, chunk, arg_min(speaker, pos) AS speaker, arg_min(\"start\", pos) AS \"start\", arg_max(\"end\", pos) AS \"end\", string_agg(trim(text), ' ' ORDER BY pos) FILTER (trim(text) <> '') AS text FROM c GROUP BY ALL")
+def merge_chunk(spark, sf):
+    """FLT-11."""
+    return segments.merge_chunk(conv_view(spark, sf).withColumn("chunk", F.floor(F.col("pos") / 3)), ["session", "chunk"])
+
+
+@query(f"""WITH {SEG}, w AS (SELECT session, pos, CASE WHEN speaker = 'Unknown' THEN 'click' ELSE speaker END AS speaker, "start", "end", ' w' || CAST(pos AS VARCHAR) AS word, pos % 9 = 0 AS wordless FROM seg),
+r AS (SELECT *, CASE WHEN lag(speaker) OVER o IS DISTINCT FROM speaker OR wordless OR coalesce(lag(wordless) OVER o, true) THEN 1 ELSE 0 END AS b FROM w WINDOW o AS (PARTITION BY session ORDER BY pos)),
+n AS (SELECT *, sum(b) OVER (PARTITION BY session ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM r)
+SELECT session, CAST(run AS BIGINT) AS run, any_value(speaker) AS speaker, min("start") AS "start", arg_max("end", pos) AS "end", trim(string_agg(word, '' ORDER BY pos)) AS text FROM n GROUP BY session, run""")
+def merge_words(spark, sf):
+    """WIN-09."""
+    s = seg_view(spark, sf).withColumn("speaker", F.when(F.col("speaker") == "Unknown", "click").otherwise(F.col("speaker")))
+    return islands.merge_words(s.withColumns({"word": F.concat(F.lit(" w"), F.col("pos").cast("string")), "wordless": F.col("pos") % 9 == 0}))
+
+
+@query(f"""WITH {SEG}, t AS (SELECT session, pos, speaker, "start", "end" FROM seg), k AS (SELECT session, pos, speaker, s + 0.6 AS a, s + 0.9 AS b, ("end" - "start" > 20) AS long, "start", "end" FROM (SELECT *, "start" AS s FROM t))
+SELECT session, pos, CASE WHEN long THEN a ELSE "start" END AS "start", CASE WHEN long THEN b ELSE "end" END AS "end", CASE WHEN long THEN 'two' ELSE 'plain' END AS text FROM k WHERE CASE WHEN long THEN (a + b) / 2 >= 30 ELSE "end" > 30 END""")
+def trim_prefix(spark, sf):
+    """FLT-02: long segments have one late word, short ones none."""
+    long = (F.col("end") - F.col("start")) > 20
+    word = F.struct((F.col("start") + 0.6).alias("start"), (F.col("start") + 0.9).alias("end"), F.lit(" two").alias("word"))
+    s = seg_view(spark, sf).withColumns({"text": F.lit("plain"), "words": F.when(long, F.array(word))})
+    return segments.trim_prefix(s, 30.0).select("session", "pos", "start", "end", "text")
+
+
+@query(f"WITH {SEG} SELECT session, pos, CASE WHEN pos % 5 = 0 THEN '[Calibrating]' WHEN speaker IN ('view', 'click') THEN 'SPEAKER_0' || CAST(length(speaker) - 4 AS VARCHAR) ELSE 'Unknown' END AS speaker FROM seg")
+def relabel(spark, sf):
+    """FLT-15 and JOI-11."""
+    t = seg_view(spark, sf).withColumn("local", F.col("speaker"))
+    mapping = t.where("local in ('view', 'click')").select("session", "local").distinct().withColumn("label", F.concat(F.lit("SPEAKER_0"), (F.length("local") - 4).cast("string")))
+    return segments.relabel(t, mapping, ["session"], F.col("pos") % 5 == 0, F.lit("[Calibrating]")).select("session", "pos", "speaker")
+
+
+@query(f"WITH {DECISIONS}, j AS (SELECT CASE WHEN seconds < 20 THEN 'low' WHEN seconds < 50 THEN 'middle' WHEN seconds < 90 THEN 'high' ELSE 'top' END AS band, mapped IS DISTINCT FROM reference AS w FROM de WHERE assigned IS NOT NULL AND assigned <> 'Unknown' AND reference IS NOT NULL) SELECT band, count(*) AS n, CAST(count_if(w) AS BIGINT) AS wrong, round(count_if(w) / count(*), 6) AS rate FROM j GROUP BY 1")
+def band_error(spark, sf):
+    """AGG-16."""
+    return reports.banded(_decisions(spark, sf), "seconds", [20.0, 50.0, 90.0], ["low", "middle", "high", "top"]).withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT user_id, event_type, avg(floor(value)) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY ALL UNION ALL SELECT user_id, event_type, NULL FROM events GROUP BY ALL HAVING count(*) FILTER (event_id % 3 <> 0) = 0")
+def replicate_mean(spark, sf):
+    """AGG-12: missing values (every third) don't count."""
+    x = table(spark, sf, "events").select("user_id", "event_type", F.when(F.col("event_id") % 3 != 0, F.floor("value").cast("double")).alias("value"))
+    return reports.replicate_mean(x, ["user_id", "event_type"], ["value"])
+
+
+@query("SELECT max(l_quantity) AS peak_l_quantity, max(l_discount) AS peak_l_discount, max(l_tax) AS peak_l_tax FROM lineitem")
+def peaks(spark, sf):
+    """AGG-22."""
+    return reports.peaks(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+
+
+@query("SELECT o_custkey, o_orderkey AS speaker, CAST(floor(o_totalprice / 6000) AS BIGINT) AS n_words FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 6000) DESC, o_orderkey) <= 8 OR floor(o_totalprice / 6000) >= 50")
+def top_hypotheses(spark, sf):
+    """SRT-04."""
+    x = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("speaker"), F.floor(F.col("o_totalprice") / 6000).alias("n_words"))
+    return reports.top_hypotheses(x, "o_custkey")
+
+
+@query("""WITH r AS (SELECT c_nationkey AS k, c_name AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS n FROM (SELECT DISTINCT c_nationkey, c_name FROM customer)), h AS (SELECT s_nationkey AS k, s_name AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS n FROM (SELECT DISTINCT s_nationkey, s_name FROM supplier))
+SELECT k, n, r.s AS ref_speaker, h.s AS hyp_speaker FROM r FULL JOIN h USING (k, n)""")
+def pad_pairs(spark, sf):
+    """SET-04."""
+    r = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_name").alias("speaker")).distinct()
+    h = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("speaker")).distinct()
+    return intervals.pad_pairs(r, h, "k").select("k", F.col("n").cast("bigint").alias("n"), "ref_speaker", "hyp_speaker")
+
+
+@query("SELECT coalesce(a.l, b.l) AS label, CASE WHEN a.l IS NOT NULL AND b.l IS NOT NULL THEN 'keep' WHEN a.l IS NOT NULL THEN 'add' ELSE 'remove' END AS action FROM (SELECT DISTINCT o_custkey AS l FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT o_custkey AS l FROM orders WHERE o_orderstatus = 'O') b ON a.l = b.l")
+def chip_diff(spark, sf):
+    """SET-03."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("label"), "o_orderstatus")
+    return intervals.chip_diff(o.where("o_orderstatus = 'F'").select("label"), o.where("o_orderstatus = 'O'").select("label"))
+
+
+@query("SELECT p_brand, metric, b AS before, a AS after, a - b AS change FROM (SELECT p_brand, 'size' AS metric, avg(p_size) FILTER (p_partkey % 2 = 0) AS b, avg(p_size) FILTER (p_partkey % 2 = 1) AS a FROM part GROUP BY 1 UNION ALL SELECT p_brand, 'price', avg(floor(p_retailprice)) FILTER (p_partkey % 2 = 0), avg(floor(p_retailprice)) FILTER (p_partkey % 2 = 1) FROM part GROUP BY 1) WHERE a IS NOT NULL AND b IS NOT NULL")
+def before_after(spark, sf):
+    """SWP-05."""
+    side = lambda k: table(spark, sf, "part").where(F.col("p_partkey") % 2 == k).groupBy("p_brand").agg(F.avg("p_size").alias("size"), F.avg(F.floor("p_retailprice")).alias("price"))
+    return reports.before_after(side(0), side(1), "p_brand", ["size", "price"])
+
+
+@query("SELECT event_id, label, v AS score, label = 'a' AND event_id % 4 <> 0 AS same FROM (SELECT event_id, unnest(['a', 'b', 'c']) AS label, unnest([floor(value), floor(value) / 2, 1.0::DOUBLE]) AS v FROM events)")
+def label_profiles(spark, sf):
+    """JOI-16: profile a stands for the reference but for every fourth decision, b for none, c is unmapped."""
+    v = F.floor("value").cast("double")
+    d = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, "R1").otherwise("R9").alias("reference"), F.create_map(F.lit("a"), v, F.lit("b"), v / 2, F.lit("c"), F.lit(1.0)).alias("raw_scores"))
+    mapping = spark.createDataFrame([("a", "R1"), ("b", "R2")], "label string, mapped string")
+    return intervals.label_profiles(d, mapping, ["event_id"]).select("event_id", "label", "score", "same")
+
+
+@query("SELECT c.c_custkey AS k, o.n, l.q FROM customer c JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey LEFT JOIN (SELECT o_custkey AS ck, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1) l ON l.ck = c.c_custkey")
+def score_rows(spark, sf):
+    """JOI-12."""
+    o = table(spark, sf, "orders")
+    ref = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    hyp = o.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    q = table(spark, sf, "lineitem").join(o.where("o_orderstatus = 'P'"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("k")).agg(F.sum("l_quantity").alias("q"))
+    return intervals.score_rows(ref, hyp, q, "k")
+
+
+@query(f"WITH {SEG}, h AS (SELECT session, sum(\"end\" - \"start\") AS s FROM seg WHERE speaker <> 'Unknown' GROUP BY 1), s AS (SELECT session, max(\"end\") AS e FROM seg GROUP BY 1) SELECT session, round(coalesce(h.s, 0) / s.e, 6) AS coverage, round(0.25, 6) AS rtf FROM s LEFT JOIN h USING (session)")
+def coverage(spark, sf):
+    """MET-13."""
+    s = seg_view(spark, sf)
+    speech = s.groupBy("session").agg(F.max("end").alias("speech_seconds")).withColumns({"audio_seconds": F.col("speech_seconds"), "compute_seconds": F.col("speech_seconds") / 4})
+    return reports.coverage(speech, s.where("speaker <> 'Unknown'"), "session").select("session", F.round("coverage", 6).alias("coverage"), F.round("rtf", 6).alias("rtf"))
+
+
+@query(f"WITH {PAIRS}, v AS (SELECT score AS p, count(*) AS n, sum(CAST(NOT same AS INTEGER)) AS w FROM pr GROUP BY ALL), x AS (SELECT p, sum(w) OVER o / sum(n) OVER o AS rate, sum(n) OVER o AS c, sum(n) OVER () AS t FROM v WINDOW o AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), c AS (SELECT target, min(p) AS p, max(c) / max(t) AS cov FROM x, (SELECT unnest([0.3, 0.2, 0.05]::DOUBLE[]) AS target) WHERE rate <= target GROUP BY target) SELECT max(p) FILTER (target = 0.05) AS assign, max(p) FILTER (cov >= 0.1) AS learn, 0.6::DOUBLE AS new_speaker FROM c")
+def policy_from_cuts(spark, sf):
+    """NUM-09."""
+    rows = _pairs(spark, sf).select(F.col("score").alias("p"), (~F.col("same")).alias("wrong"))
+    return calibration.policy_from_cuts(calibration.cut_points(rows, (0.3, 0.2, 0.05)))
+
+
+@query("SELECT doc_id, i AS frame, list_slice(c, i * 8 + 1, i * 8 + 8)[1] AS first, len(list_slice(c, i * 8 + 1, i * 8 + 8)) AS n FROM (SELECT doc_id, list_transform(range(0, least(n_chars, 200)), lambda x: CAST(x * 3 AS SMALLINT)) AS c, unnest(range(0, least(n_chars, 200) // 8)) AS i FROM documents)")
+def pcm_frames(spark, sf):
+    """SRC-04: a rising signal, as long as the document (to 200 samples), in frames of eight."""
+    from ..operators.speech import frames
+
+    n = F.least(F.col("n_chars"), F.lit(200)).cast("int")
+    pcm = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda x: (x * 3).cast("smallint"))).otherwise(F.array().cast("array<smallint>"))
+    d = table(spark, sf, "documents").select("doc_id", pcm.alias("pcm"))
+    return frames(d, "pcm", 8, keep=("doc_id",)).select("doc_id", F.col("frame").cast("bigint").alias("frame"), F.element_at("samples", 1).alias("first"), F.size("samples").cast("bigint").alias("n"))
+
+
+@query(f"WITH {SEG}, g AS (SELECT session, pos, speaker, \"end\" - \"start\" AS d, limit_ FROM seg, (SELECT unnest([5.005, 20.005, 60.005]::DOUBLE[]) AS limit_)) SELECT limit_ AS small_seconds, count(*) FILTER (d <= limit_) AS n_short, count(DISTINCT session) FILTER (d <= limit_) AS n_sessions FROM g GROUP BY 1")
+def sweep_grid(spark, sf):
+    """SWP-01: configurations as an array in each row; one pass for all of them."""
+    s = seg_view(spark, sf).withColumn("d", F.col("end") - F.col("start")).withColumn("small_seconds", F.explode(F.array(*[F.lit(x) for x in (5.005, 20.005, 60.005)])))
+    hit = F.col("d") <= F.col("small_seconds")
+    return s.groupBy("small_seconds").agg(F.count_if(hit).alias("n_short"), F.count_distinct(F.when(hit, F.col("session"))).alias("n_sessions"))
+
+
+@query("SELECT conv_id || '' AS meeting, \"start\", \"start\" + d AS \"end\", speaker FROM (SELECT conv_id, turn / 2.0::DOUBLE AS \"start\", turn % 3 AS d, role AS speaker FROM conversations) WHERE d > 0")
+def rttm_intervals(spark, sf):
+    """SRC-06 over lines made of conversations."""
+    from ..sources.readers import intervals as parse
+
+    line = F.concat_ws(" ", F.lit("SPEAKER"), F.col("conv_id").cast("string"), F.lit("1"), (F.col("turn") / 2).cast("string"), (F.col("turn") % 3).cast("string"), F.lit("<NA>"), F.lit("<NA>"), F.col("role"), F.lit("<NA>"), F.lit("<NA>"))
+    return parse(table(spark, sf, "conversations").select(line.alias("value")))
+
+
+@query("SELECT id, arg_max(t, n) AS text FROM (SELECT 'u' || CAST(event_id % 500 AS VARCHAR) AS id, event_type || ' ' || CAST(event_id AS VARCHAR) AS t, event_id AS n FROM events) GROUP BY 1")
+def utterances(spark, sf):
+    """SRC-13: the last of equal ids stays."""
+    from ..sources.readers import utterances as parse
+
+    i = F.col("event_id")
+    return parse(table(spark, sf, "events").select(F.concat(F.lit("u"), (i % 500).cast("string"), F.lit(" "), F.col("event_type"), F.lit(" "), i.cast("string")).alias("value"), i.alias("line_no")))
+
+
+@query("SELECT conv_id AS key, string_agg('[' || role || '] ' || printf('%.1f', turn / 4.0::DOUBLE) || 's - ' || printf('%.1f', turn / 4.0::DOUBLE + 1.5) || 's: ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def transcript_lines(spark, sf):
+    """SNK-13: quarter seconds show the rounding to even."""
+    from ..sources.writers import transcript_lines as lines
+
+    s = table(spark, sf, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), F.col("role").alias("speaker"), (F.col("turn") / 4.0).alias("start"), (F.col("turn") / 4.0 + 1.5).alias("end"), F.substring("text", 1, 20).alias("text"))
+    return lines(s, "key")
+
+
+@query("SELECT page_id, CAST(len(list_distinct(list_filter(string_split(regexp_replace(html, '[^a-z]', ' ', 'g'), ' '), lambda x: x <> ''))) AS BIGINT) AS n_distinct FROM pages")
+def distinct_tokens(spark, sf):
+    """STR-03 over markup."""
+    t = text.words(F.regexp_replace("html", "[^a-z]", " "))
+    return table(spark, sf, "pages").select("page_id", F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
