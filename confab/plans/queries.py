@@ -224,13 +224,13 @@ def nearest_survivor(spark, sf):
 
 
 @query("""WITH p AS (SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) AS t FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, event_id AS click_id, CAST(epoch(ts) AS BIGINT) AS u FROM events WHERE event_type = 'click')
-SELECT p.user_id, p.event_id, b.click_id FROM p LEFT JOIN (SELECT p.event_id, c.click_id, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(t - u), click_id) AS n FROM p JOIN c USING (user_id) WHERE abs(t - u) < 21600) b ON p.event_id = b.event_id AND b.n = 1""")
+SELECT p.user_id, p.event_id, coalesce(b.click_id, -1) AS click_id FROM p LEFT JOIN (SELECT p.event_id, c.click_id, row_number() OVER (PARTITION BY p.event_id ORDER BY abs(t - u), click_id) AS n FROM p JOIN c USING (user_id) WHERE abs(t - u) < 21600) b ON p.event_id = b.event_id AND b.n = 1""")
 def tolerance_nearest(spark, sf):
     # whole seconds, rounded as the oracle's cast does
     e = table(spark, sf, "events").withColumn("s", F.bround(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("bigint"))
     p = e.where("event_type = 'purchase'").select("user_id", "event_id", F.col("s").alias("t"))
     c = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("s").alias("u"))
-    return intervals.tolerance_nearest(p, c, "user_id", "t", "u", 21600, "click_id").select("user_id", "event_id", "click_id")
+    return intervals.tolerance_nearest(p, c, "user_id", "t", "u", 21600, "click_id").select("user_id", "event_id", F.coalesce("click_id", F.lit(-1)).alias("click_id"))
 
 
 @query("SELECT b.item_id AS pos, b.text AS source, d.text AS reference FROM benchmark b JOIN documents d ON d.doc_id = b.item_id WHERE b.item_id < 30")
@@ -374,10 +374,10 @@ def micro_macro(spark, sf):
     return reports.micro_macro(x, ["meeting"]).select("meeting", "n", F.round("micro", 6).alias("micro"), F.round("macro", 6).alias("macro"))
 
 
-@query(f"WITH {WER} SELECT item_id % 5 AS meeting, count(*) AS n, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(n_words) AS BIGINT) AS n_words, round(sum(errors) / sum(n_words), 6) AS micro, round(avg(errors / n_words), 6) AS macro FROM er GROUP BY ROLLUP (item_id % 5)")
+@query(f"WITH {WER} SELECT coalesce(item_id % 5, -1) AS meeting, count(*) AS n, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(n_words) AS BIGINT) AS n_words, round(sum(errors) / sum(n_words), 6) AS micro, round(avg(errors / n_words), 6) AS macro FROM er GROUP BY ROLLUP (item_id % 5)")
 def score_rollup(spark, sf):
     x = metrics.word_errors(_texts(spark, sf)).withColumn("meeting", F.col("item_id") % 5).withColumn("rate", F.col("wer"))
-    return reports.score_rollup(x, "meeting").withColumns({"micro": F.round("micro", 6), "macro": F.round("macro", 6)})
+    return reports.score_rollup(x, "meeting").withColumns({"meeting": F.coalesce("meeting", F.lit(-1)), "micro": F.round("micro", 6), "macro": F.round("macro", 6)})
 
 
 @query("SELECT CAST(count_if(l_discount = 0) AS BIGINT) AS perfect, CAST(count_if(l_discount > 0 AND l_discount <= 0.1) AS BIGINT) AS good, CAST(count_if(l_discount > 0.1 AND l_discount <= 0.3) AS BIGINT) AS fair, CAST(count_if(l_discount > 0.3) AS BIGINT) AS poor FROM lineitem")
