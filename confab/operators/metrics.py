@@ -244,7 +244,7 @@ def _matches(pairs: DataFrame, reference: str, hypothesis: str, order: int, key:
     for n in range(1, order + 1):
         side = lambda c, k: pairs.where(F.size(c) >= n).select(key, F.explode(_grams(F.col(c), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias(k))  # noqa: B023, E731
         x = side(reference, "r").join(side(hypothesis, "h"), [key, "g"], "full_outer")
-        parts.append(x.agg(F.lit(n).alias("n"), F.coalesce(F.sum(F.least("r", "h")), F.lit(0)).alias("matches"), F.coalesce(F.sum("h"), F.lit(0)).alias("hyp"), F.coalesce(F.sum("r"), F.lit(0)).alias("ref")))
+        parts.append(x.agg(F.lit(n).alias("n"), F.coalesce(F.sum(F.least(F.coalesce("r", F.lit(0)), F.coalesce("h", F.lit(0)))), F.lit(0)).alias("matches"), F.coalesce(F.sum("h"), F.lit(0)).alias("hyp"), F.coalesce(F.sum("r"), F.lit(0)).alias("ref")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

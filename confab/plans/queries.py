@@ -797,3 +797,38 @@ def distinct_tokens(spark, sf):
     """STR-03 over markup."""
     t = text.words(F.regexp_replace("html", "[^a-z]", " "))
     return table(spark, sf, "pages").select("page_id", F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
+
+
+def _shout() -> Callable:
+    """A stand-in for a translation model."""
+    return lambda p: p.assign(translation="T:" + p["text"].str.upper())
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g') AS text, lang AS source, 'en-GB' AS target FROM documents),
+c AS (SELECT DISTINCT text, source, target FROM d WHERE doc_id % 3 = 0)
+SELECT doc_id, CASE WHEN source = 'en' THEN d.text WHEN trim(d.text) = '' THEN '' WHEN c.text IS NOT NULL THEN 'cached' ELSE 'T:' || upper(d.text) END AS translation FROM d LEFT JOIN c USING (text, source, target)""")
+def translate_cached(spark, sf):
+    """UDF-04 to UDF-06 with a stand-in model."""
+    from ..operators.speech import translate
+
+    plain = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
+    d = table(spark, sf, "documents").select("doc_id", plain.alias("text"), F.col("lang").alias("source"), F.lit("en-GB").alias("target"))
+    cache = d.where("doc_id % 3 = 0").select("text", "source", "target").distinct().withColumn("translation", F.lit("cached"))
+    return translate(d, cache, _shout).select("doc_id", "translation")
+
+
+@query()
+def session_report(spark, sf):
+    """MET-14: turns against the same turns with every seventh misattributed."""
+    from ..operators import services
+
+    c = conv_view(spark, sf).withColumn("text", F.substring("text", 1, 120))
+    h = c.withColumn("speaker", F.when(F.col("pos") % 7 == 3, "S9").otherwise(F.concat(F.lit("S"), F.length("speaker").cast("string"))))
+    return services.session_report(c, h)
+
+
+@query()
+def translation_report(spark, sf):
+    from ..operators import services
+
+    return services.translation_report(_texts(spark, sf).withColumn("source", F.lit("")), "item_id").select(F.round("bleu", 6).alias("bleu"), F.round("chrf", 6).alias("chrf"), "neural")

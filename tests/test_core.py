@@ -204,3 +204,32 @@ def test_frames_and_levels(spark):
     parts = np.concatenate([r(x[:1000]), r(x[1000:1500]), r(x[1500:])])
     whole = speech.Resampler(48000, 16000)(x)
     assert np.allclose(parts, whole[: len(parts)]) and abs(len(parts) - len(whole)) <= 1
+
+
+def test_settings_file(spark, tmp_path):
+    from confab.operators import services
+
+    (tmp_path / "c.json").write_text('{"theta": 0.55, "temperature": 0.09, "suggested_cutpoints": {"error<=10%": {"p_best": 0.27, "coverage": 0.642}, "error<=5%": {"p_best": 0.459, "coverage": 0.487}, "error<=2%": {"p_best": 0.986, "coverage": 0.001}}}')
+    assert services.load_settings(spark, str(tmp_path / "c.json")).policy == (0.459, 0.459, 0.60)
+    (tmp_path / "d.json").write_text('{"theta": 0.55, "temperature": 0.09, "suggested_cutpoints": {"error<=5%": {"p_best": 0.459, "coverage": 0.487}, "error<=2%": {"p_best": 0.8, "coverage": 0.25}}}')
+    assert services.load_settings(spark, str(tmp_path / "d.json"), new_speaker=0.7).policy == (0.459, 0.8, 0.7)
+    (tmp_path / "e.json").write_text("{}")
+    assert services.load_settings(spark, str(tmp_path / "e.json")) is None
+
+
+def test_filters():
+    from confab.operators import services
+
+    t = np.arange(4800) / 48000
+    tone = lambda f: np.sin(2 * np.pi * f * t)
+    y = services.resample(tone(440), 48000, 16000)
+    assert len(y) == 1600 and np.abs(y[100:-100] - np.sin(2 * np.pi * 440 * np.arange(1600) / 16000)[100:-100]).max() < 0.02
+    assert np.abs(services.fir(tone(1000), 200, 3500, 48000)[1000:-1000]).max() > 0.8 and np.abs(services.fir(tone(9000), 200, 3500, 48000)[1000:-1000]).max() < 0.05
+
+
+def test_bleu_of_equal_and_different(spark):
+    df = lambda h: spark.createDataFrame([(1, "the cat sat on the mat", h)], "k int, reference string, hypothesis string")
+    assert metrics.bleu(df("the cat sat on the mat"), "k").first()["bleu"] == pytest.approx(100) and metrics.chrf(df("the cat sat on the mat"), "k").first()["chrf"] == pytest.approx(100)
+    got = metrics.bleu(df("the cat the cat on the mat"), "k").first()["bleu"]
+    # 5/7 words, 3/6 pairs; orders three and four: 1/5, and none of 4 (smoothed to half a match)
+    assert got == pytest.approx(100 * (5 / 7 * 3 / 6 * 1 / 5 * 1 / 8) ** 0.25, rel=1e-6)
