@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ class WordIds:
     The tokenizer drops white space and lets no token cross it, so a text's ids are those of its words on end. Ids of a
     word are the tokenizer's own. The table starts again when it holds max_words."""
 
-    def __init__(self, tokenizer_file: str, max_words: int = 300_000):
+    def __init__(self, tokenizer_file: str, max_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -35,17 +36,20 @@ class WordIds:
         self.ids, self.used, self.words = np.zeros(4096, np.uint32), 1, 1
         self.length[0] = 1  # word 0: the id that ends a document, set by the caller
 
-    def _add(self, word: bytes, ids) -> None:
-        k, n = self.words, len(ids)
-        if k == len(self.begin):
+    def _add(self, words: list[bytes], ids: list) -> None:
+        n = len(words)
+        lengths = np.fromiter(map(len, ids), np.int64, n)
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        while self.words + n > len(self.begin):
             self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-        while self.used + n > len(self.ids):
+        while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.begin[k], self.length[k] = self.used, n
-        self.ids[self.used : self.used + n] = ids
-        self.used += n
-        self.words += 1
-        self.index[word] = k
+        self.begin[self.words : self.words + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[self.words : self.words + n] = lengths
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.index.update(zip(words, range(self.words, self.words + n), strict=True))
+        self.words += n
+        self.used += len(flat)
 
     def _plain(self, cores: list[str]) -> None:
         """Ids of words of Latin letters alone, many in one call, told apart by where tokens begin."""
@@ -61,45 +65,48 @@ class WordIds:
                     self.cores[w] = tuple(ids[b:e])
 
     def _learn(self, words: list[bytes]) -> None:
-        plan, need, other = [], {}, []
+        if len(self.cores) > self.max_words // 2:
+            self.cores.clear()
+        plan, need, other, cores = [], {}, [], self.cores
         for word in words:
             text = word.decode("utf-8", "surrogatepass")
             mark = text[-1] if text[-1] in ".,;:?" else ""
             core = text[:-1] if mark else text
-            if core and core.isalpha() and max(core) < "Ā":
+            if core.isalpha() and (core.isascii() or max(core) < "Ā"):
                 core = core.lower()
                 plan.append((word, core, mark))
-                for x in (core, mark):
-                    if x and x not in self.cores:
-                        need[x] = None
+                if core not in cores:
+                    need[core] = None
             else:
                 other.append((word, text))
-        marks = [x for x in need if not x.isalpha()]
-        self._plain([x for x in need if x.isalpha()])
-        for x, enc in zip(marks, self.tokenizer.encode_batch(marks, add_special_tokens=False), strict=True):
-            self.cores[x] = tuple(enc.ids)
-        for word, core, mark in plan:
-            self._add(word, self.cores[core] + self.cores[mark] if mark else self.cores[core])
+        for mark in ".,;:?":
+            if mark not in cores:
+                cores[mark] = tuple(self.tokenizer.encode(mark, add_special_tokens=False).ids)
+        self._plain(list(need))
+        self._add([word for word, _, _ in plan], [cores[core] + cores[mark] if mark else cores[core] for _, core, mark in plan])
         for k in range(0, len(other), 1024):
             part = other[k : k + 1024]
-            for (word, _), enc in zip(part, self.tokenizer.encode_batch([x for _, x in part], add_special_tokens=False), strict=True):
-                self._add(word, enc.ids)
+            self._add([word for word, _ in part], [enc.ids for enc in self.tokenizer.encode_batch([x for _, x in part], add_special_tokens=False)])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end, each text's followed by end_id, and where each text's begin (with the total at last)."""
-        if self.words > self.max_words or self.used > 16 * self.max_words or len(self.cores) > self.max_words:
+        if self.words > self.max_words or self.used > 16 * self.max_words:
             self._clear()
         split = [x.encode("utf-8", "surrogatepass").split() for x in texts]
-        get = self.index.get
-        fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in self.index))
-        if fresh:
-            self._learn(fresh)
+        flat = list(chain.from_iterable(split))
+        known = list(map(self.index.get, flat))
+        missing = [i for i, k in enumerate(known) if k is None]
+        if missing:
+            self._learn(list(dict.fromkeys(flat[i] for i in missing)))
+            for i in missing:
+                known[i] = self.index[flat[i]]
         self.ids[0] = end_id
-        at = np.array([k for ws in split for k in (*map(get, ws), 0)], np.int64)
+        sizes = np.array([len(ws) for ws in split], np.int64)
+        at = np.insert(np.array(known, np.int64), np.cumsum(sizes), 0)
         lengths, begins = self.length[at], self.begin[at]
         total = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.ids[np.repeat(begins - total[:-1], lengths) + np.arange(total[-1])]
-        docs = np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in split])])
+        docs = np.concatenate([[0], np.cumsum(sizes + 1)])
         return ids, total[docs]
 
 
