@@ -20,9 +20,10 @@ class WordIds:
     """Token ids of texts through a table of words.
 
     The tokenizer drops white space and lets no token cross it, so a text's ids are those of its words on end. Ids of a
-    word are the tokenizer's own. The table starts again when it holds max_words."""
+    word are the tokenizer's own. The table starts again when it holds max_words (about 180 bytes each), that of
+    Latin words within it at 400,000."""
 
-    def __init__(self, tokenizer_file: str, max_words: int = 600_000):
+    def __init__(self, tokenizer_file: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -65,7 +66,7 @@ class WordIds:
                     self.cores[w] = tuple(ids[b:e])
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.cores) > self.max_words // 2:
+        if len(self.cores) > 400_000:
             self.cores.clear()
         plan, need, other, cores = [], {}, [], self.cores
         for word in words:
@@ -248,6 +249,8 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
     one piece of the end id alone. Repeated rows and null ids are packed like any other; an empty table gives none;
     other columns aren't read. Only counts by length (capacity rows at most) reach the driver. Pieces of one length are
     ranked in salted groups of about group_rows, so that no length lands in one task."""
+    if not 0 < capacity < 1 << 13:
+        raise ValueError("capacity is 1 to 8191")
     made = durable(pieces(docs, tokenizer_file, capacity, end_id, with_ids, id_col, text_col))
     counts = np.zeros(capacity + 1, np.int64)
     for r in made.groupBy("length").count().collect():
@@ -260,13 +263,11 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
     ranked = salted.withColumn("rank", F.row_number().over(order)).join(F.broadcast(before) if salts <= 64 else before, ["length", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("before"))
     columns = [id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     kinds = dict(made.dtypes)
-    base = capacity + 1
     firsts, begin, sequence, offset = runs[:, 0], runs[:, 1], runs[:, 3], runs[:, 4]
 
     def place(batches):
         # lengths and ranks as one ascending key: ranks are below 2^50
         keys = firsts * (1 << 50) + begin
-        assert base < 1 << 13
         for batch in batches:
             length, at = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             k = np.searchsorted(keys, length * (1 << 50) + at, "right") - 1
