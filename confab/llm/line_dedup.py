@@ -5,10 +5,15 @@ distinct line is indexed by its segments and probes, for its own length and each
 can be such a segment (the multi-match-aware choice of positions). Index and probe entries meet by hash; only entries
 that meet another line's go on to get their texts, and each match is verified with a banded bit-parallel edit distance.
 Within a match group lines that are connected already aren't compared again, so a group gives at most one link for each
-line and not all its pairs."""
+line and not all its pairs.
+
+A flat number of characters doesn't suit long lines, so lines are near also within one word for each so many words.
+There segments would cost the third power of the edits; instead a line is indexed by its rarest grams of three words,
+three for each edit and one more (prefix filter): an edit changes three grams at most, so two near lines share one."""
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +26,11 @@ from .common import SLICE_CHARS, by_text, durable, parallelism, small_batches, t
 from .components import components
 
 FILTER_BITS = 23
+GRAM = 3  # words
+LONG_WORD = 40  # a longer word, or one in a script without blanks, counts as its characters
+RARITY_BITS = 20
+#: kinds of entries
+INDEX, PROBE, GRAMS = 0, 1, 2
 
 
 @lru_cache(65536)
@@ -104,6 +114,96 @@ def lines_of(text: str) -> list[str]:
     return text.split("\n")
 
 
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def words_of(line: str) -> list[str]:
+    found = line.split()
+    if len(max(found, key=len, default="")) <= LONG_WORD and (line.isascii() or not UNSPACED.search(line)):
+        return found
+    return [y for x in found for y in (x if len(x) > LONG_WORD or UNSPACED.search(x) else (x,))]
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _grams(lines: list[str], words_per_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, hash) of the grams of lines that may have edits, and the edits of each line. A line's equal grams are
+    numbered, so that they differ."""
+    from xxhash import xxh3_64_intdigest
+
+    known: dict[str, int] = {}
+    flat, sizes = [], []
+    for line in lines:
+        found = words_of(line)
+        if len(found) < words_per_edit:
+            found = []
+        sizes.append(len(found))
+        for w in found:
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            flat.append(h)
+    size = np.array(sizes, np.int64)
+    edits = size // words_per_edit
+    if len(flat) < GRAM:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), edits
+    h = np.array(flat, np.uint64)
+    of = np.repeat(np.arange(len(lines)), size)
+    n = len(h) - GRAM + 1
+    gram = h[:n]
+    for k in range(1, GRAM):
+        gram = _mix(gram) + h[k : n + k]
+    inside = of[:n] == of[GRAM - 1 :]
+    of, gram = of[:n][inside], _mix(gram[inside])
+    order = np.lexsort((gram, of))
+    of, gram = of[order], gram[order]
+    at = np.arange(len(gram))
+    begin = np.concatenate([[True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])]) if len(gram) else np.zeros(0, bool)
+    again = at - np.maximum.accumulate(np.where(begin, at, 0))
+    return of, np.where(again > 0, _mix(gram + again.astype(np.uint64)), gram), edits
+
+
+def _rarity(docs: DataFrame, words_per_edit: int, min_chars: int, text: str) -> np.ndarray:
+    """For each range of gram hashes how many grams of all lines fall there, as eighths of a logarithm."""
+    blocks = 64
+    small_batches(docs.sparkSession)
+
+    def count(batches):
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for found in text_slices(batches, SLICE_CHARS):
+            fresh = list(dict.fromkeys(x for t in found for x in lines_of(t) if len(x) >= min_chars))
+            total += np.bincount((_grams(fresh, words_per_edit)[1] >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in np.split(total.astype(np.uint32), blocks)], pa.binary())], names=["block", "n"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[b] = total.get(b, 0) + np.frombuffer(n.as_py(), np.uint32).astype(np.int64)
+        packed = [np.minimum(8 * np.log2(n + 1), 255).astype(np.uint8).tobytes() for n in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["block", "n"])
+
+    out = np.zeros((blocks, (1 << RARITY_BITS) // blocks), np.uint8)
+    counted = docs.select(text).mapInArrow(count, "block int, n binary").repartitionById(min(blocks, parallelism(docs.sparkSession)), F.col("block") % min(blocks, parallelism(docs.sparkSession)))
+    for r in counted.mapInArrow(add, "block int, n binary").collect():
+        out[r["block"]] = np.frombuffer(r["n"], np.uint8)
+    return out.ravel()
+
+
+def _rarest(lines: list[str], words_per_edit: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of each line's rarest grams, GRAM for each edit and one more."""
+    of, gram, edits = _grams(lines, words_per_edit)
+    order = np.lexsort((gram, rarity[(gram >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], of))
+    of, gram = of[order], gram[order]
+    many = np.bincount(of, minlength=len(lines))
+    place = np.arange(len(of)) - (np.cumsum(many) - many)[of]
+    keep = place <= GRAM * edits[of]
+    return of[keep], gram[keep]
+
+
 def _entries(line: str, edits: int) -> tuple[list[int], list[int]]:
     """Hashes of a line's segments, and of the substrings that it looks up."""
     from xxhash import xxh3_64_intdigest
@@ -115,23 +215,29 @@ def _entries(line: str, edits: int) -> tuple[list[int], list[int]]:
     return index, [xxh3_64_intdigest(part(p, s), i << 32 | other) for i, other, p, s in probes(n, edits)]
 
 
-def _meetings(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFrame:
-    """sig, key, kind (0 index, 1 probe) of entries whose hash has an index and a probe entry of different lines."""
+def _meetings(docs: DataFrame, edits: int, min_chars: int, words_per_edit: int, text: str) -> DataFrame:
+    """sig, key, kind of entries whose hash has an index and a probe entry, or gram entries, of different lines. The sig
+    of gram entries is a hash of all lines that share the gram: lines that share many meet once."""
     ranges = parallelism(docs.sparkSession)
     small_batches(docs.sparkSession)
+    rarity = _rarity(docs, words_per_edit, min_chars, text)
 
     def emit(batches):
         for found in text_slices(batches, SLICE_CHARS):
-            sigs, keys = [], []
-            for line in dict.fromkeys(x for t in found for x in lines_of(t) if len(x) >= min_chars):
+            sigs, keys, own = [], [], []
+            fresh = list(dict.fromkeys(x for t in found for x in lines_of(t) if len(x) >= min_chars))
+            for line in fresh:
                 index, look = _entries(line, edits)
                 key = _key(line)
-                sigs += [x & ~1 for x in index]
-                sigs += [x | 1 for x in look]
+                sigs += [x & ~3 | INDEX for x in index]
+                sigs += [x & ~3 | PROBE for x in look]
                 keys += [key] * (len(index) + len(look))
+                own.append(key)
             if not sigs:
                 continue
-            s, k = np.array(sigs, np.uint64), np.array(keys, np.uint64)
+            of, gram = _rarest(fresh, words_per_edit, rarity)
+            s = np.concatenate([np.array(sigs, np.uint64), gram & ~np.uint64(3) | np.uint64(GRAMS)])
+            k = np.concatenate([np.array(keys, np.uint64), np.array(own, np.uint64)[of]])
             order = np.lexsort((k, s))
             s, k = s[order], k[order]
             fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])])
@@ -152,17 +258,23 @@ def _meetings(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFra
             s, k = s[order], k[order]
             fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])])
             s, k = s[fresh], k[fresh]
-            group = s >> np.uint64(1)
+            kind = (s & np.uint64(3)).astype(np.int64)
+            # grams make groups of their own
+            group = s >> np.uint64(2) << np.uint64(1) | (kind == GRAMS).astype(np.uint64)
+            order = np.argsort(group, kind="stable")
+            k, kind, group = k[order], kind[order], group[order]
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            probe = (s & np.uint64(1)).astype(np.int64)
             n = np.diff(np.append(first, len(s)))
-            probing = np.add.reduceat(probe, first)
+            probing = np.add.reduceat((kind == PROBE).astype(np.int64), first)
             differ = np.maximum.reduceat(k, first) != np.minimum.reduceat(k, first)
-            keep = np.repeat((probing > 0) & (probing < n) & differ, n)
+            grams = kind[first] == GRAMS
+            together = _mix(np.add.reduceat(_mix(k), first)) << np.uint64(1) >> np.uint64(1) | np.uint64(1)
+            sig = np.repeat(np.where(grams, together, group[first] >> np.uint64(1) << np.uint64(1)), n)
+            keep = np.repeat(((probing > 0) & (probing < n) | grams) & differ, n)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (group[keep].astype(np.int64), k[keep].view(np.int64), probe[keep].astype(np.int32))], names=["sig", "key", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[keep].view(np.int64), k[keep].view(np.int64), kind[keep].astype(np.int32))], names=["sig", "key", "kind"])
 
-    return docs.select(text).mapInArrow(emit, "range int, sigs binary, keys binary").repartitionById(ranges, F.col("range")).mapInArrow(meet, "sig bigint, key bigint, kind int")
+    return docs.select(text).mapInArrow(emit, "range int, sigs binary, keys binary").repartitionById(ranges, F.col("range")).mapInArrow(meet, "sig bigint, key bigint, kind int").distinct()
 
 
 def _join_group(rows: list[tuple[int, int, str]], edits: int) -> list[tuple[int, int]]:
@@ -193,16 +305,44 @@ def _join_group(rows: list[tuple[int, int, str]], edits: int) -> list[tuple[int,
     return out
 
 
+def _join_words(rows: list[tuple[int, str]], words_per_edit: int) -> list[tuple[int, int]]:
+    """Links of one group of rows (key, text) that share a gram: as above, with words for characters."""
+    rows = sorted(rows, key=lambda r: r[0])
+    number: dict[str, int] = {}
+    said = ["".join([chr(number.setdefault(w, len(number)) % 0x110000) for w in words_of(t)]) for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda i: len(said[i]))
+    size = np.array([len(said[i]) for i in order])
+    most = size // words_per_edit
+    counts = _histograms([said[i] for i in order]) if len(rows) > 8 else None
+    part = np.arange(len(rows))
+    out = []
+    for i in range(1, len(order)):
+        # a shorter line has the fewer edits
+        to = np.flatnonzero(size[:i] + most[:i] >= size[i])
+        if counts is not None and to.size:
+            to = to[np.abs(counts[to] - counts[i]).sum(1) <= 2 * most[to]]
+        while to.size:
+            j, to = to[0], to[1:]
+            if within(said[order[j]], said[order[i]], int(most[j])):
+                a, b = rows[order[j]][0], rows[order[i]][0]
+                out.append((min(a, b), max(a, b)))
+                to = to[part[to] != part[j]]
+                part[: i + 1][part[: i + 1] == part[i]] = part[j]
+    return out
+
+
 def _histograms(texts: list[str]) -> np.ndarray:
     return np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64) for t in texts], np.int32)
 
 
-def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str = "text") -> DataFrame:
-    """Edges (a, b) between keys of different lines of min_chars or more within so many edits: enough to connect all that
-    such pairs connect."""
+def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str = "text", words_per_edit: int = 20) -> DataFrame:
+    """Edges (a, b) between keys of different lines of min_chars or more within so many edits of characters, or within one
+    edit of words for each words_per_edit words of the shorter line: enough to connect all that such pairs connect."""
     if min_chars <= edits:
         raise ValueError("min_chars must be over edits, so that no segment is empty")
-    met = durable(_meetings(docs, edits, min_chars, text_col))
+    if words_per_edit <= 2 * GRAM:
+        raise ValueError("words_per_edit must be over twice the words of a gram, so that a line has enough grams")
+    met = durable(_meetings(docs, edits, min_chars, words_per_edit, text_col))
     # A filter of fixed size on the keys that met: it lets all of them pass, and of the others few while those are few
     words = met.selectExpr(f"shiftrightunsigned(key, {64 - FILTER_BITS}) AS p").selectExpr("cast(p div 32 AS int) AS w", "shiftleft(1L, cast(p % 32 AS int)) AS b")
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -222,27 +362,31 @@ def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str =
     texts = docs.select(text_col).mapInArrow(emit, "key bigint, line string").join(needed, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
     ready = met.join(texts, "key").repartition(parallelism(docs.sparkSession), "sig").sortWithinPartitions("sig")
 
+    def join(held):
+        grams = [(k, t) for k, kind, t in held if kind == GRAMS]
+        return _join_group([x for x in held if x[1] != GRAMS], edits) + _join_words(grams, words_per_edit)
+
     def verify(batches):
         names, held, sig, out = ["a", "b"], [], None, []
         for batch in batches:
             for s, k, kind, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if s != sig:
-                    out += _join_group(held, edits)
+                    out += join(held)
                     held, sig = [], s
                 held.append((k, kind, t))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=names)
             out = []
-        out = _join_group(held, edits)
+        out = join(held)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=names)
 
     return ready.select("sig", "key", "kind", "line").mapInArrow(verify, "a bigint, b bigint")
 
 
-def decisions(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decisions(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20) -> DataFrame:
     """id, mark (a hash of the text), dropped: array of (line, first_doc) of the rows that lose a line, in order.
 
-    Lines are parted by a line feed. Lines of min_chars or more characters that are equal or within the edits, directly
-    or over others, are one class; all but its first occurrence (by id, mark and line number) are dropped; first_doc is
+    Lines are parted by a line feed. Lines of min_chars or more characters that are equal or within the edits (see links),
+    directly or over others, are one class; all but its first occurrence (by id, mark and line number) are dropped; first_doc is
     where that is. Shorter lines never are. Rows equal in id and text share their decisions."""
     kind = dict(docs.dtypes)[id_col]
 
@@ -255,7 +399,7 @@ def decisions(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str
         return {id_col: rest[id_col].take(row), "mark": mark.take(row), "line": pa.array([i for i, _ in flat], pa.int32()), "key": key}
 
     lines = durable(by_text(docs, [id_col], f"{id_col} {kind}, mark bigint, line int, key bigint", make, text_col))
-    roots = components(links(docs, edits, min_chars, text_col))
+    roots = components(links(docs, edits, min_chars, text_col, words_per_edit))
     place = F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), "mark", "line")
     keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     joined = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -275,12 +419,12 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
     return by_text(docs, [id_col, *keep], ", ".join(f"{c} {kinds[c]}" for c in (id_col, *keep)) + ", mark bigint, n_lines int", make, text_col)
 
 
-def duplicate_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20) -> DataFrame:
     """id, n_lines, n_dropped, dropped (line numbers), first_docs (id of each one's first occurrence) for each row.
 
     See decisions. A null text is one empty line; repeated rows give a row each; an empty table gives none; other columns
     aren't read."""
-    lost = decisions(docs, edits, min_chars, id_col, text_col).withColumnRenamed(id_col, "other")
+    lost = decisions(docs, edits, min_chars, id_col, text_col, words_per_edit).withColumnRenamed(id_col, "other")
     rows = _marked(docs, id_col, text_col, [])
     found = rows.join(lost, rows[id_col].eqNullSafe(lost["other"]) & (rows["mark"] == lost["mark"]), "left")
     dropped = F.coalesce("dropped.line", F.array().cast("array<int>"))
@@ -288,10 +432,10 @@ def duplicate_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col
     return found.select(id_col, "n_lines", F.size(dropped).alias("n_dropped"), dropped.alias("dropped"), F.coalesce("dropped.first_doc", F.array().cast(f"array<{kind}>")).alias("first_docs"))
 
 
-def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20) -> DataFrame:
     """docs without the dropped lines; a row that had more than blanks and is left with none goes. Columns stay as they
     are (also others, of any name)."""
-    lost = decisions(docs, edits, min_chars, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("mark").alias("__lost"), F.col("dropped.line").alias("__lines"))
+    lost = decisions(docs, edits, min_chars, id_col, text_col, words_per_edit).select(F.col(id_col).alias("__id"), F.col("mark").alias("__lost"), F.col("dropped.line").alias("__lines"))
     names = docs.columns
     small_batches(docs.sparkSession)
 

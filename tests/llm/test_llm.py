@@ -166,6 +166,32 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.duplicate_lines(docs(spark, [])).count() == 0
 
 
+def replaced(r, words, k):
+    words = list(words)
+    for at in r.sample(range(len(words)), k):
+        words[at] = "".join(r.choice("pqrstuvw") for _ in range(9))
+    return words
+
+
+def test_line_dedup_of_long_lines(spark):
+    """Lines of 20 words and more are near copies within one word for each 20, in scripts without blanks one character."""
+    r = random.Random(41)
+    base = [prose(r, r.randint(20, 130), [f"w{k}" for k in range(60)]).split(" ") for _ in range(12)]
+    made = base + [replaced(r, b, k) for b in base for k in (1, len(b) // 20, len(b) // 20 + 1, len(b) // 10)]
+    made += [b[: len(b) // 2] + b[len(b) // 2 + 1 :] for b in base]
+    made += [["same"] * 60, ["same"] * 57, ["same"] * 56, ["other"] + ["same"] * 59]
+    r.shuffle(made)
+    lines = [" ".join(x) for x in made]
+    han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(60))
+    lines += [han, han[:10] + "一丁七" + han[13:], han[:10] + "一丁七万丈" + han[15:]]
+    split = [x.split(" ") if " " in x else list(x) for x in lines]
+    near = [(a, b) for a in range(len(lines)) for b in range(a) if abs(len(split[a]) - len(split[b])) <= 6 and (line_dedup.within(lines[a], lines[b], 2) or edits(split[a], split[b]) <= min(len(split[a]), len(split[b])) // 20)]
+    root = roots(len(lines), near)
+    got = {x["doc_id"]: x for x in line_dedup.duplicate_lines(docs(spark, lines)).collect()}
+    assert [got[i]["first_docs"] for i in range(len(lines))] == [[root[i]] if root[i] != i else [] for i in range(len(lines))]
+    assert sum(root[i] != i for i in range(len(lines))) > 30
+
+
 LETTERS = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
 
 
