@@ -29,6 +29,7 @@ FILTER_BITS = 23
 GRAM = 3  # words
 LONG_WORD = 40  # a longer word, or one in a script without blanks, counts as its characters
 RARITY_BITS = 20
+SIZE_BITS = 18  # of the number of words in a gram's entry; more count as the most
 #: kinds of entries
 INDEX, PROBE, GRAMS = 0, 1, 2
 
@@ -130,7 +131,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _grams(lines: list[str], words_per_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, hash) of the grams of lines that may have edits, and the edits of each line. A line's equal grams are
+    """(line, hash) of the grams of lines that may have edits, and the words of each of these lines (0 for others). A line's equal grams are
     numbered, so that they differ."""
     from xxhash import xxh3_64_intdigest
 
@@ -147,9 +148,8 @@ def _grams(lines: list[str], words_per_edit: int) -> tuple[np.ndarray, np.ndarra
                 h = known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
             flat.append(h)
     size = np.array(sizes, np.int64)
-    edits = size // words_per_edit
     if len(flat) < GRAM:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), edits
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), size
     h = np.array(flat, np.uint64)
     of = np.repeat(np.arange(len(lines)), size)
     n = len(h) - GRAM + 1
@@ -163,7 +163,7 @@ def _grams(lines: list[str], words_per_edit: int) -> tuple[np.ndarray, np.ndarra
     at = np.arange(len(gram))
     begin = np.concatenate([[True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])]) if len(gram) else np.zeros(0, bool)
     again = at - np.maximum.accumulate(np.where(begin, at, 0))
-    return of, np.where(again > 0, _mix(gram + again.astype(np.uint64)), gram), edits
+    return of, np.where(again > 0, _mix(gram + again.astype(np.uint64)), gram), size
 
 
 def _rarity(docs: DataFrame, words_per_edit: int, min_chars: int, text: str) -> np.ndarray:
@@ -193,15 +193,15 @@ def _rarity(docs: DataFrame, words_per_edit: int, min_chars: int, text: str) ->
     return out.ravel()
 
 
-def _rarest(lines: list[str], words_per_edit: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of each line's rarest grams, GRAM for each edit and one more."""
-    of, gram, edits = _grams(lines, words_per_edit)
+def _rarest(lines: list[str], words_per_edit: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, hash, words of the line) of each line's rarest grams, GRAM for each edit and one more."""
+    of, gram, size = _grams(lines, words_per_edit)
     order = np.lexsort((gram, rarity[(gram >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], of))
     of, gram = of[order], gram[order]
     many = np.bincount(of, minlength=len(lines))
     place = np.arange(len(of)) - (np.cumsum(many) - many)[of]
-    keep = place <= GRAM * edits[of]
-    return of[keep], gram[keep]
+    keep = place <= GRAM * (size[of] // words_per_edit)
+    return of[keep], gram[keep], size[of[keep]]
 
 
 def _entries(line: str, edits: int) -> tuple[list[int], list[int]]:
@@ -215,6 +215,30 @@ def _entries(line: str, edits: int) -> tuple[list[int], list[int]]:
     return index, [xxh3_64_intdigest(part(p, s), i << 32 | other) for i, other, p, s in probes(n, edits)]
 
 
+def _segment_groups(s: np.ndarray, k: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(s):
+        return s, k, kind
+    group = s >> np.uint64(2) << np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    n = np.diff(np.append(first, len(s)))
+    probing = np.add.reduceat((kind == PROBE).astype(np.int64), first)
+    differ = np.maximum.reduceat(k, first) != np.minimum.reduceat(k, first)
+    keep = np.repeat((probing > 0) & (probing < n) & differ, n)
+    return group[keep], k[keep], kind[keep]
+
+
+def _gram_groups(s: np.ndarray, k: np.ndarray, words_per_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(s):
+        return s, k, np.zeros(0, np.int64)
+    gram, size = s >> np.uint64(SIZE_BITS + 2), (s >> np.uint64(2) & np.uint64((1 << SIZE_BITS) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (size[1:] > size[:-1] + size[:-1] // words_per_edit)]))
+    n = np.diff(np.append(first, len(s)))
+    differ = np.maximum.reduceat(k, first) != np.minimum.reduceat(k, first)
+    together = _mix(np.add.reduceat(_mix(k), first)) | np.uint64(1)
+    keep = np.repeat(differ, n)
+    return np.repeat(together, n)[keep], k[keep], np.full(int(keep.sum()), GRAMS)
+
+
 def _meetings(docs: DataFrame, edits: int, min_chars: int, words_per_edit: int, text: str) -> DataFrame:
     """sig, key, kind of entries whose hash has an index and a probe entry, or gram entries, of different lines. The sig
     of gram entries is a hash of all lines that share the gram: lines that share many meet once."""
@@ -235,8 +259,10 @@ def _meetings(docs: DataFrame, edits: int, min_chars: int, words_per_edit: int,
                 own.append(key)
             if not sigs:
                 continue
-            of, gram = _rarest(fresh, words_per_edit, rarity)
-            s = np.concatenate([np.array(sigs, np.uint64), gram & ~np.uint64(3) | np.uint64(GRAMS)])
+            of, gram, n = _rarest(fresh, words_per_edit, rarity)
+            n = np.minimum(n, (1 << SIZE_BITS) - 1).astype(np.uint64)
+            gram = gram >> np.uint64(SIZE_BITS + 2) << np.uint64(SIZE_BITS + 2)
+            s = np.concatenate([np.array(sigs, np.uint64), gram | n << np.uint64(2) | np.uint64(GRAMS)])
             k = np.concatenate([np.array(keys, np.uint64), np.array(own, np.uint64)[of]])
             order = np.lexsort((k, s))
             s, k = s[order], k[order]
@@ -259,20 +285,12 @@ def _meetings(docs: DataFrame, edits: int, min_chars: int, words_per_edit: int,
             fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])])
             s, k = s[fresh], k[fresh]
             kind = (s & np.uint64(3)).astype(np.int64)
-            # grams make groups of their own
-            group = s >> np.uint64(2) << np.uint64(1) | (kind == GRAMS).astype(np.uint64)
-            order = np.argsort(group, kind="stable")
-            k, kind, group = k[order], kind[order], group[order]
-            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            n = np.diff(np.append(first, len(s)))
-            probing = np.add.reduceat((kind == PROBE).astype(np.int64), first)
-            differ = np.maximum.reduceat(k, first) != np.minimum.reduceat(k, first)
-            grams = kind[first] == GRAMS
-            together = _mix(np.add.reduceat(_mix(k), first)) << np.uint64(1) >> np.uint64(1) | np.uint64(1)
-            sig = np.repeat(np.where(grams, together, group[first] >> np.uint64(1) << np.uint64(1)), n)
-            keep = np.repeat(((probing > 0) & (probing < n) | grams) & differ, n)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[keep].view(np.int64), k[keep].view(np.int64), kind[keep].astype(np.int32))], names=["sig", "key", "kind"])
+            # grams make groups of their own, parted where the next line has too many words to be near
+            on = kind == GRAMS
+            parts = [_segment_groups(s[~on], k[~on], kind[~on]), _gram_groups(s[on], k[on], words_per_edit)]
+            sig, k, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(sig):
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(k.view(np.int64)), pa.array(kind.astype(np.int32))], names=["sig", "key", "kind"])
 
     return docs.select(text).mapInArrow(emit, "range int, sigs binary, keys binary").repartitionById(ranges, F.col("range")).mapInArrow(meet, "sig bigint, key bigint, kind int").distinct()
 
@@ -382,16 +400,18 @@ def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str =
     return ready.select("sig", "key", "kind", "line").mapInArrow(verify, "a bigint, b bigint")
 
 
-def decisions(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20) -> DataFrame:
+def decisions(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20, equal_chars: int | None = None) -> DataFrame:
     """id, mark (a hash of the text), dropped: array of (line, first_doc) of the rows that lose a line, in order.
 
     Lines are parted by a line feed. Lines of min_chars or more characters that are equal or within the edits (see links),
     directly or over others, are one class; all but its first occurrence (by id, mark and line number) are dropped; first_doc is
-    where that is. Shorter lines never are. Rows equal in id and text share their decisions."""
+    where that is. Shorter lines of equal_chars (min_chars, if null) or more that aren't blank are one class only if they
+    are equal; others never are dropped. Rows equal in id and text share their decisions."""
     kind = dict(docs.dtypes)[id_col]
+    equal = min_chars if equal_chars is None else equal_chars
 
     def make(rest, found):
-        n = [[(i, x) for i, x in enumerate(lines_of(t)) if len(x) >= min_chars] for t in found]
+        n = [[(i, x) for i, x in enumerate(lines_of(t)) if len(x) >= min_chars or len(x) >= equal and x.strip()] for t in found]
         row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in n]), pa.int64())
         mark = pa.array(np.array([_key(t) for t in found], np.uint64).view(np.int64))
         flat = [y for x in n for y in x]
@@ -419,12 +439,12 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
     return by_text(docs, [id_col, *keep], ", ".join(f"{c} {kinds[c]}" for c in (id_col, *keep)) + ", mark bigint, n_lines int", make, text_col)
 
 
-def duplicate_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20) -> DataFrame:
+def duplicate_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20, equal_chars: int | None = None) -> DataFrame:
     """id, n_lines, n_dropped, dropped (line numbers), first_docs (id of each one's first occurrence) for each row.
 
     See decisions. A null text is one empty line; repeated rows give a row each; an empty table gives none; other columns
     aren't read."""
-    lost = decisions(docs, edits, min_chars, id_col, text_col, words_per_edit).withColumnRenamed(id_col, "other")
+    lost = decisions(docs, edits, min_chars, id_col, text_col, words_per_edit, equal_chars).withColumnRenamed(id_col, "other")
     rows = _marked(docs, id_col, text_col, [])
     found = rows.join(lost, rows[id_col].eqNullSafe(lost["other"]) & (rows["mark"] == lost["mark"]), "left")
     dropped = F.coalesce("dropped.line", F.array().cast("array<int>"))
@@ -432,10 +452,10 @@ def duplicate_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col
     return found.select(id_col, "n_lines", F.size(dropped).alias("n_dropped"), dropped.alias("dropped"), F.coalesce("dropped.first_doc", F.array().cast(f"array<{kind}>")).alias("first_docs"))
 
 
-def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20) -> DataFrame:
+def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20, equal_chars: int | None = None) -> DataFrame:
     """docs without the dropped lines; a row that had more than blanks and is left with none goes. Columns stay as they
     are (also others, of any name)."""
-    lost = decisions(docs, edits, min_chars, id_col, text_col, words_per_edit).select(F.col(id_col).alias("__id"), F.col("mark").alias("__lost"), F.col("dropped.line").alias("__lines"))
+    lost = decisions(docs, edits, min_chars, id_col, text_col, words_per_edit, equal_chars).select(F.col(id_col).alias("__id"), F.col("mark").alias("__lost"), F.col("dropped.line").alias("__lines"))
     names = docs.columns
     small_batches(docs.sparkSession)
 

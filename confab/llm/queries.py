@@ -25,7 +25,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.duplicate_lines(_docs(spark, sf_dir), edits=2, min_chars=24)
+    return line_dedup.duplicate_lines(_docs(spark, sf_dir), edits=2, min_chars=24, equal_chars=1)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines but their first occurrence go, and rows that they leave empty; n_chars follows the text."""
-    out = line_dedup.remove_lines(docs, edits=2, min_chars=24)
+    out = line_dedup.remove_lines(docs, edits=2, min_chars=24, equal_chars=1)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes).get("n_chars", "bigint")))
 
 

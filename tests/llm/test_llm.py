@@ -192,6 +192,16 @@ def test_line_dedup_of_long_lines(spark):
     assert sum(root[i] != i for i in range(len(lines))) > 30
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """The query drops later occurrences of short lines too, if they are equal and not blank."""
+    from confab.llm import queries
+
+    han = "今日は天気がいいので散歩に行きました。"
+    docs(spark, ["one\n\n \nx\n" + han, "\n \nOne\none\none", han + "\nx\n\nones", "\n"]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: (x["dropped"], x["first_docs"]) for x in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: ([], []), 1: ([3, 4], [0, 0]), 2: ([0, 1], [0, 0]), 3: ([], [])}
+
+
 LETTERS = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
 
 
