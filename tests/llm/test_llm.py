@@ -320,9 +320,9 @@ def optimal(sizes, capacity):
 
 def test_reduction_keeps_the_optimum():
     r = np.random.default_rng(9)
-    for _ in range(150):
-        capacity = int(r.integers(6, 20))
-        sizes = r.integers(1, capacity + 1, int(r.integers(1, 9)))
+    for _ in range(1500):
+        capacity = int(r.integers(6, 24))
+        sizes = r.integers(1, capacity + 1, int(r.integers(1, 10)))
         n = np.bincount(sizes, minlength=capacity + 1)
         rest, fixed = packing.reduce_dominated(n, capacity)
         left = np.repeat(np.arange(capacity + 1), rest)
