@@ -35,6 +35,16 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string")) % n
 
 
+def unused(names: list[str], n: int) -> list[str]:
+    """n column names that differ from the given ones, whatever their case."""
+    taken, out, k = {x.lower() for x in names}, [], 0
+    while len(out) < n:
+        if (name := f"own_{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,37 +1,41 @@
 """Near-duplicate lines by a segment-partition edit join (Pass-Join), and their removal.
 
-Two lines within t edits share, if one is cut into t + 1 segments, at least one segment, at nearly the same place. Each
-distinct line is indexed by its segments and probes, for its own length and each up to t shorter, the substrings that
-can be such a segment (the multi-match-aware choice of positions). Index and probe entries meet by hash; only entries
-that meet another line's go on to get their texts, and each match is verified with a banded bit-parallel edit distance.
-Within a match group lines that are connected already aren't compared again, so a group gives at most one link for each
-line and not all its pairs.
-
-A flat number of characters doesn't suit long lines, so lines are near also within one word for each so many words.
-There segments would cost the third power of the edits; instead a line is indexed by its rarest grams of three words,
-three for each edit and one more (prefix filter): an edit changes three grams at most, so two near lines share one."""
+A line of under 20 words is a string of characters, a longer one a string of words. Two such strings within t edits
+share, if the shorter one is cut into t + 1 segments, at least one segment, at nearly the same place. Each distinct line is
+indexed by its segments and probes, for its own length and each shorter one in reach, the substrings that can be such a
+segment (the multi-match-aware choice of positions). All segments of a slice of lines are hashed at once, as differences
+of prefix sums. Index and probe entries meet by hash; only entries that meet another line's go on to get their texts, and
+each match is verified with a banded bit-parallel edit distance. Within a match group lines that are connected already
+aren't compared again, so a group gives at most one link for each line and not all its pairs.
+
+The edits of a long line grow with the root of its words, so that the probes of a line, about a third of the third power
+of its edits, stay fewer than two for each word up to 20,000 words. Up to 225 words that is at least one edit in 45
+words, as many single words as leave the 5-word shingles of two lines 0.8 alike."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import SLICE_CHARS, by_text, durable, parallelism, small_batches, text_slices
+from .common import by_text, durable, parallelism, small_batches, text_slices, unused
 from .components import components
 
 FILTER_BITS = 23
-GRAM = 3  # words
+SLICE = 4_000_000  # characters of lines that are told apart at once
+LONG_LINE = 20  # words
 LONG_WORD = 40  # a longer word, or one in a script without blanks, counts as its characters
-RARITY_BITS = 20
-SIZE_BITS = 18  # of the number of words in a gram's entry; more count as the most
-#: kinds of entries
-INDEX, PROBE, GRAMS = 0, 1, 2
+INDEX, PROBE = 0, 1
+
+
+def word_edits(words: int) -> int:
+    """The edits of a line of so many words (20 or more): two, or a third of the root of its words."""
+    return max(2, isqrt(words) // 3)
 
 
 @lru_cache(65536)
@@ -47,24 +51,30 @@ def cuts(length: int, edits: int) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
-@lru_cache(65536)
-def probes(length: int, edits: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(segment, indexed length, begin, size) of the substrings that a line of this length looks up."""
-    out = []
-    for other in range(max(edits + 1, length - edits), length + 1):
-        d = length - other
-        for i, (p, size) in enumerate(cuts(other, edits)):
-            low = max(0, p - i, p + d - (edits - i))
-            high = min(length - size, p + i, p + d + (edits - i))
-            out += [(i, other, q, size) for q in range(low, high + 1)]
-    return tuple(out)
+@lru_cache(256)
+def places(length: int, edits: int, by_words: bool) -> np.ndarray:
+    """(segment, indexed length, begin, size, kind) of the segments that a line of this length is indexed by, and of the
+    substrings that it looks up. By words, edits is the least number for any length."""
+    most = (lambda n: word_edits(n)) if by_words else (lambda n: edits)
+    least = LONG_LINE if by_words else edits + 1
+    out = [(i, length, p, size, INDEX) for i, (p, size) in enumerate(cuts(length, most(length)))]
+    for other in range(max(least, length - most(length)), length + 1):
+        d, t = length - other, most(other)
+        if d > t:
+            continue
+        for i, (p, size) in enumerate(cuts(other, t)):
+            low = max(0, p - i, p + d - (t - i))
+            high = min(length - size, p + i, p + d + (t - i))
+            out += [(i, other, q, size, PROBE) for q in range(low, high + 1)]
+    return np.array(out, np.int64).reshape(-1, 5)
 
 
 def within(a: str, b: str, edits: int) -> bool:
     """Whether a turns into b with at most so many insertions, deletions and replacements of characters.
 
     After the common ends are cut off, a bit-parallel automaton runs over b: for each number of errors a word with one
-    bit for each diagonal of the band of width 2 * edits + 1."""
+    bit for each diagonal of the band of width 2 * edits + 1. The places of a character are kept within the band too, so
+    each step costs the same however long the strings are."""
     if abs(len(a) - len(b)) > edits:
         return False
     k = _common(a, b)
@@ -76,15 +86,23 @@ def within(a: str, b: str, edits: int) -> bool:
         return True  # replace, then insert or delete the rest
     width = 2 * edits + 1
     full = (1 << width) - 1
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << (i + edits)
+    where: dict[str, tuple[int, int]] = {}  # character: its places within the band, seen from step
+
+    def add(i: int, step: int) -> None:
+        places, was = where.get(a[i], (0, step))
+        where[a[i]] = places >> (step - was) | 1 << (i - step + edits), step
+
+    for i in range(min(edits, len(a))):
+        add(i, 0)
     # bit d + edits of word e: a[: j + d] turns into b[:j] with e errors
     now = [1 << edits]
     for _ in range(edits):
         now.append((now[-1] << 1 | now[-1]) & full)
     for j, c in enumerate(b):
-        match = where.get(c, 0) >> j & full
+        if j + edits < len(a):
+            add(j + edits, j)
+        found, was = where.get(c, (0, j))
+        match = found >> (j - was) & full
         after = [now[0] & match]
         for e in range(1, edits + 1):
             after.append(((now[e] & match) | now[e - 1] | now[e - 1] >> 1 | after[-1] << 1 | after[-1]) & full)
@@ -130,237 +148,184 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _grams(lines: list[str], words_per_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, hash) of the grams of lines that may have edits, and the words of each of these lines (0 for others). A line's equal grams are
-    numbered, so that they differ."""
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _hashed(symbols: np.ndarray, sizes: np.ndarray, edits: int, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(line, sig) of the entries of lines given as hashed symbols on end. The last bit of a sig is its kind."""
+    n = len(symbols)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(_mix(symbols) * _powers(BASE, n))])
+    back = _powers(UNBASE, n + 1)
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(sizes, kind="stable")
+    lines, sigs = [], []
+    for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+        if not group.size:
+            continue
+        at = places(int(sizes[group[0]]), edits, by_words)
+        salt = _mix(_mix(at[:, 1].astype(np.uint64) + np.uint64(BASE)) + (at[:, 0] * 2 + by_words).astype(np.uint64))
+        for k in range(0, len(group), max(1, 500_000 // len(at))):
+            part = group[k : k + max(1, 500_000 // len(at))]
+            begin = starts[part][:, None] + at[:, 2]
+            h = (sums[begin + at[:, 3]] - sums[begin]) * back[begin]
+            h = _mix(_mix(h) + salt)
+            lines.append(np.repeat(part, len(at)))
+            sigs.append((h & ~np.uint64(1) | at[:, 4].astype(np.uint64)).ravel())
+    if not lines:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(lines), np.concatenate(sigs)
+
+
+def entries(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, sig) of all segments of lines and of all substrings that they look up."""
     from xxhash import xxh3_64_intdigest
 
     known: dict[str, int] = {}
-    flat, sizes = [], []
-    for line in lines:
+    flat, sizes, long, short = [], [], [], []
+    for i, line in enumerate(lines):
         found = words_of(line)
-        if len(found) < words_per_edit:
-            found = []
+        if len(found) < LONG_LINE:
+            short.append(i)
+            continue
+        long.append(i)
         sizes.append(len(found))
         for w in found:
             h = known.get(w)
             if h is None:
                 h = known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
             flat.append(h)
-    size = np.array(sizes, np.int64)
-    if len(flat) < GRAM:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), size
-    h = np.array(flat, np.uint64)
-    of = np.repeat(np.arange(len(lines)), size)
-    n = len(h) - GRAM + 1
-    gram = h[:n]
-    for k in range(1, GRAM):
-        gram = _mix(gram) + h[k : n + k]
-    inside = of[:n] == of[GRAM - 1 :]
-    of, gram = of[:n][inside], _mix(gram[inside])
-    order = np.lexsort((gram, of))
-    of, gram = of[order], gram[order]
-    at = np.arange(len(gram))
-    begin = np.concatenate([[True], (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])]) if len(gram) else np.zeros(0, bool)
-    again = at - np.maximum.accumulate(np.where(begin, at, 0))
-    return of, np.where(again > 0, _mix(gram + again.astype(np.uint64)), gram), size
-
-
-def _rarity(docs: DataFrame, words_per_edit: int, min_chars: int, text: str) -> np.ndarray:
-    """For each range of gram hashes how many grams of all lines fall there, as eighths of a logarithm."""
-    blocks = 64
-    small_batches(docs.sparkSession)
-
-    def count(batches):
-        total = np.zeros(1 << RARITY_BITS, np.int64)
-        for found in text_slices(batches, SLICE_CHARS):
-            fresh = list(dict.fromkeys(x for t in found for x in lines_of(t) if len(x) >= min_chars))
-            total += np.bincount((_grams(fresh, words_per_edit)[1] >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in np.split(total.astype(np.uint32), blocks)], pa.binary())], names=["block", "n"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for b, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[b] = total.get(b, 0) + np.frombuffer(n.as_py(), np.uint32).astype(np.int64)
-        packed = [np.minimum(8 * np.log2(n + 1), 255).astype(np.uint8).tobytes() for n in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["block", "n"])
-
-    out = np.zeros((blocks, (1 << RARITY_BITS) // blocks), np.uint8)
-    counted = docs.select(text).mapInArrow(count, "block int, n binary").repartitionById(min(blocks, parallelism(docs.sparkSession)), F.col("block") % min(blocks, parallelism(docs.sparkSession)))
-    for r in counted.mapInArrow(add, "block int, n binary").collect():
-        out[r["block"]] = np.frombuffer(r["n"], np.uint8)
-    return out.ravel()
-
-
-def _rarest(lines: list[str], words_per_edit: int, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, hash, words of the line) of each line's rarest grams, GRAM for each edit and one more."""
-    of, gram, size = _grams(lines, words_per_edit)
-    order = np.lexsort((gram, rarity[(gram >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], of))
-    of, gram = of[order], gram[order]
-    many = np.bincount(of, minlength=len(lines))
-    place = np.arange(len(of)) - (np.cumsum(many) - many)[of]
-    keep = place <= GRAM * (size[of] // words_per_edit)
-    return of[keep], gram[keep], size[of[keep]]
-
-
-def _entries(line: str, edits: int) -> tuple[list[int], list[int]]:
-    """Hashes of a line's segments, and of the substrings that it looks up."""
-    from xxhash import xxh3_64_intdigest
-
-    n = len(line)
-    raw = line.encode("utf-8", "surrogatepass")
-    part = (lambda p, s: raw[p : p + s]) if len(raw) == n else (lambda p, s: line[p : p + s].encode("utf-8", "surrogatepass"))
-    index = [xxh3_64_intdigest(part(p, s), i << 32 | n) for i, (p, s) in enumerate(cuts(n, edits))]
-    return index, [xxh3_64_intdigest(part(p, s), i << 32 | other) for i, other, p, s in probes(n, edits)]
-
-
-def _segment_groups(s: np.ndarray, k: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not len(s):
-        return s, k, kind
-    group = s >> np.uint64(2) << np.uint64(1)
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    a, s = _hashed(np.array(flat, np.uint64), np.array(sizes, np.int64), edits, True)
+    of, sig = np.array(long, np.int64)[a], s
+    codes = np.frombuffer("".join([lines[i] for i in short]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    a, s = _hashed(codes + np.uint64(1), np.array([len(lines[i]) for i in short], np.int64), edits, False)
+    return np.concatenate([of, np.array(short, np.int64)[a]]), np.concatenate([sig, s])
+
+
+def _groups(s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, key) of the entries whose hash has an index and a probe entry of different lines. A group is known by a hash
+    of its lines, so lines that share several segments meet once."""
+    sig = s >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     n = np.diff(np.append(first, len(s)))
-    probing = np.add.reduceat((kind == PROBE).astype(np.int64), first)
+    probing = np.add.reduceat((s & np.uint64(1)).astype(np.int64), first)
     differ = np.maximum.reduceat(k, first) != np.minimum.reduceat(k, first)
     keep = np.repeat((probing > 0) & (probing < n) & differ, n)
-    return group[keep], k[keep], kind[keep]
-
-
-def _gram_groups(s: np.ndarray, k: np.ndarray, words_per_edit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not len(s):
-        return s, k, np.zeros(0, np.int64)
-    gram, size = s >> np.uint64(SIZE_BITS + 2), (s >> np.uint64(2) & np.uint64((1 << SIZE_BITS) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (size[1:] > size[:-1] + size[:-1] // words_per_edit)]))
-    n = np.diff(np.append(first, len(s)))
-    differ = np.maximum.reduceat(k, first) != np.minimum.reduceat(k, first)
-    together = _mix(np.add.reduceat(_mix(k), first)) | np.uint64(1)
-    keep = np.repeat(differ, n)
-    return np.repeat(together, n)[keep], k[keep], np.full(int(keep.sum()), GRAMS)
-
-
-def _meetings(docs: DataFrame, edits: int, min_chars: int, words_per_edit: int, text: str) -> DataFrame:
-    """sig, key, kind of entries whose hash has an index and a probe entry, or gram entries, of different lines. The sig
-    of gram entries is a hash of all lines that share the gram: lines that share many meet once."""
+    sig, k = sig[keep], k[keep]
+    if not len(sig):
+        return sig, k
+    order = np.lexsort((k, sig))
+    sig, k = sig[order], k[order]
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (k[1:] != k[:-1])])
+    sig, k = sig[fresh], k[fresh]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    n = np.diff(np.append(first, len(sig)))
+    group = np.repeat(_mix(np.add.reduceat(_mix(k + np.uint64(BASE)), first)), n)
+    order = np.lexsort((k, group))
+    group, k = group[order], k[order]
+    fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (k[1:] != k[:-1])])
+    return group[fresh], k[fresh]
+
+
+def _fresh(found: list[str], min_chars: int) -> list[str]:
+    return list(dict.fromkeys(x for t in found for x in lines_of(t) if len(x) >= min_chars))
+
+
+def _meetings(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFrame:
+    """group, key: the lines that share a segment."""
     ranges = parallelism(docs.sparkSession)
     small_batches(docs.sparkSession)
-    rarity = _rarity(docs, words_per_edit, min_chars, text)
 
     def emit(batches):
-        for found in text_slices(batches, SLICE_CHARS):
-            sigs, keys, own = [], [], []
-            fresh = list(dict.fromkeys(x for t in found for x in lines_of(t) if len(x) >= min_chars))
-            for line in fresh:
-                index, look = _entries(line, edits)
-                key = _key(line)
-                sigs += [x & ~3 | INDEX for x in index]
-                sigs += [x & ~3 | PROBE for x in look]
-                keys += [key] * (len(index) + len(look))
-                own.append(key)
-            if not sigs:
+        for found in text_slices(batches, SLICE):
+            fresh = _fresh(found, min_chars)
+            if not fresh:
                 continue
-            of, gram, n = _rarest(fresh, words_per_edit, rarity)
-            n = np.minimum(n, (1 << SIZE_BITS) - 1).astype(np.uint64)
-            gram = gram >> np.uint64(SIZE_BITS + 2) << np.uint64(SIZE_BITS + 2)
-            s = np.concatenate([np.array(sigs, np.uint64), gram | n << np.uint64(2) | np.uint64(GRAMS)])
-            k = np.concatenate([np.array(keys, np.uint64), np.array(own, np.uint64)[of]])
+            of, s = entries(fresh, edits)
+            k = np.array([_key(x) for x in fresh], np.uint64)[of]
             order = np.lexsort((k, s))
             s, k = s[order], k[order]
-            fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])])
-            s, k = s[fresh], k[fresh]
+            one = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])])
+            s, k = s[one], k[one]
             cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
             at = [r for r in range(ranges) if cut[r + 1] > cut[r]]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([s[cut[r] : cut[r + 1]].tobytes() for r in at], pa.binary()), pa.array([k[cut[r] : cut[r + 1]].tobytes() for r in at], pa.binary())], names=["range", "sigs", "keys"])
 
     def meet(batches):
-        groups: dict[int, list] = {}
+        parts: dict[int, list] = {}
         for batch in batches:
             for r, s, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                groups.setdefault(r, []).append((np.frombuffer(s.as_py(), np.uint64), np.frombuffer(k.as_py(), np.uint64)))
-        for r in list(groups):
-            part = groups.pop(r)
+                parts.setdefault(r, []).append((np.frombuffer(s.as_py(), np.uint64), np.frombuffer(k.as_py(), np.uint64)))
+        for r in list(parts):
+            part = parts.pop(r)
             s, k = np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
-            order = np.lexsort((k, s))
-            s, k = s[order], k[order]
-            fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])])
-            s, k = s[fresh], k[fresh]
-            kind = (s & np.uint64(3)).astype(np.int64)
-            # grams make groups of their own, parted where the next line has too many words to be near
-            on = kind == GRAMS
-            parts = [_segment_groups(s[~on], k[~on], kind[~on]), _gram_groups(s[on], k[on], words_per_edit)]
-            sig, k, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(sig):
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(k.view(np.int64)), pa.array(kind.astype(np.int32))], names=["sig", "key", "kind"])
-
-    return docs.select(text).mapInArrow(emit, "range int, sigs binary, keys binary").repartitionById(ranges, F.col("range")).mapInArrow(meet, "sig bigint, key bigint, kind int").distinct()
-
-
-def _join_group(rows: list[tuple[int, int, str]], edits: int) -> list[tuple[int, int]]:
-    """Links of one match group: rows (key, kind, text) that share a segment; only unconnected pairs are compared."""
-    index = [(k, t) for k, kind, t in rows if not kind]
-    look = [(k, t) for k, kind, t in rows if kind]
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := root.get(x, x)) != x:
-            root[x] = root.get(y, y)
-            x = y
-        return x
-
-    counts = None
-    if len(index) * len(look) > 256:
-        # characters that differ in number are two for each edit at most: most pairs fall to that
-        counts = _histograms([t for _, t in index])
-    out = []
-    for k, t in look:
-        to = range(len(index)) if counts is None else np.flatnonzero(np.abs(counts - _histograms([t])[0]).sum(1) <= 2 * edits).tolist()
-        for i in to:
-            other, text = index[i]
-            a, b = find(k), find(other)
-            if a != b and within(text, t, edits):
-                root[max(a, b)] = min(a, b)
-                out.append((min(k, other), max(k, other)))
-    return out
+            order = np.argsort(s, kind="stable")
+            group, k = _groups(s[order], k[order])
+            if len(group):
+                yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(k.view(np.int64))], names=["sig", "key"])
+
+    return docs.select(text).mapInArrow(emit, "range int, sigs binary, keys binary").repartitionById(ranges, F.col("range")).mapInArrow(meet, "sig bigint, key bigint").distinct()
 
 
-def _join_words(rows: list[tuple[int, str]], words_per_edit: int) -> list[tuple[int, int]]:
-    """Links of one group of rows (key, text) that share a gram: as above, with words for characters."""
-    rows = sorted(rows, key=lambda r: r[0])
+def _histograms(texts: list) -> np.ndarray:
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) if isinstance(t, str) else np.array(t, np.uint32)
+    return np.array([np.bincount(codes(t) & 63, minlength=64) for t in texts], np.int32)
+
+
+def _strings(lines: list[str]) -> tuple[list, bool]:
+    """Lines that share a segment as strings of symbols (of one kind), and whether these are words."""
+    split = [words_of(x) for x in lines]
+    if len(split[0]) < LONG_LINE:
+        return lines, False
     number: dict[str, int] = {}
-    said = ["".join([chr(number.setdefault(w, len(number)) % 0x110000) for w in words_of(t)]) for _, t in rows]
-    order = sorted(range(len(rows)), key=lambda i: len(said[i]))
-    size = np.array([len(said[i]) for i in order])
-    most = size // words_per_edit
+    said = [tuple([number.setdefault(w, len(number)) for w in x]) for x in split]
+    # as many words as there are characters can be written as such, which compare faster
+    return (["".join(map(chr, x)) for x in said] if len(number) < 0x110000 else said), True
+
+
+def join_group(rows: list[tuple[int, str]], edits: int) -> list[tuple[int, int]]:
+    """Links of one match group: rows (key, line) that share a segment. The index entries of a group have its least length,
+    so only pairs with such a line are compared, and of these only unconnected ones."""
+    rows = sorted(rows)
+    said, by_words = _strings([t for _, t in rows])
+    size = np.array([len(x) for x in said])
+    least = int(size.min())
+    most = word_edits(least) if by_words else edits
+    # lines of the least length first: they are what the others are held against
+    order = np.argsort(size, kind="stable")
     counts = _histograms([said[i] for i in order]) if len(rows) > 8 else None
-    part = np.arange(len(rows))
-    out = []
-    for i in range(1, len(order)):
-        # a shorter line has the fewer edits
-        to = np.flatnonzero(size[:i] + most[:i] >= size[i])
+    size = size[order]
+    part, out = np.arange(len(rows)), []
+    for i in range(int(np.searchsorted(size, least, "right"))):
+        to = np.arange(i + 1, int(np.searchsorted(size, least + most, "right")))
+        to = to[part[to] != part[i]]
         if counts is not None and to.size:
-            to = to[np.abs(counts[to] - counts[i]).sum(1) <= 2 * most[to]]
+            # symbols that differ in number are two for each edit at most: most pairs fall to that
+            to = to[np.abs(counts[to] - counts[i]).sum(1) <= 2 * most]
         while to.size:
             j, to = to[0], to[1:]
-            if within(said[order[j]], said[order[i]], int(most[j])):
-                a, b = rows[order[j]][0], rows[order[i]][0]
+            if within(said[order[i]], said[order[j]], most):
+                a, b = rows[order[i]][0], rows[order[j]][0]
                 out.append((min(a, b), max(a, b)))
-                to = to[part[to] != part[j]]
-                part[: i + 1][part[: i + 1] == part[i]] = part[j]
+                part[part == part[j]] = part[i]
+                to = to[part[to] != part[i]]
     return out
 
 
-def _histograms(texts: list[str]) -> np.ndarray:
-    return np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64) for t in texts], np.int32)
-
-
-def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str = "text", words_per_edit: int = 20) -> DataFrame:
-    """Edges (a, b) between keys of different lines of min_chars or more within so many edits of characters, or within one
-    edit of words for each words_per_edit words of the shorter line: enough to connect all that such pairs connect."""
+def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str = "text") -> DataFrame:
+    """Edges (a, b) between keys of different lines of min_chars or more that are near: both of under 20 words and within so
+    many edits of characters, or both of 20 words or more and within word_edits edits of words, by the one with fewer:
+    enough to connect all that such pairs connect."""
     if min_chars <= edits:
         raise ValueError("min_chars must be over edits, so that no segment is empty")
-    if words_per_edit <= 2 * GRAM:
-        raise ValueError("words_per_edit must be over twice the words of a gram, so that a line has enough grams")
-    met = durable(_meetings(docs, edits, min_chars, words_per_edit, text_col))
+    met = durable(_meetings(docs, edits, min_chars, text_col))
     # A filter of fixed size on the keys that met: it lets all of them pass, and of the others few while those are few
     words = met.selectExpr(f"shiftrightunsigned(key, {64 - FILTER_BITS}) AS p").selectExpr("cast(p div 32 AS int) AS w", "shiftleft(1L, cast(p % 32 AS int)) AS b")
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -368,8 +333,8 @@ def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str =
         bits[r["w"]] = r["b"]
 
     def emit(batches):
-        for found in text_slices(batches, SLICE_CHARS):
-            fresh = list(dict.fromkeys(x for t in found for x in lines_of(t) if len(x) >= min_chars))
+        for found in text_slices(batches, SLICE):
+            fresh = _fresh(found, min_chars)
             k = np.array([_key(x) for x in fresh], np.uint64)
             p = k >> np.uint64(64 - FILTER_BITS)
             hit = np.flatnonzero(bits[(p >> np.uint64(5)).astype(np.int64)] >> (p & np.uint64(31)).astype(np.uint32) & 1)
@@ -380,94 +345,77 @@ def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str =
     texts = docs.select(text_col).mapInArrow(emit, "key bigint, line string").join(needed, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
     ready = met.join(texts, "key").repartition(parallelism(docs.sparkSession), "sig").sortWithinPartitions("sig")
 
-    def join(held):
-        grams = [(k, t) for k, kind, t in held if kind == GRAMS]
-        return _join_group([x for x in held if x[1] != GRAMS], edits) + _join_words(grams, words_per_edit)
-
     def verify(batches):
         names, held, sig, out = ["a", "b"], [], None, []
         for batch in batches:
-            for s, k, kind, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for s, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if s != sig:
-                    out += join(held)
+                    out += join_group(held, edits) if len(held) > 1 else []
                     held, sig = [], s
-                held.append((k, kind, t))
+                held.append((k, t))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=names)
             out = []
-        out = join(held)
+        out = join_group(held, edits) if len(held) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=names)
 
-    return ready.select("sig", "key", "kind", "line").mapInArrow(verify, "a bigint, b bigint")
+    return ready.select("sig", "key", "line").mapInArrow(verify, "a bigint, b bigint")
 
 
-def decisions(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20, equal_chars: int | None = None) -> DataFrame:
+def _mark(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def decisions(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", equal_chars: int | None = None) -> DataFrame:
     """id, mark (a hash of the text), dropped: array of (line, first_doc) of the rows that lose a line, in order.
 
-    Lines are parted by a line feed. Lines of min_chars or more characters that are equal or within the edits (see links),
-    directly or over others, are one class; all but its first occurrence (by id, mark and line number) are dropped; first_doc is
-    where that is. Shorter lines of equal_chars (min_chars, if null) or more that aren't blank are one class only if they
-    are equal; others never are dropped. Rows equal in id and text share their decisions."""
+    Lines are parted by a line feed. Lines of min_chars or more characters that are equal or near (see links), directly or
+    over others, are one class; all but its first occurrence (by id, mark and line number; null ids first) are dropped;
+    first_doc is where that is. Shorter lines of equal_chars (min_chars, if null) or more that aren't blank are one class
+    only if they are equal; others never are dropped. Rows equal in id and text share their decisions. Lines are known by
+    64 bits of a hash: of n different ones two are taken for one with a chance of about n * n / 2^65."""
     kind = dict(docs.dtypes)[id_col]
     equal = min_chars if equal_chars is None else equal_chars
 
     def make(rest, found):
         n = [[(i, x) for i, x in enumerate(lines_of(t)) if len(x) >= min_chars or len(x) >= equal and x.strip()] for t in found]
         row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in n]), pa.int64())
-        mark = pa.array(np.array([_key(t) for t in found], np.uint64).view(np.int64))
         flat = [y for x in n for y in x]
         key = np.array([_key(x) for _, x in flat], np.uint64).view(np.int64)
-        return {id_col: rest[id_col].take(row), "mark": mark.take(row), "line": pa.array([i for i, _ in flat], pa.int32()), "key": key}
+        return {"id": rest["id"].take(row), "mark": rest["mark"].take(row), "line": pa.array([i for i, _ in flat], pa.int32()), "key": key}
 
-    lines = durable(by_text(docs, [id_col], f"{id_col} {kind}, mark bigint, line int, key bigint", make, text_col))
-    roots = components(links(docs, edits, min_chars, text_col, words_per_edit))
-    place = F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), "mark", "line")
+    rows = docs.select(F.col(id_col).alias("id"), _mark(text_col).alias("mark"), F.col(text_col).alias("text"))
+    lines = durable(by_text(rows, ["id", "mark"], f"id {kind}, mark bigint, line int, key bigint", make))
+    roots = components(links(docs, edits, min_chars, text_col))
+    place = F.struct(F.col("id").isNotNull().alias("some"), "id", "mark", "line")
     keys = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     joined = keys.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = joined.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     several = durable(joined.select("key", "root").join(classes.select("root", "first"), "root").select("key", "first"))
     lost = lines.join(several, "key").where(~place.eqNullSafe(F.col("first")))
-    return lost.groupBy(id_col, "mark").agg(F.array_sort(F.collect_set(F.struct("line", F.col("first.id").alias("first_doc")))).alias("dropped"))
-
-
-def _marked(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """The named columns, with the mark of the text and its number of lines."""
-    kinds = dict(docs.dtypes)
-
-    def make(rest, found):
-        return rest | {"mark": np.array([_key(t) for t in found], np.uint64).view(np.int64), "n_lines": pa.array([len(lines_of(t)) for t in found], pa.int32())}
-
-    return by_text(docs, [id_col, *keep], ", ".join(f"{c} {kinds[c]}" for c in (id_col, *keep)) + ", mark bigint, n_lines int", make, text_col)
+    return lost.groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("line", F.col("first.id").alias("first_doc")))).alias("dropped"))
 
 
-def duplicate_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20, equal_chars: int | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", equal_chars: int | None = None) -> DataFrame:
     """id, n_lines, n_dropped, dropped (line numbers), first_docs (id of each one's first occurrence) for each row.
 
-    See decisions. A null text is one empty line; repeated rows give a row each; an empty table gives none; other columns
-    aren't read."""
-    lost = decisions(docs, edits, min_chars, id_col, text_col, words_per_edit, equal_chars).withColumnRenamed(id_col, "other")
-    rows = _marked(docs, id_col, text_col, [])
-    found = rows.join(lost, rows[id_col].eqNullSafe(lost["other"]) & (rows["mark"] == lost["mark"]), "left")
+    See decisions. A null text is one empty line; repeated rows give a row each; very long texts and lines are handled
+    whole; an empty table gives none; other columns aren't read."""
+    lost = decisions(docs, edits, min_chars, id_col, text_col, equal_chars).withColumnRenamed("id", "other")
+    n = F.coalesce(F.size(F.split(F.col(text_col), "\n", -1)), F.lit(1))
+    rows = docs.select(F.col(id_col).alias("id"), _mark(text_col).alias("own"), F.when(F.col(text_col).isNull(), 1).otherwise(n).alias("n_lines"))
+    found = rows.join(lost, F.col("id").eqNullSafe(F.col("other")) & (F.col("own") == F.col("mark")), "left")
     dropped = F.coalesce("dropped.line", F.array().cast("array<int>"))
     kind = dict(docs.dtypes)[id_col]
-    return found.select(id_col, "n_lines", F.size(dropped).alias("n_dropped"), dropped.alias("dropped"), F.coalesce("dropped.first_doc", F.array().cast(f"array<{kind}>")).alias("first_docs"))
+    return found.select(F.col("id").alias(id_col), "n_lines", F.size(dropped).alias("n_dropped"), dropped.alias("dropped"), F.coalesce("dropped.first_doc", F.array().cast(f"array<{kind}>")).alias("first_docs"))
 
 
-def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = 20, equal_chars: int | None = None) -> DataFrame:
+def remove_lines(docs: DataFrame, edits: int = 2, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", equal_chars: int | None = None) -> DataFrame:
     """docs without the dropped lines; a row that had more than blanks and is left with none goes. Columns stay as they
-    are (also others, of any name)."""
-    lost = decisions(docs, edits, min_chars, id_col, text_col, words_per_edit, equal_chars).select(F.col(id_col).alias("__id"), F.col("mark").alias("__lost"), F.col("dropped.line").alias("__lines"))
-    names = docs.columns
-    small_batches(docs.sparkSession)
-
-    def add(batches):
-        at = names.index(text_col)
-        for batch in batches:
-            marks = np.array([_key(x or "") for x in batch.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks)], names=[*names, "__mark"])
-
-    rows = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("__mark", T.LongType())]))
-    both = rows.join(lost, rows[id_col].eqNullSafe(lost["__id"]) & (rows["__mark"] == lost["__lost"]), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__lines"), i))
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = both.withColumn("__text", text).where(F.col("__lines").isNull() | (F.length(F.trim(F.regexp_replace("__text", r"\s+", " "))) > 0))
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in names])
+    are (also others, of any name). Null texts stay; repeated rows share their decisions; an empty table gives none."""
+    own, lost_id, lost_mark, lost_lines, new = unused(docs.columns, 5)
+    lost = decisions(docs, edits, min_chars, id_col, text_col, equal_chars).select(F.col("id").alias(lost_id), F.col("mark").alias(lost_mark), F.col("dropped.line").alias(lost_lines))
+    both = docs.withColumn(own, _mark(text_col)).join(lost, F.col(id_col).eqNullSafe(F.col(lost_id)) & (F.col(own) == F.col(lost_mark)), "left")
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col(lost_lines), i))
+    text = F.when(F.col(lost_lines).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    out = both.withColumn(new, text).where(F.col(lost_lines).isNull() | (F.length(F.trim(F.regexp_replace(new, r"\s+", " "))) > 0))
+    return out.select(*[F.col(new).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -136,8 +137,19 @@ def test_edit_join_parts():
             d = edits(a, b)
             assert line_dedup.within(a, b, k) == (d <= k)
             if min(len(a), len(b)) > k and d <= k and a != b:
-                (i, p), (j, q) = line_dedup._entries(a, k), line_dedup._entries(b, k)
-                assert set(i) & set(q) or set(j) & set(p)
+                of, sig = line_dedup.entries([a, b], k)
+                own = [{(int(x) >> 1, int(x) & 1) for x in sig[of == j]} for j in (0, 1)]
+                assert any((x, 1) in own[1] for x, kind in own[0] if not kind) or any((x, 1) in own[0] for x, kind in own[1] if not kind)
+
+
+def test_edit_join_of_very_long_lines():
+    """Time grows with the length, not its square."""
+    r = random.Random(31)
+    a = "".join(r.choice("abcdefgh ") for _ in range(400_000))
+    b = a[1:200_000] + "x" + a[200_000:] + "y"
+    began = time.time()
+    assert line_dedup.within(a, b, 3) and not line_dedup.within(a, b, 2)
+    assert line_dedup.within(a[::-1], b[::-1], 3) and time.time() - began < 10
 
 
 def test_line_dedup_against_brute_force(spark):
@@ -174,24 +186,36 @@ def replaced(r, words, k):
 
 
 def test_line_dedup_of_long_lines(spark):
-    """Lines of 20 words and more are near copies within one word for each 20, in scripts without blanks one character."""
+    """Lines of 20 words and more are near copies within a number of words that grows, in scripts without blanks of characters."""
     r = random.Random(41)
-    base = [prose(r, r.randint(20, 130), [f"w{k}" for k in range(60)]).split(" ") for _ in range(12)]
-    made = base + [replaced(r, b, k) for b in base for k in (1, len(b) // 20, len(b) // 20 + 1, len(b) // 10)]
+    base = [prose(r, r.randint(20, 400), [f"w{k}" for k in range(60)]).split(" ") for _ in range(14)]
+    made = base + [replaced(r, b, k) for b in base for t in (line_dedup.word_edits(len(b)),) for k in (1, t, t + 1, 2 * t)]
     made += [b[: len(b) // 2] + b[len(b) // 2 + 1 :] for b in base]
-    made += [["same"] * 60, ["same"] * 57, ["same"] * 56, ["other"] + ["same"] * 59]
+    made += [["same"] * 60, ["same"] * 58, ["same"] * 57, ["other"] + ["same"] * 59]
     r.shuffle(made)
     lines = [" ".join(x) for x in made]
+    lines += [lines[3].replace(" ", "  ", 5), lines[4][:-3] + "y"]
     han = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(60))
-    lines += [han, han[:10] + "一丁七" + han[13:], han[:10] + "一丁七万丈" + han[15:]]
-    split = [x.split(" ") if " " in x else list(x) for x in lines]
-    near = [(a, b) for a in range(len(lines)) for b in range(a) if abs(len(split[a]) - len(split[b])) <= 6 and (line_dedup.within(lines[a], lines[b], 2) or edits(split[a], split[b]) <= min(len(split[a]), len(split[b])) // 20)]
+    lines += [han, han[:10] + "一丁" + han[12:], han[:10] + "一丁七万丈" + han[15:]]
+    split = [line_dedup.words_of(x) for x in lines]
+    near = [(a, b) for a in range(len(lines)) for b in range(a) if abs(len(split[a]) - len(split[b])) <= 8 and edits(split[a], split[b]) <= line_dedup.word_edits(min(len(split[a]), len(split[b])))]
     root = roots(len(lines), near)
     got = {x["doc_id"]: x for x in line_dedup.duplicate_lines(docs(spark, lines)).collect()}
     assert [got[i]["first_docs"] for i in range(len(lines))] == [[root[i]] if root[i] != i else [] for i in range(len(lines))]
     assert sum(root[i] != i for i in range(len(lines))) > 30
 
 
+def test_line_dedup_of_clashing_names(spark):
+    """Columns of any name stay; null ids and texts, repeated rows and empty tables have results."""
+    line = "a line that stands in more than one document"
+    rows = [(1, line, 1, 2, 3), (2, "x\n" + line, 1, 2, 3), (2, "x\n" + line, 1, 2, 3), (None, line, 1, 2, 3), (3, None, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_0 int, __id int, mark int")
+    got = line_dedup.remove_lines(df)
+    assert got.columns == df.columns
+    assert sorted((x["doc_id"] or 0, x["text"] or "-") for x in got.collect()) == [(0, line), (2, "x"), (2, "x"), (3, "-")]
+    assert line_dedup.remove_lines(df.limit(0)).count() == 0
+
+
 def test_line_dedup_of_short_lines(spark, tmp_path):
     """The query drops later occurrences of short lines too, if they are equal and not blank."""
     from confab.llm import queries
