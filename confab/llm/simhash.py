@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import by_text, durable
+from .common import by_text, durable, parallelism, unused
 from .components import components
 
 BITS = 64
@@ -45,43 +45,71 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return by_text(docs, [id_col], f"{id_col} {kind}, fp bigint", make, text_col)
 
 
-def _balls(fp: Column, segments: int, radius: int) -> Column:
-    """Points that differ from fp in at most radius bits of one of its segments, the others held."""
-    width = BITS // segments
-    if radius == 0:
-        return F.array(fp)
-    ball = [F.lit(0).cast("bigint")]
-    for s in range(segments):
-        masks = [1 << (s * width + k) for k in range(width)]
-        ball += [F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks]
-    return F.transform(F.array(*ball), lambda m: fp.bitwiseXOR(m))
-
-
-def links(fps: DataFrame, max_bits: int = 2, segments: int = 2) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints at max_bits (0 to 2) or fewer differing bits, enough of them to join
-    all that such links connect.
-
-    fps has one column fp of distinct values. Multi-index hashing: two fingerprints at 2 bits differ by (0, 2), (1, 1)
-    or (2, 0) in the two segments, so each has a Hamming ball of radius 1 in one segment, the rest held, that holds a
-    point of the other's. All these points are table keys. A key has at most 65 fingerprints, which lie within 2 bits of
-    one another, so the table gives each only a link to the least: 65 rows for a fingerprint, never a square of a
-    group. Complete distances are verified before a link counts."""
-    if max_bits not in (0, 1, 2):
-        raise ValueError("max_bits is 0, 1 or 2")
+def _segments(max_bits: int) -> list[tuple[int, int, int]]:
+    """(first bit, width, radius) of the segments that the fingerprint is cut to: so many that no ball has a radius over 1.
+
+    Of two fingerprints at max_bits = m * r + a differing bits or fewer in m segments, one of the first a + 1 segments
+    differs in at most r bits or one of the others in at most r - 1."""
+    m = max(2, max_bits // 2 + 1)
+    edges = [BITS * i // m for i in range(m + 1)]
+    r, a = divmod(max_bits, m)
+    return [(lo, hi - lo, r if i <= a else r - 1) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+
+
+def _looked_up(fps: DataFrame, segments: list[tuple[int, int, int]], balls: bool) -> DataFrame:
+    """fp and key, a segment's number and value: one row for each segment, or one for each value in its Hamming ball."""
+    flips = [(i, lo, (1 << width) - 1, x) for i, (lo, width, radius) in enumerate(segments) if radius >= 0 for x in (0, *((1 << k for k in range(width)) if balls and radius else ()))]
+    cut = F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(lo).alias("lo"), F.lit(mask).cast("bigint").alias("mask"), F.lit(x).cast("bigint").alias("flip")) for i, lo, mask, x in flips])
+    rows = fps.select("fp", F.explode(cut).alias("p"))
+    return rows.select("fp", F.expr("shiftleft(p.i, 32) | ((shiftrightunsigned(fp, p.lo) & p.mask) ^ p.flip)").alias("key"))
+
+
+def _within(a: str, b: str, max_bits: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
+
+
+def _stars(fps: DataFrame, max_bits: int) -> DataFrame:
+    """Links (fp, other) that join all that links at max_bits (1 or 2) join, whatever the segments: two fingerprints at 2
+    bits share a point at 1 bit from both. A point has at most 65 fingerprints, which lie within 2 bits of one another,
+    so each links to the least of them: 65 rows for a fingerprint and never a square of a group."""
+    points = [0, *(1 << k if k < 63 else -(1 << 63) for k in range(BITS))]
+    at = fps.select("fp", F.explode(F.array(*[F.lit(x).cast("bigint") for x in points])).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+    # at 1 bit a fingerprint meets the other as the point itself
+    least = at.groupBy("key").agg(F.min("fp").alias("other")) if max_bits == 2 else fps.select(F.col("fp").alias("key"), F.col("fp").alias("other"))
+    return at.join(least, "key").where((F.col("fp") != F.col("other")) & _within("fp", "other", max_bits)).select("fp", "other")
+
+
+def links(fps: DataFrame, max_bits: int = 2, bucket: int = 64) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints at max_bits or fewer differing bits, enough of them to join all that such
+    links connect.
+
+    fps has one column fp of distinct values. Multi-index hashing: each segment has a table of all fingerprints by the
+    segment's value. A fingerprint looks up the values in a small Hamming ball about each of its own segments (see
+    _segments), and complete distances are verified with what the tables hold there. At 2 bits that is 2 tables of 32 bits
+    and 34 values. Where a value holds more than bucket fingerprints, those that look it up aren't compared by pairs but
+    join by _stars (at 1 or 2 bits; at more they are compared all the same)."""
+    if not 0 <= max_bits < BITS // 4:
+        raise ValueError(f"max_bits is 0 to {BITS // 4 - 1}")
     if max_bits == 0:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    table = fps.select("fp", F.explode(_balls(F.col("fp"), segments, 1)).alias("key"))
-    # at 1 bit, a fingerprint meets the other as the centre of a ball
-    least = F.min("fp").over(W.partitionBy("key")) if max_bits == 2 else F.col("key")
-    found = table.select("fp", least.alias("other")).where("fp <> other")
-    if max_bits == 1:
-        found = found.join(fps.select(F.col("fp").alias("other")), "other", "left_semi")
-    return found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_bits).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
+    segments = _segments(max_bits)
+    fps = fps.repartition(parallelism(fps.sparkSession), "fp")
+    table = _looked_up(fps, segments, False).withColumnRenamed("fp", "other")
+    if max_bits <= 2:
+        crowded = table.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("key")
+        table = table.join(crowded, "key", "left_anti").select("key", "other").union(crowded.select("key", F.lit(None).cast("bigint")))
+    asked = _looked_up(fps, segments, True)
+    met = (F.col("fp") > F.col("other")) & _within("fp", "other", max_bits)
+    found = asked.join(table.hint("shuffle_hash"), (asked["key"] == table["key"]) & (F.col("other").isNull() | met)).select("fp", "other").distinct()
+    if max_bits <= 2:
+        found = durable(found)
+        found = found.where("other IS NOT NULL").union(_stars(found.where("other IS NULL").select("fp"), max_bits))
+    return found.select(F.col("fp").alias("a"), F.col("other").alias("b"))
 
 
 def _groups(fps: DataFrame, max_bits: int, first: Column) -> DataFrame:
     """fp and least, the smallest value of first in the fingerprint's component."""
-    nodes = fps.groupBy("fp").agg(F.min(first).alias("rep"))
+    nodes = durable(fps.groupBy("fp").agg(F.min(first).alias("rep")))
     roots = durable(components(links(nodes.select("fp"), max_bits)))
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     return joined.join(joined.groupBy("root").agg(F.min("rep").alias("least")), "root").select("fp", "least")
@@ -100,15 +128,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col:
 
 
 def keep_first(docs: DataFrame, words: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, with all their columns: of each component one, that with the smallest id (then smallest hash of the
-    text; nulls last; of rows equal in both any one)."""
+    """Rows of docs, with all their columns (of any name): of each component one, that with the smallest id (then smallest
+    hash of the text; nulls last; of rows equal in both any one).
+
+    A null or empty text has fingerprint 0, as in near_duplicates; very long texts count whole; an empty table gives none."""
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.col(text_col).alias("text"))
     kind = dict(docs.dtypes)[id_col]
     make = lambda rest, found: rest | {"fp": np.array([simhash(x, words) for x in found], np.int64)}
     fps = durable(by_text(rows, ["id", "mark"], f"id {kind}, mark bigint, fp bigint", make))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
-    kept = _groups(fps, max_bits, place).select("least.id", "least.mark").distinct().toDF("__id", "__mark")
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (mark == kept["__mark"]))
-    one = W.partitionBy("__id", "__mark").orderBy(F.lit(0))
-    return joined.withColumn("__copy", F.row_number().over(one)).where("__copy = 1").select(*docs.columns)
+    kept_id, kept_mark, own, copy = unused(docs.columns, 4)
+    kept = _groups(fps, max_bits, place).select("least.id", "least.mark").distinct().toDF(kept_id, kept_mark)
+    joined = docs.withColumn(own, mark).join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_mark)))
+    one = W.partitionBy(kept_id, kept_mark).orderBy(F.lit(0))
+    return joined.withColumn(copy, F.row_number().over(one)).where(F.col(copy) == 1).select(*docs.columns)

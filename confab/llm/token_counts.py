@@ -20,7 +20,8 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     """id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of each row's whole text.
 
     One pass without a shuffle. A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids give a row
-    each; an empty table gives none; other columns aren't read. model_file must be readable on every worker; table_mb
+    each; very long texts are counted whole, in time that grows with their length; an empty table gives none; other columns
+    aren't read. model_file must be readable on every worker; table_mb
     bounds a worker's transition table, which restarts when full."""
 
     def make(rest, found):

@@ -2,9 +2,9 @@
 
 Vectors are cut into segments. With means m and deviations s of a segment of w components, the squared distance of two
 vectors is at least the sum of w * ((m - m')^2 + (s - s')^2), so their inner product is at most the sum of
-w * (m * m' + s * s'). Bounds run from one segment to many; at each level only candidates whose bound reaches a query's
-threshold (the k-th best exact score among its most promising ones) go on, and exact products are computed for the
-survivors alone."""
+w * (m * m' + s * s'). Bounds run from coarse to fine: one, four and sixteen segments, then segments of two components of
+which the first half is cut to single ones. At each level only candidates whose bound reaches a query's threshold (its
+k-th best score so far) go on, and exact products are computed for the survivors of all levels alone."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Segments at each level; the finest is twos, half of them cut to ones.
 LEVELS = (1, 4, 16)
 
 
@@ -27,7 +28,7 @@ def quantise(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(size)), np.maximum(size, 0))
     bad = np.zeros(len(size), bool)
     bad[row[~np.isfinite(values)]] = True
-    ok = (size > 0) & ~bad
+    ok = (size >= 0) & ~bad
     out = np.zeros((len(size), int(size.max(initial=0))), np.int64)
     at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), np.maximum(size, 0))
     use = ok[row]
@@ -35,21 +36,31 @@ def quantise(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(ok), out[ok]
 
 
-def features(x: np.ndarray, segments: int) -> np.ndarray:
-    """Per segment its mean and deviation, times the root of its width: a bound is then a plain inner product."""
-    d = x.shape[1]
-    edges = [d * i // segments for i in range(segments + 1)]
+def edges(d: int, level: int) -> list[int]:
+    """Where the segments of a level begin and end; the last level is the finest."""
+    if level < len(LEVELS):
+        n = min(LEVELS[level], d)
+        return [d * i // n for i in range(n + 1)] if n else [0]
+    half = d // 2
+    return [*range(half), *range(half, d, 2), d]
+
+
+def features(x: np.ndarray, at: list[int]) -> np.ndarray:
+    """Means and deviations of the segments, weighed so that the inner product of two rows bounds that of the vectors."""
     parts = []
-    for a, b in zip(edges, edges[1:], strict=False):
-        if b > a:
-            parts += [x[:, a:b].mean(1) * np.sqrt(b - a), x[:, a:b].std(1) * np.sqrt(b - a)]
-    return np.stack(parts, 1)
+    for a, b in zip(at, at[1:], strict=False):
+        part = x[:, a:b]
+        parts.append(part.mean(1) * np.sqrt(b - a))
+        if b - a > 1:
+            parts.append(part.std(1) * np.sqrt(b - a))
+    return np.stack(parts, 1).astype(np.float32) if parts else np.zeros((len(x), 1), np.float32)
 
 
-#: Over this share of alive pairs a product of whole blocks costs less than gathering the pairs.
-DENSE = 0.02
-#: A query's threshold is the k-th best exact score among this many times k candidates with the highest bounds.
+#: Over this share of alive pairs the bounds of a block cost less than those of the pairs.
+DENSE = 0.05
+#: A query's first threshold is the k-th best exact score among this many times k candidates with the highest bounds.
 PILOT = 8
+ROWS, COLUMNS = 256, 4096
 
 
 def _products(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -60,67 +71,83 @@ def _products(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray)
     return out
 
 
-def _narrow(alive: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: np.ndarray) -> None:
-    """Of the alive pairs (a row of a, a row of b) those stay whose product reaches the row's threshold: by blocks or by
-    pairs, as costs less."""
-    if np.count_nonzero(alive) > DENSE * alive.size:
-        alive &= a @ b.T >= threshold[:, None]
-    else:
-        r, c = np.nonzero(alive)
-        alive[r, c] = _products(a, b, r, c) >= threshold[r]
+def _best(r: np.ndarray, c: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (row, candidate) with scores each row's k best, by score and smaller id."""
+    order = np.lexsort((ids[c], -score, r))
+    r, c, score = r[order], c[order], score[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r] < k
+    return r[keep], c[keep], score[keep]
+
 
+def search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, alive: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of each query's k best by score, then smaller id (all, if fewer).
 
-def search(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate row, score) of each query's k best by score, then smaller id (all, if fewer)."""
+    alive, if given, gets the pairs that reached each level added up: all, behind each level."""
     n = len(x)
     if not len(q) or not n:
         none = np.zeros(0, np.int64)
         return none, none, none
     d = max(q.shape[1], x.shape[1])
-    q, x = (np.pad(v, ((0, 0), (0, d - v.shape[1]))) for v in (q, x))
+    q, x = (np.pad(v, ((0, 0), (0, d - v.shape[1]))).astype(np.int64) for v in (q, x))
     qf, xf = q.astype(np.float64), x.astype(np.float64)
-    fq, fx = [[features(v, min(s, d)) for s in LEVELS] for v in (qf, xf)]
-    slack = 1e-9 * np.sqrt((qf * qf).sum(1).max() * (xf * xf).sum(1).max()) + 1e-6
-    # whole numbers up to 2^53 are exact in doubles, which multiply by blocks; larger ones stay integers
+    levels = [edges(d, i) for i in range(len(LEVELS) + 1)]
+    fq, fx = [features(qf, at) for at in levels], [features(xf, at) for at in levels]
+    # what rounding of single precision can take off a bound
+    slack = 1e-5 * np.sqrt((qf * qf).sum(1)) * np.sqrt((xf * xf).sum(1).max()) + 1e-3
+    # whole numbers up to 2^53 are exact in doubles; larger ones stay integers
     exact = (qf, xf) if np.abs(qf).max(initial=0) * np.abs(xf).max(initial=0) * max(d, 1) < 2**53 else (q, x)
     out = []
-    for b in range(0, len(q), 256):
-        rows = np.arange(b, min(b + 256, len(q)))
-        if n > k:
-            bound = fq[1][rows] @ fx[1].T
-            finest = fq[2][rows] @ fx[2].T
-            many = min(n, PILOT * k)
-            pilot = np.argpartition(-finest, many - 1, axis=1)[:, :many]
-            found = _products(exact[0], exact[1], np.repeat(rows, many), pilot.ravel()).reshape(len(rows), many)
-            threshold = np.partition(found, many - k, axis=1)[:, many - k].astype(np.float64) - slack
-            alive = bound >= threshold[:, None]
-            alive &= fq[0][rows] @ fx[0].T >= threshold[:, None]
-            alive &= finest >= threshold[:, None]
-            _narrow(alive, exact[0][rows], exact[1], threshold)
-            r, c = np.nonzero(alive)
-        else:
-            r, c = (v.ravel() for v in np.indices((len(rows), n)))
-        score = _products(exact[0][rows], exact[1], r, c).astype(np.int64)
-        order = np.lexsort((ids[c], -score, r))
-        r, c, score = r[order], c[order], score[order]
-        first = np.searchsorted(r, np.arange(len(rows)))
-        best = np.arange(len(r)) - first[r] < k
-        out.append((rows[r[best]], c[best], score[best]))
+    for b in range(0, len(q), ROWS):
+        rows = np.arange(b, min(b + ROWS, len(q)))
+        own = exact[0][rows]
+        threshold = np.full(len(rows), -np.inf)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for at in range(0, n, COLUMNS):
+            here = slice(at, min(at + COLUMNS, n))
+            many = min(here.stop - at, PILOT * k)
+            if at == 0 and here.stop - at > many:
+                pilot = np.argpartition(-(fq[-2][rows] @ fx[-2][here].T), many - 1, axis=1)[:, :many]
+                found = _products(own, exact[1], np.repeat(np.arange(len(rows)), many), pilot.ravel()).reshape(len(rows), many)
+                threshold = np.partition(found, many - k, axis=1)[:, many - k].astype(np.float64)
+            least = (threshold - slack[rows]).astype(np.float64)
+            mask = fq[0][rows] @ fx[0][here].T >= least[:, None]
+            counted = [mask.size, np.count_nonzero(mask)]
+            r = None
+            for f, g in zip(fq[1:], fx[1:], strict=True):
+                if r is None and counted[-1] > DENSE * mask.size:
+                    mask &= f[rows] @ g[here].T >= least[:, None]
+                    counted.append(np.count_nonzero(mask))
+                else:
+                    r, c = np.nonzero(mask) if r is None else (r, c)
+                    go = _products(f[rows], g[here], r, c) >= least[r]
+                    r, c = r[go], c[go]
+                    counted.append(len(r))
+            r, c = np.nonzero(mask) if r is None else (r, c)
+            if alive is not None:
+                alive += np.array(counted)
+            score = _products(own, exact[1][here], r, c).astype(np.int64)
+            good = score >= threshold[r]
+            best = _best(*(np.concatenate(v) for v in zip(best, (r[good], c[good] + at, score[good]), strict=True)), ids, len(rows), k)
+            last = np.searchsorted(best[0], np.arange(len(rows)), "right") - 1
+            full = np.bincount(best[0], minlength=len(rows)) >= k
+            threshold[full] = np.maximum(threshold[full], best[2][last[full]])
+        out.append((rows[best[0]], best[1], best[2]))
     return tuple(np.concatenate(v) for v in zip(*out, strict=True))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, block: int = 16384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score for each query: its k best among all other rows of vectors.
 
     queries are rows of vectors. Components become floor(scale * x), the score is the integer inner product, ties go to
-    the smaller id. Rows whose vector is null, empty or holds a null or non-finite component, and rows without an id,
-    take no part. Queries equal in id and vector are answered once; a query's own row is left out once, so another row
-    of its id is a candidate. Vectors of other lengths are filled with zeros. An empty table gives none; other columns
-    aren't read.
+    the smaller id. Rows whose vector is null or holds a null or non-finite component, and rows without an id, take no
+    part; an empty vector scores 0 with any other. Queries equal in id and vector are answered once; a query's own row is
+    left out once, so another row of its id is a candidate. Vectors of other lengths are filled with zeros. An empty
+    table gives none; other columns aren't read.
 
-    Candidates and queries are dealt to blocks of about block rows by a hash of the id; each cell of the two block grids
-    is one unit of work, and gives k + 1 rows for a query."""
-    n_c, n_q = (max(1, -(-df.count() // block)) for df in (vectors, queries))
+    Candidates are dealt to blocks of about block rows by a hash of the id, queries to blocks of an eighth of that; each
+    cell of the two block grids is one unit of work, which sees its candidates part by part with thresholds that rise, and
+    gives k + 1 rows for a query. Components travel in as few bytes as hold them."""
+    n_c, n_q = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() * 8 // block))
 
     def deal(own: int, others: int, query: bool):
         def run(batches):
@@ -133,8 +160,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
                 place = (((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(own)).astype(np.int64)
                 for p in np.unique(place).tolist():
                     on = place == p
-                    width = np.array([data.shape[1]], np.int64).tobytes()
-                    blob = (ids[on].tobytes(), width + data[on].tobytes())
+                    part = data[on]
+                    kind = next(t for t in ("<i1", "<i2", "<i4", "<i8") if not part.size or np.iinfo(t).min <= part.min() and part.max() <= np.iinfo(t).max)
+                    head = np.array([data.shape[1], np.dtype(kind).itemsize], np.int64).tobytes()
+                    blob = (ids[on].tobytes(), head + part.astype(kind).tobytes())
                     cells = [o * n_q + p if query else p * n_q + o for o in range(others)]
                     for i in range(0, len(cells), 64):
                         part = cells[i : i + 64]
@@ -147,9 +176,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     asked = queries.select(F.col(id_col).cast("bigint"), vector_col).mapInArrow(deal(n_q, n_c, True), schema)
 
     def joined(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        found = [(np.frombuffer(i, np.int64), np.frombuffer(d, np.int64)) for i, d in parts]
-        width = max(int(d[0]) for _, d in found)
-        return np.concatenate([i for i, _ in found]), np.concatenate([np.pad(d[1:].reshape(len(i), -1), ((0, 0), (0, width - int(d[0])))) for i, d in found])
+        found = []
+        for i, d in parts:
+            i, (width, size) = np.frombuffer(i, np.int64), np.frombuffer(d[:16], np.int64).tolist()
+            found.append((i, np.frombuffer(d[16:], f"<i{size}").reshape(len(i), width).astype(np.int64)))
+        width = max(d.shape[1] for _, d in found)
+        return np.concatenate([i for i, _ in found]), np.concatenate([np.pad(d, ((0, 0), (0, width - d.shape[1]))) for _, d in found])
 
     names = ["query_id", "copy", "own", "vec_id", "score"]
 

@@ -11,8 +11,11 @@ States and transitions are made when a text first needs them, in a table of boun
 
 A batch of texts is cut into fixed chunks, each standing for a map from entry state to (exit state, emissions).  A chunk
 that holds a *synchronising* position (two characters that no piece has side by side) has a constant exit state; its tail
-runs in lockstep with all other chunks.  A prefix scan over these maps (constant maps absorb what precedes them) then
-gives every chunk its entry state, from which the heads run, again in lockstep.
+runs in lockstep with all other chunks.  The maps of the others are known at the few entry states that they have been run
+from, at first the exit that the chunk before has when it runs from the start.  Such maps compose: a prefix scan that
+doubles its reach at each step gives the states that chunks are really entered in, as far as the maps are known there.
+Where one isn't, the chunk is run from that state, as are all chunks of the same content, and the scan is made anew.
+With the entry states all heads run, again in lockstep.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ SPACE = "▁"
 CHUNK = 192
 BIAS = 128
 START, WAIT = 0, 1
+PAIR_BITS = 22  # of the table that tells which characters can stand side by side in a piece
+ENTRIES = 8  # entry states at which the map of a chunk is known
+ROUNDS = 24  # scans; what is open behind them is walked from chunk to chunk
+FEW = 24  # lanes that are walked one by one rather than in lockstep
 
 
 class Vocabulary:
@@ -95,8 +102,17 @@ class TokenCounter:
             if len(c) == 1:
                 self.weight[ord(c)] = 1
         self.weight[[ord(c) for c in v.joined]] = 0
+        # neighbours within a piece by a hash of both: others taken for such only make fewer positions synchronise
+        self.beside = np.zeros(1 << PAIR_BITS, bool)
+        pairs = np.array([[ord(x) for x in p] for p in v.inside], np.uint32).reshape(-1, 2)
+        self.beside[self._pair(pairs[:, 0], pairs[:, 1])] = True
         self._clear()
 
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)
+        return (h * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - PAIR_BITS)
+
     def _clear(self) -> None:
         for c in self.char_of[1:]:
             self.class_of[ord(c)] = 0
@@ -108,30 +124,22 @@ class TokenCounter:
         self.table = np.full((1024, self.width), -1, np.int32)
         self.table[:, 0] = START << 8 | BIAS
         self.table[WAIT, :] = WAIT << 8 | BIAS
-        self.neighbours = np.zeros((self.width, self.width), bool)
 
     def _classes(self, codes: np.ndarray) -> np.ndarray:
         fresh = codes[self.pending[codes]]
         if fresh.size:
             for code in np.unique(fresh).tolist():
-                c = chr(code)
                 if len(self.char_of) == self.width:
                     self._widen()
-                k = len(self.char_of)
-                self.char_of.append(c)
-                self.class_of[code], self.pending[code] = k, False
-                for other in range(1, k + 1):
-                    d = self.char_of[other]
-                    self.neighbours[other, k], self.neighbours[k, other] = d + c in self.vocab.inside, c + d in self.vocab.inside
+                self.class_of[code], self.pending[code] = len(self.char_of), False
+                self.char_of.append(chr(code))
         return self.class_of[codes]
 
     def _widen(self) -> None:
         table = np.full((len(self.table), 2 * self.width), -1, np.int32)
         table[:, : self.width] = self.table
         table[WAIT, :] = WAIT << 8 | BIAS
-        near = np.zeros((2 * self.width, 2 * self.width), bool)
-        near[: self.width, : self.width] = self.neighbours
-        self.table, self.neighbours, self.width = table, near, 2 * self.width
+        self.table, self.width = table, 2 * self.width
 
     def _compile(self, state: int, k: int) -> None:
         """Makes the transition of a state on a character's class."""
@@ -185,21 +193,43 @@ class TokenCounter:
         k = self._classes(codes)
         lengths = np.array([len(texts[i]) + 2 for i in full], np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        emitted = self._scan(k)
+        sync = np.ones(len(k), bool)
+        sync[1:] = ~self.beside[self._pair(codes[:-1], codes[1:])]
+        emitted = self._scan(k, sync)
         emitted += self.weight[codes]
         emitted[starts] = 0
         out[full] = np.add.reduceat(emitted.astype(np.int64), starts)
         return out
 
-    def _scan(self, k: np.ndarray) -> np.ndarray:
+    def _walk(self, lane: np.ndarray, state: int) -> int:
+        """The state behind a lane."""
+        at, width = self.table.ravel(), self.width
+        for k in lane.tolist():
+            v = at.item(state * width + k)
+            if v < 0:
+                self._compile(state, k)
+                at, width = self.table.ravel(), self.width
+                v = at.item(state * width + k)
+            state = v >> 8
+        return state
+
+    def _exits(self, lanes: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The state behind each row of lanes, from the given ones."""
+        if len(state) < FEW:
+            return np.array([self._walk(x, s) for x, s in zip(lanes, state.tolist(), strict=True)], np.int32)
+        state = state.astype(np.int32)
+        for k in lanes.T:
+            state = self._step(state, k) >> 8
+        return state
+
+    def _scan(self, k: np.ndarray, sync: np.ndarray) -> np.ndarray:
         n, chunks = len(k), -(-len(k) // CHUNK)
         padded = np.zeros(chunks * CHUNK, np.int32)
         padded[:n] = k
-        sync = np.ones(chunks * CHUNK, bool)
-        sync[1:] = ~self.neighbours[padded[:-1], padded[1:]]
-        by_chunk = sync.reshape(chunks, CHUNK)
+        by_chunk = np.concatenate([sync, np.ones(chunks * CHUNK - n, bool)]).reshape(chunks, CHUNK)
         head = np.where(by_chunk.any(1), by_chunk.argmax(1), CHUNK)
-        lanes, go_on = padded.reshape(chunks, CHUNK).T.copy(), (~by_chunk).T.astype(np.int32)
+        rows = padded.reshape(chunks, CHUNK)
+        lanes, go_on = rows.T.copy(), (~by_chunk).T.astype(np.int32)
         emitted = np.empty((CHUNK, chunks), np.int16)
         state = np.full(chunks, WAIT, np.int32)
         for i in range(CHUNK):  # the tails: from WAIT, START at each synchronising position
@@ -207,23 +237,77 @@ class TokenCounter:
             v = self._step(state, lanes[i])
             emitted[i] = v & 255
             state = v >> 8
-        # the scan: a constant map (head < CHUNK) gives its exit whatever its entry; others follow once their entry is known
-        exits, todo = state, np.flatnonzero(head > 0)
-        known = head < CHUNK
-        while todo.size:
-            ready = todo[known[todo - 1]]
-            ready = ready[np.argsort(-head[ready], kind="stable")]
-            state, need = exits[ready - 1].copy(), head[ready]
-            for i in range(int(need[0]) if ready.size else 0):
-                live = int(np.searchsorted(-need, -i, "left"))  # lanes whose head is longer than i
-                v = self._step(state[:live], lanes[i, ready[:live]])
-                emitted[i, ready[:live]] = v & 255
-                state[:live] = v >> 8
-            whole = need == CHUNK
-            exits[ready[whole]] = state[whole]
-            known[ready[whole]] = True
-            rest = np.ones(chunks, bool)
-            rest[ready] = False
-            todo = todo[rest[todo]]
+        exits = state
+        whole = np.flatnonzero(head == CHUNK)
+        if whole.size:
+            exits[whole] = self._entered(rows[whole], whole, exits)
+        # the heads, from what is now known of the chunks before; longer ones first
+        todo = np.flatnonzero(head > 0)
+        todo = todo[np.argsort(-head[todo], kind="stable")]
+        state, need = exits[todo - 1].copy(), head[todo]
+        for i in range(int(need[0]) if todo.size else 0):
+            live = int(np.searchsorted(-need, -i, "left"))  # lanes whose head is longer than i
+            v = self._step(state[:live], lanes[i, todo[:live]])
+            emitted[i, todo[:live]] = v & 255
+            state[:live] = v >> 8
         emitted -= BIAS
         return emitted.T.reshape(-1)[:n].copy()
+
+    def _entered(self, lanes: np.ndarray, chunk: np.ndarray, exits: np.ndarray) -> np.ndarray:
+        """Exit states of the chunks whose map isn't constant, by a prefix scan over their maps. exits holds those of the
+        other chunks. A chunk that follows none of these begins a run; what it is entered in is known."""
+        m = len(chunk)
+        first = np.concatenate([[True], np.diff(chunk) > 1])
+        run = np.maximum.accumulate(np.where(first, np.arange(m), 0))
+        given = exits[chunk[run] - 1]  # what the run of each chunk is entered in
+        content = np.unique(lanes, axis=0, return_inverse=True)[1].ravel()
+        # maps: the entry states known of a chunk, and the exits they lead to
+        entry, leave = np.full((m, ENTRIES), -1, np.int64), np.full((m, ENTRIES), -1, np.int64)
+        many = np.zeros(m, np.int64)
+
+        def learn(rows: np.ndarray, state: np.ndarray) -> None:
+            """Runs chunks from states, once for each content and state."""
+            key = np.unique(np.stack([content[rows], state], 1), axis=0, return_index=True)[1]
+            rows, state = rows[key], state[key]
+            found = self._exits(lanes[rows], state)
+            for r, s, e in zip(rows.tolist(), state.tolist(), found.tolist(), strict=True):
+                on = np.flatnonzero(content == content[r]) if m < 1 << 14 else np.array([r])
+                on = on[(entry[on] != s).all(1)]
+                at = many[on] % ENTRIES  # the oldest makes room
+                entry[on, at], leave[on, at] = s, e
+                many[on] += 1
+
+        def compose() -> np.ndarray:
+            """The exit of each chunk, -1 where a map on its way isn't known: in step j maps reach over 2^j chunks."""
+            to = leave.copy()
+            back = 1
+            while back <= int((np.arange(m) - run).max()):
+                on = np.flatnonzero(np.arange(m) - run >= back)
+                # the map of the chunks before, followed by this one's
+                before_from, before_to = source[on - back], to[on - back]
+                same = before_to[:, :, None] == source[on][:, None, :]
+                hit = same.any(2) & (before_to >= 0)
+                after = np.where(hit, np.take_along_axis(to[on], same.argmax(2), 1), -1)
+                to[on], source[on] = after, before_from
+                back *= 2
+            same = (source == given[:, None]) & (to >= 0)
+            return np.where(same.any(1), np.take_along_axis(to, same.argmax(1)[:, None], 1)[:, 0], -1)
+
+        learn(np.flatnonzero(first), given[first])
+        rest = np.flatnonzero(~first)
+        if rest.size:
+            # a guess for the others: what the chunk before leaves when it runs from the start
+            guess = self._exits(lanes[rest - 1], np.zeros(len(rest), np.int64))
+            learn(rest, guess.astype(np.int64))
+        for _ in range(ROUNDS):
+            source = entry.copy()
+            out = compose()
+            open_ = np.flatnonzero(out < 0)
+            if not open_.size:
+                return out
+            # of each run the first open chunk: it is entered in what the one before leaves
+            head = open_[np.unique(run[open_], return_index=True)[1]]
+            learn(head, np.where(first[head], given[head], out[head - 1]))
+        for i in np.flatnonzero(out < 0).tolist():
+            out[i] = self._walk(lanes[i], int(given[i] if first[i] else out[i - 1]))
+        return out

@@ -261,7 +261,7 @@ def test_top_k(spark):
     got = collections.defaultdict(list)
     for x in topk_search.top_k(df, df.where("vec_id % 20 = 0"), k=7, block=64).orderBy("query_id", "rank").collect():
         got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
-    good = [(i, np.pad(np.floor(64 * np.array(v, np.float32).astype(float)), (0, 16 - len(v))).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, np.pad(np.floor(64 * np.array(v, np.float32).astype(float)), (0, 16 - len(v))).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     assert set(got) == {i for i, _ in good if i % 20 == 0}
     for k, (i, q) in enumerate(good):
         if i % 20 == 0:
@@ -270,6 +270,25 @@ def test_top_k(spark):
     assert topk_search.top_k(df.limit(0), df.limit(0), k=3).count() == 0
 
 
+def test_top_k_bounds_prune():
+    """Each level leaves no more pairs than the one before, none of them wrongly; the finest leaves few."""
+    r = np.random.default_rng(61)
+    x = r.normal(size=(9000, 64))
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    q, ids, alive = x[:300], r.permutation(9000), np.zeros(5, np.int64)
+    rows, found, score = topk_search.search(q, x, ids, 20, alive)
+    assert (np.diff(alive) <= 0).all() and alive[-1] < 0.25 * alive[0], alive / alive[0]
+    full = q @ x.T
+    for i in range(len(q)):
+        best = np.lexsort((ids, -full[i]))[:20]
+        on = rows == i
+        assert found[on].tolist() == best.tolist() and score[on].tolist() == full[i][best].tolist()
+    for at in range(4):
+        e = topk_search.edges(64, at)
+        f, g = topk_search.features(q.astype(float), e), topk_search.features(x.astype(float), e)
+        assert (f @ g.T >= full - 0.2).all()
+
+
 def test_quality(spark):
     r = random.Random(7)
     good = [prose(r, r.randint(3, 80)) for _ in range(150)]
@@ -378,18 +397,20 @@ def test_simhash(spark):
 
 def test_links_of_close_fingerprints(spark):
     r = random.Random(11)
-    centre = r.getrandbits(63)
+    centre = r.getrandbits(64) - (1 << 63)
     fps = {centre}
     for _ in range(120):
         x = r.choice(sorted(fps))
         for _ in range(r.choice([1, 2, 3])):
-            x ^= 1 << r.randrange(63)
+            k = r.randrange(64)
+            x ^= 1 << k if k < 63 else -(1 << 63)
         fps.add(x)
     fps = sorted(fps)
     df = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for bits in (1, 2):
-        expect = roots(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= bits])
-        got = {x["node"]: x["root"] for x in components.components(simhash.links(df, bits)).collect()}
+    # a crowded table (bucket 3) joins by stars
+    for bits, bucket in ((1, 64), (1, 3), (2, 64), (2, 3), (3, 64), (5, 64)):
+        expect = roots(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= bits])
+        got = {x["node"]: x["root"] for x in components.components(simhash.links(df, bits, bucket)).collect()}
         assert [got.get(f, f) for f in fps] == [fps[k] for k in expect]
 
 
