@@ -27,7 +27,7 @@ from .common import by_text, durable, parallelism, small_batches, text_slices, u
 from .components import components
 
 FILTER_BITS = 23
-SLICE = 4_000_000  # characters of lines that are told apart at once
+SLICE = 1_000_000  # characters of lines that are told apart at once
 LONG_LINE = 20  # words
 LONG_WORD = 40  # a longer word, or one in a script without blanks, counts as its characters
 INDEX, PROBE = 0, 1
@@ -136,11 +136,19 @@ def lines_of(text: str) -> list[str]:
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
-def words_of(line: str) -> list[str]:
-    found = line.split()
-    if len(max(found, key=len, default="")) <= LONG_WORD and (line.isascii() or not UNSPACED.search(line)):
+def words_of(line: str) -> list[bytes]:
+    """Words are parted by ASCII blanks; very long ones and those of scripts without blanks count as their characters."""
+    found = line.encode("utf-8", "surrogatepass").split()
+    if len(max(found, key=len, default=b"")) <= LONG_WORD and (line.isascii() or not UNSPACED.search(line)):
         return found
-    return [y for x in found for y in (x if len(x) > LONG_WORD or UNSPACED.search(x) else (x,))]
+    out = []
+    for w in found:
+        x = w.decode("utf-8", "surrogatepass")
+        if len(x) > LONG_WORD or UNSPACED.search(x):
+            out += [c.encode("utf-8", "surrogatepass") for c in x]
+        else:
+            out.append(w)
+    return out
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -152,11 +160,17 @@ BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
+_known: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+    if len(_known.get(base, ())) < n:
+        out = np.full(1 << n.bit_length(), base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        if len(out) > 1 << 23:  # a slice with a very long line: not kept
+            return np.multiply.accumulate(out)[:n]
+        _known[base] = np.multiply.accumulate(out)
+    return _known[base][:n]
 
 
 def _hashed(symbols: np.ndarray, sizes: np.ndarray, edits: int, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -184,29 +198,52 @@ def _hashed(symbols: np.ndarray, sizes: np.ndarray, edits: int, by_words: bool)
     return np.concatenate(lines), np.concatenate(sigs)
 
 
+def _word_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each of the byte strings flat[begin:end]."""
+    sums = np.zeros(len(flat) + 1, np.uint64)
+    np.add.accumulate((flat + np.uint64(1)) * _powers(BASE, len(flat)), out=sums[1:])
+    return _mix((sums[end] - sums[begin]) * _powers(UNBASE, len(flat) + 1)[begin] + (end - begin).astype(np.uint64))
+
+
+def _symbols(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words of each line, and hashes of the words of those that have LONG_LINE or more, on end."""
+    data = [x.encode("utf-8", "surrogatepass") for x in lines]
+    flat = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
+    ends = np.cumsum([len(x) + 1 for x in data])
+    starts = np.concatenate([[0], ends[:-1]])
+    blank = (flat == 32) | (flat - np.uint8(9) < 5)
+    edge = np.flatnonzero(np.diff(blank, prepend=True))
+    begin, end = edge[::2], edge[1::2]
+    of = np.searchsorted(ends, begin, "right")
+    # lines with words that may count as their characters are looked at one by one
+    odd = np.maximum.reduceat(flat, starts) >= 0xE0
+    odd[of[end - begin > LONG_WORD]] = True
+    n = np.bincount(of, minlength=len(lines))
+    apart = np.flatnonzero(odd)
+    split = [words_of(lines[i]) for i in apart.tolist()]
+    n[apart] = np.fromiter(map(len, split), np.int64, len(split))
+    on = ~odd[of] & (n[of] >= LONG_LINE)
+    usual = _word_hashes(flat, begin[on], end[on])
+    more = [w for x in split if len(x) >= LONG_LINE for w in x]
+    sizes = np.fromiter(map(len, more), np.int64, len(more))
+    others = _word_hashes(np.frombuffer(b"".join(more), np.uint8), np.cumsum(sizes) - sizes, np.cumsum(sizes))
+    counted = np.where(n >= LONG_LINE, n, 0)
+    mine = np.repeat(odd, counted)
+    out = np.empty(int(counted.sum()), np.uint64)
+    out[mine], out[~mine] = others, usual
+    return n, out
+
+
 def entries(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
     """(line, sig) of all segments of lines and of all substrings that they look up."""
-    from xxhash import xxh3_64_intdigest
-
-    known: dict[str, int] = {}
-    flat, sizes, long, short = [], [], [], []
-    for i, line in enumerate(lines):
-        found = words_of(line)
-        if len(found) < LONG_LINE:
-            short.append(i)
-            continue
-        long.append(i)
-        sizes.append(len(found))
-        for w in found:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            flat.append(h)
-    a, s = _hashed(np.array(flat, np.uint64), np.array(sizes, np.int64), edits, True)
-    of, sig = np.array(long, np.int64)[a], s
-    codes = np.frombuffer("".join([lines[i] for i in short]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    a, s = _hashed(codes + np.uint64(1), np.array([len(lines[i]) for i in short], np.int64), edits, False)
-    return np.concatenate([of, np.array(short, np.int64)[a]]), np.concatenate([sig, s])
+    n, words = _symbols(lines)
+    long, short = np.flatnonzero(n >= LONG_LINE), np.flatnonzero(n < LONG_LINE)
+    a, s = _hashed(words, n[long], edits, True)
+    of, sig = long[a], s
+    part = [lines[i] for i in short.tolist()]
+    codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    a, s = _hashed(codes + np.uint64(1), np.fromiter(map(len, part), np.int64, len(part)), edits, False)
+    return np.concatenate([of, short[a]]), np.concatenate([sig, s])
 
 
 def _groups(s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,11 +287,10 @@ def _meetings(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFra
                 continue
             of, s = entries(fresh, edits)
             k = np.array([_key(x) for x in fresh], np.uint64)[of]
-            order = np.lexsort((k, s))
+            where = ((s >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges < 1 << 16 else np.int64)
+            order = np.argsort(where, kind="stable")
             s, k = s[order], k[order]
-            one = np.concatenate([[True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])])
-            s, k = s[one], k[one]
-            cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+            cut = np.searchsorted(where[order], np.arange(ranges + 1))
             at = [r for r in range(ranges) if cut[r + 1] > cut[r]]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([s[cut[r] : cut[r + 1]].tobytes() for r in at], pa.binary()), pa.array([k[cut[r] : cut[r + 1]].tobytes() for r in at], pa.binary())], names=["range", "sigs", "keys"])
 
@@ -266,7 +302,7 @@ def _meetings(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFra
         for r in list(parts):
             part = parts.pop(r)
             s, k = np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
-            order = np.argsort(s, kind="stable")
+            order = np.argsort(s)
             group, k = _groups(s[order], k[order])
             if len(group):
                 yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(k.view(np.int64))], names=["sig", "key"])
