@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,107 +16,110 @@ from .common import SLICE_CHARS, parallelism, slices, small_batches, text_slices
 
 WINDOW = 32
 LEVELS = 128  # of entropy, from 0 to log2(WINDOW) bits
-NEAR = 4  # neighbouring windows that compete
+NEAR, VOTES = 32, 8  # neighbouring windows that compete, and in how many such neighbourhoods a feature is the rarest
 FEATURES, FILTER_BITS, HASHES = 128, 2048, 4
-ANCHOR_BITS = 3
+SAMPLE = 64
+UNIT = 1 << 24  # of entropy sums, which are whole numbers and so the same wherever a window lies
+
+
+def _gains() -> np.ndarray:
+    """What the k-th equal byte in a window adds to the sum of c * log2(c) over its bytes' counts c, in UNITs."""
+    c = np.arange(WINDOW + 1, dtype=np.float64)
+    return np.concatenate([[0], np.diff(np.rint(c * np.log2(np.maximum(c, 1)) * UNIT))]).astype(np.int64)
+
+
+GAINS = _gains()
 
 
 @dataclass
 class Windows:
-    """Windows of a batch of texts: which text, first byte, entropy level and hash."""
+    """All windows of a batch of texts: the bytes on end, each window's text, first byte and entropy level."""
 
+    flat: np.ndarray
+    sizes: np.ndarray
     doc: np.ndarray
+    at: np.ndarray
     level: np.ndarray
-    hash: np.ndarray
 
 
 def windows(data: list[bytes]) -> Windows:
-    """Windows of 32 bytes at content-defined places (one in about eight: a hash of three bytes decides, so an edit
-    moves no other window). A text of under 32 bytes is one window; without such a place the first window is taken;
-    an empty text has none."""
+    """Every run of 32 bytes of each text. A text of under 32 bytes is one window, filled with zero bytes; an empty text
+    has none."""
     sizes = np.array([len(x) for x in data], np.int64)
-    room = np.maximum(sizes, WINDOW)
-    first = np.concatenate([[0], np.cumsum(room)])
-    flat = np.frombuffer(b"".join(x.ljust(WINDOW, b"\0") for x in data) + b"\0" * WINDOW, np.uint8)
-    if not len(data) or not sizes.any():
-        none = np.zeros(0, np.int64)
-        return Windows(none, none, none.astype(np.uint64))
-    n = int(first[-1])
-    h = flat[:n].astype(np.uint32) * np.uint32(0x9E3779B1)
-    h += flat[1 : n + 1] * np.uint32(0x85EBCA77)
-    h += flat[2 : n + 2] * np.uint32(0xC2B2AE3D)
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x27D4EB2F)
-    at = np.flatnonzero(h >> np.uint32(32 - ANCHOR_BITS) == 0)
-    doc = np.searchsorted(first, at, "right") - 1
-    ok = (at + WINDOW <= first[doc] + sizes[doc]) & (sizes[doc] >= WINDOW)
-    at, doc = at[ok], doc[ok]
-    bare = np.flatnonzero((np.bincount(doc, minlength=len(data)) == 0) & (sizes > 0))
-    if bare.size:
-        at, doc = np.concatenate([at, first[bare]]), np.concatenate([doc, bare])
-        order = np.argsort(at, kind="stable")
-        at, doc = at[order], doc[order]
-    level, hashed = np.empty(len(at), np.int64), np.empty(len(at), np.uint64)
-    view = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)
-    for k in range(0, len(at), 32768):
-        part = view[at[k : k + 32768]]
-        hashed[k : k + 32768] = _hash(part, sizes[doc[k : k + 32768]])
-        level[k : k + 32768] = _levels(part)
-    return Windows(doc, level, hashed)
-
-
-def _hash(part: np.ndarray, size: np.ndarray) -> np.ndarray:
-    words = np.ascontiguousarray(part).view("<u8")
+    room = np.where(sizes > 0, np.maximum(sizes, WINDOW), 0)
+    flat = np.frombuffer(b"".join(x.ljust(WINDOW, b"\0") if x else b"" for x in data), np.uint8)
+    many = np.where(sizes > 0, room - WINDOW + 1, 0)
+    doc = np.repeat(np.arange(len(data), dtype=np.int32), many)
+    first = np.cumsum(room) - room
+    at = np.arange(len(doc)) + np.repeat(first - (np.cumsum(many) - many), many)
+    return Windows(flat, sizes, doc, at, _levels(flat)[at] if len(at) else np.zeros(0, np.uint8))
+
+
+def _levels(flat: np.ndarray) -> np.ndarray:
+    """Shannon entropy of the WINDOW bytes from each place, in LEVELS steps.
+
+    A window's sum follows from that of the window before: the byte that leaves takes off what it had added as the last of
+    its kind, the byte that enters adds as one more."""
+    n = len(flat) - WINDOW + 1
+    ahead, behind = np.zeros(len(flat), np.uint8), np.zeros(len(flat), np.uint8)  # equal bytes among the next and the last 31
+    for lag in range(1, WINDOW):
+        same = (flat[lag:] == flat[:-lag]).view(np.uint8)
+        ahead[:-lag] += same
+        behind[lag:] += same
+    start = np.bincount(flat[:WINDOW], minlength=256)
+    total = np.empty(n, np.int64)
+    total[0] = sum(int(GAINS[: c + 1].sum()) for c in start.tolist())
+    total[1:] = GAINS[behind[WINDOW:] + 1] - GAINS[ahead[: n - 1] + 1]
+    entropy = np.log2(WINDOW) - np.cumsum(total) / (WINDOW * UNIT)
+    return np.clip(np.rint(entropy / np.log2(WINDOW) * (LEVELS - 1)), 0, LEVELS - 1).astype(np.uint8)
+
+
+def _hash(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    words = np.ndarray((len(flat) - 7,), "<u8", flat.data, 0, (1,))
     h = np.minimum(size, WINDOW).astype(np.uint64)
-    for k in range(words.shape[1]):
-        h = (h ^ words[:, k]) * np.uint64(0x9FB21C651E98DF25)
+    for k in range(0, WINDOW, 8):
+        h = (h ^ words[at + k]) * np.uint64(0x9FB21C651E98DF25)
         h ^= h >> np.uint64(29)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
 
-def _levels(part: np.ndarray) -> np.ndarray:
-    """Shannon entropy of each row's bytes, in LEVELS steps: c equal bytes count c * log2(c), summed as they are met."""
-    c = np.arange(WINDOW + 1, dtype=np.float64)
-    f = c * np.log2(np.maximum(c, 1))
-    gain = np.concatenate([[0], np.diff(f)]).astype(np.float32)
-    rows = np.sort(part, axis=1).T.copy()
-    run = np.ones(part.shape[0], np.uint8)
-    total = np.zeros(part.shape[0], np.float32)
-    for k in range(1, WINDOW):
-        run = run * (rows[k] == rows[k - 1]) + np.uint8(1)
-        total += gain[run]
-    entropy = np.log2(WINDOW) - total / WINDOW
-    return np.clip(np.rint(entropy / np.log2(WINDOW) * (LEVELS - 1)), 0, LEVELS - 1).astype(np.int64)
-
-
 def select(w: Windows, counts: np.ndarray) -> np.ndarray:
-    """Which windows become features: of each NEAR neighbours the one with the least probable entropy (by counts; the
-    first of equals) gets a vote; two votes make a feature, or one in a text that has none with two."""
+    """Which windows become features (by number): of each NEAR neighbours the one with the least probable entropy (by
+    counts; the first of equals) gets a vote. VOTES make a feature; in a text where none has so many, those with the most
+    do. In a text of fewer than NEAR windows all are."""
     n = len(w.doc)
     if not n:
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     rank = np.empty(LEVELS, np.int64)
     rank[np.lexsort((np.arange(LEVELS), counts))] = np.arange(LEVELS)
-    p = rank[w.level]
-    votes = np.zeros(n, np.int64)
-    if n >= NEAR:
-        group = np.lib.stride_tricks.sliding_window_view(p, NEAR)
-        inside = w.doc[: n - NEAR + 1] == w.doc[NEAR - 1 :]
-        winner = (np.arange(n - NEAR + 1) + group.argmin(1))[inside]
-        votes = np.bincount(winner, minlength=n)
-    per = np.bincount(w.doc)
-    votes[per[w.doc] < NEAR] = 2  # too few to compete: all count
-    best = np.zeros(len(per), np.int64)
-    np.maximum.at(best, w.doc, votes)
-    return (votes >= 2) | ((votes == 1) & (best[w.doc] < 2))
+    votes = np.zeros(n, np.uint8)
+    for b in range(0, n, 1 << 23):  # places within a block and ranks fit into 32 bits
+        stop = min(n, b + (1 << 23) + NEAR - 1)
+        least = rank[w.level[b:stop]].astype(np.uint32) << np.uint32(24) | np.arange(stop - b, dtype=np.uint32)
+        reach = 1
+        while reach < NEAR and len(least) > reach:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        if reach == NEAR:
+            inside = w.doc[b : b + len(least)] == w.doc[b + NEAR - 1 : b + NEAR - 1 + len(least)]
+            winner = (least[inside] & np.uint32((1 << 24) - 1)).astype(np.int64)
+            votes[b:stop] += np.bincount(winner, minlength=stop - b).astype(np.uint8)
+    many = np.bincount(w.doc, minlength=len(w.sizes))
+    begin = np.cumsum(many) - many
+    there = np.flatnonzero(many)
+    need = np.full(len(many), VOTES, np.uint8)
+    need[there] = np.minimum(VOTES, np.maximum.reduceat(votes, begin[there]))
+    need[many < NEAR] = 0
+    return np.flatnonzero(votes >= need[w.doc])
 
 
 def digests(data: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
     """For each text its chain of filters (filters x bytes): distinct features in order of place, FEATURES to a filter."""
     w = windows(data)
     on = select(w, counts)
-    doc, h = w.doc[on], w.hash[on]
+    doc = w.doc[on].astype(np.int64)
+    h = _hash(w.flat, w.at[on], w.sizes[doc]) if doc.size else np.zeros(0, np.uint64)
     if doc.size:
         # equal windows of a text count once, where they come first
         order = np.lexsort((np.arange(len(h)), h, doc))
@@ -181,16 +185,25 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     followed by the one that follows it among all rows: a part ends with a stray copy of the first rows of the next
     one (the last part with the first of all).
 
-    Cut points are quantiles of the id; only they and one id for each part reach the driver. Null ids come first."""
+    Cut points are quantiles of the id, approximate or, where it isn't a number, of a sample of SAMPLE ids for each part;
+    only these and one id for each part reach the driver. Null ids come first. Rows of one id lie in one part."""
     parts = parallelism(docs.sparkSession)
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     ids = docs.select(F.col(id_col).alias("id"))
-    quantiles = [k / parts for k in range(1, parts)]
-    cuts = np.unique(ids.select(F.col("id").cast("double")).approxQuantile("id", quantiles, min(0.01, 0.25 / parts))) if parts > 1 else np.zeros(0)
+    number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+    if parts == 1:
+        cuts = []
+    elif number:
+        cuts = np.unique(ids.select(F.col("id").cast("double")).approxQuantile("id", [k / parts for k in range(1, parts)], min(0.01, 0.25 / parts))).tolist()
+    else:
+        some = sorted(r["id"] for r in ids.where("id IS NOT NULL").orderBy(F.xxhash64(F.lit("cut"), "id"), "id").limit(SAMPLE * parts).collect())
+        cuts = sorted({some[len(some) * k // parts] for k in range(1, parts)}) if some else []
 
     def part_of(column: pa.Array) -> np.ndarray:
-        return np.searchsorted(cuts, column.cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+        if number:
+            return np.searchsorted(cuts, column.cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+        return np.array([0 if x is None else bisect_right(cuts, x) for x in column.to_pylist()], np.int32)
 
     def place(batches):
         for batch in batches:
