@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from math import ceil, isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import durable
+from .common import durable, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources that the driver shares targets out to, and up to how many they are sent to all workers (some 100 bytes each).
+MOST_SOURCES, BROADCAST_SOURCES = 2_000_000, 50_000
 
 
 def apportion(weights: np.ndarray, seats: int) -> np.ndarray:
@@ -58,10 +62,12 @@ def n_words(text: Column) -> Column:
 
 
 def _plan(sized: DataFrame, keep: list[str], weights: tuple[float, ...], most: float, block: int, shard_rows: int, seed: int) -> DataFrame:
-    """The columns in keep (the id first), size, source_size, target, taken, source, whole (how often the row is taken
-    whole) and spans (the words [a, b) taken once more) of rows with keep, source and size."""
-    id_col = keep[0]
-    sums = [(r["source"], int(r["s"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()]
+    """The columns in keep (the id first, the mark second), size, source_size, target, taken, source, whole (how often the
+    row is taken whole) and spans (the words [a, b) taken once more) of rows with keep, source and size."""
+    id_col, mark = keep[:2]
+    sums = [(r["source"], int(r["s"]), int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()]
+    if len(sums) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources: targets are shared out on the driver")
     sums.sort(key=lambda x: (x[0] is None, [ord(c) for c in x[0] or ""]))
     sizes = np.array([s for _, s, _ in sums], np.int64)
     goal = targets(sizes, np.array([weights[k % len(weights)] for k in range(len(sums))]), most)
@@ -71,13 +77,14 @@ def _plan(sized: DataFrame, keep: list[str], weights: tuple[float, ...], most: f
         quota = np.minimum(quota, np.floor(most * sizes / block).astype(np.int64) + 1)
     session = sized.sparkSession
     table = pd.DataFrame(
-        {"source": pd.Series([s for s, _, _ in sums], dtype=object), "number": np.arange(len(sums)), "source_size": sizes, "target": goal, "quota": quota, "shards": np.array([-(-n // shard_rows) for _, _, n in sums], np.int64)}
+        {"source": pd.Series([s for s, _, _ in sums], dtype=object), "number": np.arange(len(sums)), "source_size": sizes, "target": goal, "quota": quota, "shards": np.array([-(-n // max(shard_rows, isqrt(n))) for _, _, n in sums], np.int64)}
     )
     of = session.createDataFrame(table, "source string, number bigint, source_size bigint, target double, quota bigint, shards bigint")
-    # one row for each source, as read by the driver above
-    laid = sized.join(F.broadcast(of), sized["source"].eqNullSafe(of["source"])).drop(of["source"])
-    laid = laid.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), id_col), F.col("shards")))
-    at = W.partitionBy("number", "shard").orderBy(id_col, "size").rowsBetween(W.unboundedPreceding, 0)
+    # one row for each source, as read by the driver above; where they are many, Spark chooses the join
+    of = F.broadcast(of) if len(sums) <= BROADCAST_SOURCES else of
+    laid = sized.join(of, sized["source"].eqNullSafe(of["source"])).drop(of["source"])
+    laid = laid.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), id_col, mark), F.col("shards")))
+    at = W.partitionBy("number", "shard").orderBy(id_col, "size", mark).rowsBetween(W.unboundedPreceding, 0)
     laid = laid.withColumn("begin", F.sum("size").over(at) - F.col("size"))
     totals = laid.groupBy("number", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
 
@@ -85,7 +92,7 @@ def _plan(sized: DataFrame, keep: list[str], weights: tuple[float, ...], most: f
         pdf = pdf.sort_values("shard")
         words = pdf["words"].to_numpy()
         blocks = np.where(words > 0, np.maximum(1, np.rint(words / block)), 0).astype(np.int64)
-        limit = blocks * int(most)
+        limit = blocks * ceil(most)
         got = np.minimum(apportion(words, int(pdf["quota"].iloc[0])), limit)
         while (over := min(int(pdf["quota"].iloc[0]), int(limit.sum())) - int(got.sum())) > 0:  # a full shard's seats go to the others
             more = np.minimum(limit - got, np.maximum(apportion(limit - got, over), 0))
@@ -115,34 +122,41 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3
     """id, size, source_size, target, taken (words of the row that the mix takes, repeats counted), source.
 
     Sources in code point order, null last, get weights in turn; targets share the words of all. A source's rows are
-    dealt by hash to shards of about shard_rows rows, laid end to end by id within a shard, and cut to blocks of about
+    dealt by a hash of id and text to shards of about shard_rows rows (the root of the source's rows, if that is more, so
+    that neither a shard nor the list of a source's shards grows large), laid end to end by id within a shard, and cut to blocks of about
     block words, of equal size but for one word. Sainte-Laguë gives each source a number of blocks, then each of its
     shards a part of that (an integer quota). A shard takes all its blocks quota // blocks times, and quota % blocks of
     them, chosen by a seeded permutation, once more. No block, so no row, is taken more than ceil(most) times.
 
-    Null texts have size 0. Rows without words take 0. Rows with equal ids lie in their shard by size; repeated rows
-    are alike and may trade what they take. An empty table gives none; other columns aren't read. Only one row for each
-    source reaches the driver."""
-    sized = durable(docs.select(F.col(id_col), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
-    return _plan(sized, [id_col], weights, most, block, shard_rows, seed).select(id_col, "size", "source_size", "target", "taken", "source")
+    Null texts have size 0. Rows without words take 0. Rows with equal ids lie in their shard by size and a hash of the
+    text; repeated rows are alike and may trade what they take. Very long texts are rows like others. An empty table gives
+    none; other columns aren't read. Only one row for each source reaches the driver (two million at most, else it raises)."""
+    id_name, mark = unused([id_col], 2)
+    sized = durable(docs.select(F.col(id_col).alias(id_name), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(mark), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    return _plan(sized, [id_name, mark], weights, most, block, shard_rows, seed).select(F.col(id_name).alias(id_col), "size", "source_size", "target", "taken", "source")
 
 
 def sample_rows(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block: int = 32, shard_rows: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each time that a row is taken whole, and one with the words of
-    the spans taken once more (with the white space before each; chars_col, if there, follows). See mix."""
+    """The mix itself, with the columns of docs (of any name): a row for each time that a row is taken whole, and one with
+    the words of the spans taken once more (with the white space before each; chars_col, if there, follows).
+
+    See mix. Rows without words, so null and empty texts too, don't come; repeated rows may trade what they take; an empty
+    table gives none."""
+    own_id, own_mark, own_source, copy, words, text, plan_id, plan_mark, plan_copy, whole, spans = unused(docs.columns, 11)
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     # rows equal in id and text are told apart by their source, which both sides can sort by
-    copy = F.row_number().over(W.partitionBy("__id", "__mark").orderBy("__source"))
-    rows = docs.withColumns({"__id": F.col(id_col), "__mark": mark, "__source": F.col(source_col)})
-    sized = rows.select("__id", "__mark", "__source", n_words(F.col(text_col)).alias("size")).withColumn("__copy", copy)
-    sized = durable(sized.withColumnRenamed("__source", "source"))
-    plan = _plan(sized, ["__id", "__mark", "__copy"], weights, most, block, shard_rows, seed).where("taken > 0").selectExpr("__id AS __i", "__mark AS __m", "__copy AS __c", "whole AS __whole", "spans AS __spans")
-    both = rows.withColumn("__copy", copy).join(plan, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")) & (F.col("__copy") == F.col("__c")))
+    number = F.row_number().over(W.partitionBy(own_id, own_mark).orderBy(own_source))
+    rows = docs.withColumns({own_id: F.col(id_col), own_mark: mark, own_source: F.col(source_col)})
+    sized = rows.select(own_id, own_mark, own_source, n_words(F.col(text_col)).alias("size")).withColumn(copy, number)
+    sized = durable(sized.withColumnRenamed(own_source, "source"))
+    names = {own_id: plan_id, own_mark: plan_mark, copy: plan_copy, "whole": whole, "spans": spans}
+    plan = _plan(sized, [own_id, own_mark, copy], weights, most, block, shard_rows, seed).where("taken > 0").select(*[F.col(a).alias(b) for a, b in names.items()])
+    both = rows.withColumn(copy, number).join(plan, F.col(own_id).eqNullSafe(F.col(plan_id)) & (F.col(own_mark) == F.col(plan_mark)) & (F.col(copy) == F.col(plan_copy)))
     part = r"[\x20\x09-\x0D]*" + WORD
-    words = both.withColumn("__words", F.when(F.size("__spans") > 0, F.regexp_extract_all(F.col(text_col), F.lit(part), F.lit(0))))
-    once = F.expr("array_join(flatten(transform(__spans, s -> slice(__words, cast(s.a + 1 AS int), cast(s.b - s.a AS int)))), '')")
-    again = F.when(F.size("__spans") > 0, F.array(F.regexp_replace(once, r"^[\x20\x09-\x0D]+", ""))).otherwise(F.array().cast("array<string>"))
-    out = words.withColumn("__text", F.explode(F.concat(F.array_repeat(F.col(text_col), F.col("__whole").cast("int")), again)))
+    split = both.withColumn(words, F.when(F.size(spans) > 0, F.regexp_extract_all(F.col(text_col), F.lit(part), F.lit(0))))
+    once = F.expr(f"array_join(flatten(transform({spans}, s -> slice({words}, cast(s.a + 1 AS int), cast(s.b - s.a AS int)))), '')")
+    again = F.when(F.size(spans) > 0, F.array(F.regexp_replace(once, r"^[\x20\x09-\x0D]+", ""))).otherwise(F.array().cast("array<string>"))
+    out = split.withColumn(text, F.explode(F.concat(F.array_repeat(F.col(text_col), F.col(whole).cast("int")), again)))
     kinds = dict(docs.dtypes)
-    new = {text_col: F.col("__text")} | ({chars_col: F.length("__text").cast(kinds[chars_col])} if chars_col in kinds else {})
+    new = {text_col: F.col(text)} | ({chars_col: F.length(text).cast(kinds[chars_col])} if chars_col in kinds else {})
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

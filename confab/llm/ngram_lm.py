@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import by_text, parallelism, small_batches, text_slices
 
 WORD_BITS = 48
+RANGE_BYTES = 1 << 29  # of input for each range of hashes
 BEGIN, END = 1, 2  # hashes of the context before the first word and of the token behind the last
 #: what is stored of a word: its count, as a context its count and how many pairs it begins with counts 1, 2, 3 or more, and how many words precede it
 FIELDS = ("count", "context", "n1", "n2", "n3", "before")
@@ -78,29 +79,35 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each, or in eight where one needs them."""
+    return x.astype("<u4" if int(x.max(initial=0)) < 1 << 32 else "<u8")
+
+
 def _small(*columns: np.ndarray) -> bytes:
-    return zlib.compress(np.concatenate([x.astype("<u4") for x in columns]).tobytes(), 1)
+    flat = _narrow(np.concatenate(columns))
+    return bytes([flat.itemsize]) + zlib.compress(flat.tobytes(), 1)
 
 
 def _from_small(data: bytes, columns: int) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<u4").reshape(columns, -1).astype(np.int64)
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}").reshape(columns, -1).astype(np.int64)
 
 
 def _write(folder: str, name: str, arrays: list[np.ndarray]) -> None:
-    """One file: the length, then the arrays. Another attempt at a task writes the same bytes; a rename makes it whole."""
+    """One file: the number of rows and of arrays, each array's bytes a row, then the arrays. Another attempt at a task writes the same bytes; a rename makes it whole."""
     from pyarrow import fs
 
     where, path = fs.FileSystem.from_uri(folder)
     where.create_dir(path, recursive=True)
     part = f"{path}/.{name}-{uuid.uuid4().hex}"
     with where.open_output_stream(part) as out:
-        out.write(np.array([len(arrays[0])], "<u8").tobytes())
+        out.write(np.array([len(arrays[0]), len(arrays), *[x.itemsize for x in arrays]], "<u8").tobytes())
         for x in arrays:
             out.write(np.ascontiguousarray(x).tobytes())
     where.move(part, f"{path}/{name}")
 
 
-def _map(folder: str, name: str, kinds: list[str]) -> list[np.ndarray]:
+def _map(folder: str, name: str) -> list[np.ndarray]:
     """The arrays of a file, mapped into memory. A file of a remote store is first copied to a nameless local one."""
     from pyarrow import fs
 
@@ -114,10 +121,11 @@ def _map(folder: str, name: str, kinds: list[str]) -> list[np.ndarray]:
                 copy.write(block)
         copy.flush()
         raw = np.memmap(copy, np.uint8, "r")
-    n, at, out = int(raw[:8].view("<u8")[0]), 8, []
-    for kind in kinds:
-        size = n * np.dtype(kind).itemsize
-        out.append(raw[at : at + size].view(kind))
+    n, columns = raw[:16].view("<u8").tolist()
+    at, out = 16 + 8 * columns, []
+    for width in raw[16:at].view("<u8").tolist():
+        size = n * width
+        out.append(raw[at : at + size].view(f"<u{width}"))
         at += size
     return out
 
@@ -210,7 +218,9 @@ def fit(rows: DataFrame, text_col: str = "text", folder: str | None = None) -> M
     """Counts all rows' whole texts (null: empty) and writes the model's files to a new place below the shared folder
     (spark.checkpoint.dir unless given). Only sums (one row) reach the driver."""
     spark = rows.sparkSession
-    ranges = parallelism(spark)
+    # a range is held by one task, so there are more of them where the input is large (a size of 2^60 stands for unknown)
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    ranges = max(parallelism(spark), size // RANGE_BYTES if size < 1 << 60 else 0)
     if folder is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="model-")
         folder = shared if "://" in shared else "file://" + os.path.abspath(shared)
@@ -230,7 +240,7 @@ def fit(rows: DataFrame, text_col: str = "text", folder: str | None = None) -> M
             h = h[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             c, a, b, h = np.add.reduceat(c[order], first), a[order][first], b[order][first], h[first]
-            _write(folder, f"pairs-{k}", [h, np.minimum(c, 0xFFFFFFFF).astype("<u4")])
+            _write(folder, f"pairs-{k}", [h, _narrow(c)])
             one = np.ones(len(c), np.int64)
             wa, va = _sum_by(a, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))
             wb, vb = _sum_by(b, c, one)
@@ -255,7 +265,7 @@ def fit(rows: DataFrame, text_col: str = "text", folder: str | None = None) -> M
         for k in list(groups):
             part = groups.pop(k)
             w, v = _sum_by(np.concatenate([x[0] for x in part]), *(np.concatenate([x[1][j] for x in part]) for j in range(len(FIELDS))))
-            _write(folder, f"words-{k}", [w, *[np.minimum(x, 0xFFFFFFFF).astype("<u4") for x in v]])
+            _write(folder, f"words-{k}", [w, *map(_narrow, v)])
             before = v[5]
             total[5:] += np.array([v[0].sum(), (v[0] > 0).sum(), (before > 0).sum(), *[(before == j).sum() for j in (1, 2, 3, 4)]])
         yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in total], names=sums)
@@ -285,8 +295,8 @@ class Lookup:
         where, path = fs.FileSystem.from_uri(folder)
         there = {os.path.basename(x.path) for x in where.get_file_info(fs.FileSelector(path, allow_not_found=True))}
         self.ranges = ranges
-        self.pairs = [_map(folder, f"pairs-{k}", ["<u8", "<u4"]) if f"pairs-{k}" in there else None for k in range(ranges)]
-        self.words = [_map(folder, f"words-{k}", ["<u8", *["<u4"] * len(FIELDS)]) if f"words-{k}" in there else None for k in range(ranges)]
+        self.pairs = [_map(folder, f"pairs-{k}") if f"pairs-{k}" in there else None for k in range(ranges)]
+        self.words = [_map(folder, f"words-{k}") if f"words-{k}" in there else None for k in range(ranges)]
 
     def find(self, sorted_keys: np.ndarray, files: list, bits: int, fields: int) -> np.ndarray:
         out = np.zeros((fields, len(sorted_keys)), np.int64)
