@@ -96,6 +96,34 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-z.astype(np.float64)))
 
 
+def gradients(net: ByteCnn, raw: np.ndarray, live: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The weighed mean logistic loss of chunks (raw: rows x bytes; live: which places count) and its gradients."""
+    size, places = net.embed.shape[1], live.shape[1]
+    idx = raw[:, (np.arange(places) * STRIDE)[:, None] + np.arange(WIDTH)]  # rows x places x WIDTH
+    e = net.embed[idx].reshape(len(raw), places, WIDTH * size)
+    a = e @ net.conv
+    a[~live] = -np.inf
+    best = a.argmax(1)  # rows x F
+    x = np.take_along_axis(a, best[:, None, :], 1)[:, 0] + net.bias
+    relu = np.maximum(x, 0)
+    h = np.tanh(relu @ net.hidden + net.hidden_bias)
+    z = h @ net.out + net.out_bias
+    share = w / w.sum()
+    loss = float((share * (np.logaddexp(0, z) - y * z)).sum())
+    d = ((1 / (1 + np.exp(-z)) - y) * share).astype(net.out.dtype)
+    g = {"out": h.T @ d, "out_bias": np.asarray(d.sum(), net.out.dtype)}
+    dh = d[:, None] * net.out * (1 - h * h)
+    g["hidden"], g["hidden_bias"] = relu.T @ dh, dh.sum(0)
+    dx = (dh @ net.hidden.T) * (x > 0)
+    g["bias"] = dx.sum(0)
+    top = np.take_along_axis(e, best[:, :, None], 1)  # rows x F x (WIDTH size)
+    g["conv"] = np.einsum("rfk,rf->kf", top, dx)
+    de = (dx[:, :, None] * net.conv.T[None]).reshape(-1, size)
+    g["embed"] = np.zeros_like(net.embed)
+    np.add.at(g["embed"], np.take_along_axis(idx, best[:, :, None], 1).reshape(-1), de)
+    return loss, g
+
+
 def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 4e-3, seed: int = 5) -> ByteCnn:
     """Adam on the logistic loss of single chunks: in each epoch every text gives one of its chunks, drawn evenly."""
     r = np.random.default_rng(seed)
@@ -104,9 +132,7 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
     unit, width = BLOCK * STRIDE, CHUNK * BLOCK * STRIDE
     m = {k: np.zeros_like(np.asarray(getattr(net, k), np.float32)) for k in names}
     v = {k: x.copy() for k, x in m.items()}
-    step, size = 0, net.embed.shape[1]
-    places = width // STRIDE
-    window = (np.arange(places) * STRIDE)[:, None] + np.arange(WIDTH)
+    step, places = 0, width // STRIDE
     for _ in range(epochs):
         order = r.permutation(len(texts))
         for at in range(0, len(order), batch):
@@ -119,27 +145,7 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
                 part = t[begin : begin + width + WIDTH]
                 raw[i, : len(part)] = np.frombuffer(part, np.uint8)
                 live[i, : max(1, -(-min(len(t) - begin, width) // STRIDE))] = True
-            idx = raw[:, window]  # rows x places x WIDTH
-            e = net.embed[idx].reshape(len(rows), places, WIDTH * size)
-            a = e @ net.conv
-            a[~live] = -np.inf
-            best = a.argmax(1)  # rows x F
-            x = np.take_along_axis(a, best[:, None, :], 1)[:, 0] + net.bias
-            relu = np.maximum(x, 0)
-            h = np.tanh(relu @ net.hidden + net.hidden_bias)
-            z = h @ net.out + net.out_bias
-            y, w = labels[rows], weights[rows]
-            d = ((1 / (1 + np.exp(-z)) - y) * w / w.sum()).astype(np.float32)
-            g = {"out": h.T @ d, "out_bias": np.asarray(d.sum(), np.float32)}
-            dh = d[:, None] * net.out * (1 - h * h)
-            g["hidden"], g["hidden_bias"] = relu.T @ dh, dh.sum(0)
-            dx = (dh @ net.hidden.T) * (x > 0)
-            g["bias"] = dx.sum(0)
-            top = np.take_along_axis(e, best[:, :, None], 1)  # rows x F x (WIDTH size)
-            g["conv"] = np.einsum("rfk,rf->kf", top, dx)
-            de = (dx[:, :, None] * net.conv.T[None]).reshape(-1, size)
-            g["embed"] = np.zeros_like(net.embed)
-            np.add.at(g["embed"], np.take_along_axis(idx, best[:, :, None], 1).reshape(-1), de)
+            _, g = gradients(net, raw, live, labels[rows], weights[rows])
             step += 1
             for k in names:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -162,6 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int = 20
     mark = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30))
     share = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, sample / 2 / n))) for y, n in sorted(per.items())])
     chosen = marked.where(mark < share * (1 << 30))
+    # about sample rows, unless an id has very many labels
+    chosen = F.broadcast(chosen) if chosen.count() <= 4 * sample else chosen
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b")).join(chosen, "id")
     # rows in the order of another hash, as many as sample_bytes hold; their sizes come to the driver before any text
     rows = rows.withColumn("place", F.xxhash64(F.lit("order"), "id", "y")).withColumn("size", F.length("b"))
