@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import os
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters of text that a worker handles at once (a longer text is handled alone).
 SLICE_CHARS = 1_500_000
 
 
+def _fallback(spark: SparkSession, prefix: str) -> str:
+    """A local folder, for sessions whose executors are threads of the driver. On a cluster it would be another one on each
+    machine, so there the setting is asked for."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder in spark.checkpoint.dir and cut off from their lineage.
 
-    A local folder is set only where the setting is missing, as in tests."""
+    A local folder is set only where the setting is missing in local mode, as in tests."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _fallback(df.sparkSession, "checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shared-")).rstrip("/")
+    """The folder in spark.checkpoint.dir as a URI; a local one only where that is unset in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _fallback(spark, "shared-")
+    return (folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)).rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fold(doc_id: str | Column, n: int) -> Column:
@@ -94,6 +112,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "1024")
 
 
+def _release() -> None:
+    """Gives memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow. Workers are kept from task to task and stage to stage, so each task releases what it has freed."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def by_text(df: DataFrame, columns: list[str], schema: str, make: Callable, text: str = "text") -> DataFrame:
     """mapInArrow over slices: make(slice without text as dict of arrow arrays, texts) gives a dict of output columns.
 
@@ -107,4 +142,4 @@ def by_text(df: DataFrame, columns: list[str], schema: str, make: Callable, text
             yield pa.RecordBatch.from_arrays([x if isinstance(x := out[c], pa.Array) else pa.array(x) for c in names], names=names)
 
     small_batches(df.sparkSession)
-    return df.select(*columns, text).mapInArrow(run, schema)
+    return arrow(df.select(*columns, text), run, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, parallelism, slices, small_batches, text_slices
+from .common import SLICE_CHARS, arrow, parallelism, slices, small_batches, text_slices
 
 WINDOW = 32
 LEVELS = 128  # of entropy, from 0 to log2(WINDOW) bits
@@ -175,7 +175,7 @@ def entropy_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS, dtype=np.int32)), pa.array(total)], names=["level", "n"])
 
     out = np.zeros(LEVELS, np.int64)
-    for r in docs.select(text_col).mapInArrow(run, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect():
+    for r in arrow(docs.select(text_col), run, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect():
         out[r["level"]] = r["n"]
     return out
 
@@ -210,7 +210,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([pa.array(part_of(batch.column(0))), batch.column(0)], names=["part", "id"])
 
     head = F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("h")
-    heads = [(r["part"], r["h"]["id"]) for r in ids.mapInArrow(place, f"part int, id {kind}").groupBy("part").agg(head).orderBy("part").collect()]
+    heads = [(r["part"], r["h"]["id"]) for r in arrow(ids, place, f"part int, id {kind}").groupBy("part").agg(head).orderBy("part").collect()]
     before = {p: (first, heads[k - 1][0]) for k, (p, first) in enumerate(heads)}
 
     def deal(batches):
@@ -226,7 +226,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 yield pa.RecordBatch.from_arrays([to, pa.array(zero[at] + 1), copy.column(0), copy.column(1)], names=names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.mapInArrow(deal, f"part int, stray int, id {kind}, text string")
+    dealt = arrow(rows, deal, f"part int, stray int, id {kind}, text string")
     return dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "stray", "id", "text")
 
 
@@ -278,4 +278,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if rows:
                 yield made(rows, batch.schema.field(2).type)
 
-    return with_next(docs, id_col, text_col).mapInArrow(run, schema)
+    return arrow(with_next(docs, id_col, text_col), run, schema)

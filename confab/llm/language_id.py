@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, by_text, small_batches, text_slices
+from .common import SLICE_CHARS, arrow, by_text, slices, small_batches, text_slices
 
 UNDETERMINED = "und"
 MIX = np.uint32(2654435761)
@@ -119,7 +119,7 @@ def document_frequencies(docs: DataFrame, bits: int, text_col: str = "text") ->
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["feature", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in docs.select(text_col).mapInArrow(run, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in arrow(docs.select(text_col), run, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[r["feature"]] = r["n"]
     return out
 
@@ -222,18 +222,19 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (), i
 
 
 def select_rows(docs: DataFrame, model: LanguageModel, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """Rows of docs, with all their columns, that aren't `und` and whose prediction scores least or more. A model without
-    classes can't tell languages and keeps every row whose text has a letter."""
+    """Rows of docs, with all their columns (of any name), that aren't `und` and whose prediction scores least or more. A
+    model without classes can't tell languages and keeps every row whose text has a letter. Null and empty texts go; very
+    long ones count whole; repeated rows share their fate; an empty table gives none."""
 
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            keep = []
-            for x in batch.column(at).to_pylist():
-                lang, score = model.predict(x or "")
-                keep.append(lang != UNDETERMINED and score >= least if model.classes else any(map(str.isalpha, x or "")))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            for part, found in slices(iter([batch]), text_col):
+                keep = []
+                for x in found:
+                    lang, score = model.predict(x)
+                    keep.append(lang != UNDETERMINED and score >= least if model.classes else any(map(str.isalpha, x)))
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return arrow(docs, run, docs.schema)

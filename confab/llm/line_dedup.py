@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, durable, parallelism, small_batches, text_slices, unused
+from .common import arrow, by_text, durable, parallelism, small_batches, text_slices, unused
 from .components import components
 
 FILTER_BITS = 23
@@ -307,7 +307,7 @@ def _meetings(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFra
             if len(group):
                 yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(k.view(np.int64))], names=["sig", "key"])
 
-    return docs.select(text).mapInArrow(emit, "range int, sigs binary, keys binary").repartitionById(ranges, F.col("range")).mapInArrow(meet, "sig bigint, key bigint").distinct()
+    return arrow(arrow(docs.select(text), emit, "range int, sigs binary, keys binary").repartitionById(ranges, F.col("range")), meet, "sig bigint, key bigint").distinct()
 
 
 def _histograms(texts: list) -> np.ndarray:
@@ -378,7 +378,7 @@ def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(k[hit].view(np.int64)), pa.array([fresh[i] for i in hit])], names=["key", "line"])
 
     needed = met.select("key").distinct()
-    texts = docs.select(text_col).mapInArrow(emit, "key bigint, line string").join(needed, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
+    texts = arrow(docs.select(text_col), emit, "key bigint, line string").join(needed, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
     ready = met.join(texts, "key").repartition(parallelism(docs.sparkSession), "sig").sortWithinPartitions("sig")
 
     def verify(batches):
@@ -394,7 +394,7 @@ def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str =
         out = join_group(held, edits) if len(held) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=names)
 
-    return ready.select("sig", "key", "line").mapInArrow(verify, "a bigint, b bigint")
+    return arrow(ready.select("sig", "key", "line"), verify, "a bigint, b bigint")
 
 
 def _mark(text_col: str):

@@ -16,10 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_text, parallelism, small_batches, text_slices
+from .common import arrow, by_text, parallelism, remove, shared_folder, small_batches, text_slices
 
 WORD_BITS = 48
 RANGE_BYTES = 1 << 29  # of input for each range of hashes
@@ -144,6 +144,10 @@ class Model:
         more = t["before_words"] - t["words1"] - t["words2"]
         self.rest = float(self.word_cut[1] * t["words1"] + self.word_cut[2] * t["words2"] + self.word_cut[3] * more) / self.types if self.types else 1.0
 
+    def remove(self, spark: SparkSession) -> None:
+        """Deletes the model's files, once nothing is to be scored any more."""
+        remove(spark, self.folder)
+
     def probability(self, count: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """p(word | context) from the pair's count and the stored fields (rows FIELDS) of both."""
         before = word[5]
@@ -198,7 +202,7 @@ def _pairs(rows: DataFrame, ranges: int, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out, pa.binary())], names=["range", "data"])
 
     small_batches(rows.sparkSession)
-    return rows.select(text).mapInArrow(run, "range int, data binary")
+    return arrow(rows.select(text), run, "range int, data binary")
 
 
 def _cut(data: bytes, n: int) -> list[bytes]:
@@ -222,8 +226,7 @@ def fit(rows: DataFrame, text_col: str = "text", folder: str | None = None) -> M
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     ranges = max(parallelism(spark), size // RANGE_BYTES if size < 1 << 60 else 0)
     if folder is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="model-")
-        folder = shared if "://" in shared else "file://" + os.path.abspath(shared)
+        folder = shared_folder(spark)
     folder = f"{folder.rstrip('/')}/ngrams-{uuid.uuid4().hex}"
 
     def pairs(batches):
@@ -270,8 +273,8 @@ def fit(rows: DataFrame, text_col: str = "text", folder: str | None = None) -> M
             total[5:] += np.array([v[0].sum(), (v[0] > 0).sum(), (before > 0).sum(), *[(before == j).sum() for j in (1, 2, 3, 4)]])
         yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in total], names=sums)
 
-    made = _pairs(rows, ranges, text_col).repartitionById(ranges, F.col("range")).mapInArrow(pairs, "range int, kind int, data binary")
-    made = made.repartitionById(ranges, F.col("range")).mapInArrow(words, ", ".join(f"{x} bigint" for x in sums))
+    made = arrow(_pairs(rows, ranges, text_col).repartitionById(ranges, F.col("range")), pairs, "range int, kind int, data binary")
+    made = arrow(made.repartitionById(ranges, F.col("range")), words, ", ".join(f"{x} bigint" for x in sums))
     row = made.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sums]).first()
     return Model(folder, ranges, row.asDict())
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import by_text, durable
+from .common import arrow, by_text, durable
 
 #: The form of a tokenizer file that the table of units is made for: what happens to a text before the vocabulary is met.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -64,7 +64,7 @@ class TextIds:
     bytes themselves. Longer units and texts with a special string go to the tokenizer each time. The table starts anew
     when it holds max_units. Texts of any other tokenizer go to it whole."""
 
-    def __init__(self, tokenizer_file: str, max_units: int = 1_500_000):
+    def __init__(self, tokenizer_file: str, max_units: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -435,4 +435,4 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int
             out = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             yield pa.RecordBatch.from_arrays([*out, pa.array(sequence[k] + at - begin[k]), pa.array(offset[k])], names=[*columns, "sequence_id", "offset"])
 
-    return ranked.select(*columns, "rank").mapInArrow(place, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", sequence_id bigint, offset bigint")
+    return arrow(ranked.select(*columns, "rank"), place, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", sequence_id bigint, offset bigint")

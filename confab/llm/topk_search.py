@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import arrow
+
 #: Segments at each level; the finest is twos, half of them cut to ones.
 LEVELS = (1, 4, 16)
 
@@ -172,8 +174,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
         return run
 
     schema = "cell int, query boolean, ids binary, data binary"
-    given = vectors.select(F.col(id_col).cast("bigint"), vector_col).mapInArrow(deal(n_c, n_q, False), schema)
-    asked = queries.select(F.col(id_col).cast("bigint"), vector_col).mapInArrow(deal(n_q, n_c, True), schema)
+    given = arrow(vectors.select(F.col(id_col).cast("bigint"), vector_col), deal(n_c, n_q, False), schema)
+    asked = arrow(queries.select(F.col(id_col).cast("bigint"), vector_col), deal(n_q, n_c, True), schema)
 
     def joined(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         found = []
@@ -202,7 +204,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
             own = (q * q).sum(1)
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (qi[r], copy[r], own[r], xi[s], score)], names=names)
 
-    cells = given.union(asked).repartitionById(n_c * n_q, F.col("cell")).mapInArrow(work, ", ".join(f"{x} bigint" for x in names))
+    cells = arrow(given.union(asked).repartitionById(n_c * n_q, F.col("cell")), work, ", ".join(f"{x} bigint" for x in names))
     by = W.partitionBy("query_id", "copy")
     # the own row is (query_id, own): one such row is left out
     mine = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
