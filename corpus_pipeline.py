@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from confab.llm import language_id, line_dedup, mixing, packing, simhash
-from confab.llm.common import fold, shared_folder
+from confab.llm.common import fold, remove, shared_folder
 from confab.llm.paths import tokenizer
 
 #: A prediction below this is no language that the model knows. Odd texts of a known language score above it.
@@ -52,9 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the last one's rows. What stages hand on lies in the shared folder."""
+    """All stages over documents; the last one's rows.
+
+    What a stage hands on is written to the shared folder, and goes once the next one's is; the last such table stays for
+    the result, which is read from it. Null texts and texts without letters don't pass the first stage; repeated rows are
+    near copies, of which one stays; very long texts go whole through every stage; columns of any name are handed on; an
+    empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
@@ -62,4 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
