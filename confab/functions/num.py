@@ -110,6 +110,13 @@ def log_likelihood(score: Column, same: Column, theta: Column | float, temperatu
     return F.ln(F.greatest(F.lit(1e-9), F.least(F.lit(1.0 - 1e-9), F.when(same, p).otherwise(1.0 - p))))
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """NUM-12: rounded to so many decimals by the exact binary value, halves to even (neither round nor bround does that:
+    they round the shortest decimal form)."""
+    shape = "0" + ("." + "0" * digits if digits else "")
+    return F.replace(F.call_function("format_number", x.cast("double"), F.lit(shape)), F.lit(","), F.lit("")).cast("double")
+
+
 def threshold_grid(start: float, end: float, step: float) -> list[float]:
     """NUM-13: by whole steps, two decimals."""
     return [round(start + k * step, 2) for k in range(int(round((end - start) / step)) + 1)]

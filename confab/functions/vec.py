@@ -48,3 +48,12 @@ def in_plane_ratio(v: Column, basis: list[list[float]]) -> Column:
     p = [dot(v, F.array(*[F.lit(float(x)) for x in b])) for b in basis]
     n = norm(v)
     return F.when(n > 0, F.sqrt(sum((x * x for x in p), F.lit(0.0))) / n).otherwise(F.lit(0.0))
+
+
+def mean_pairwise_cosine(vectors: Column) -> Column:
+    """AGG-26: mean cosine of all pairs of an array of vectors; null under two. Arrays are small (a candidate's vectors)."""
+    n = F.size(vectors)
+    at = lambda i: F.element_at(vectors, (i + 1).cast("int"))
+    row = lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: cosine(at(i), at(j)))
+    total = F.aggregate(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), row)), F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(n >= 2, total / (n * (n - 1) / 2))

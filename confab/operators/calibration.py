@@ -11,15 +11,16 @@ from ..functions.num import log_likelihood
 # The grid: theta 0.10 to 0.85 by 0.01, temperature 0.02 to 0.60 by 0.01.
 THETAS = range(10, 86)
 TEMPERATURES = range(2, 61)
+RANGES = 1000  # of probabilities from 0 to 1
 
 
 def grid_sums(pairs: DataFrame, thetas=THETAS, temperatures=TEMPERATURES, group: str | None = None) -> DataFrame:
     """AGG-17: log likelihood of each (theta, temperature) in hundredths, by group if one is named.
 
-    Scores are first counted by value (4 decimals), so the grid meets distinct values and not all rows; the grid is an
-    array inside the row, so nothing is joined."""
+    Equal scores are first counted, so the grid meets distinct values and not all rows; the grid is an array inside the
+    row, so nothing is joined."""
     keys = ["s", "same", *([group] if group else [])]
-    counted = pairs.select(F.round("score", 4).alias("s"), "same", *([group] if group else [])).groupBy(*keys).agg(F.count("*").alias("n"))
+    counted = pairs.select(F.col("score").alias("s"), "same", *([group] if group else [])).groupBy(*keys).agg(F.count("*").alias("n"))
     x = counted.withColumn("theta", F.explode(F.array(*[F.lit(t) for t in thetas]))).withColumn("temperature", F.explode(F.array(*[F.lit(t) for t in temperatures])))
     ll = F.col("n") * log_likelihood(F.col("s"), F.col("same"), F.col("theta") / 100.0, F.col("temperature") / 100.0)
     return x.groupBy(*([group] if group else []), "theta", "temperature").agg(F.sum(ll).alias("ll"), F.sum("n").alias("n"))
@@ -42,11 +43,17 @@ def cut_points(rows: DataFrame, targets: tuple[float, ...] = (0.10, 0.05, 0.02))
     """WIN-11: for each target the lowest probability down to which the running error rate meets it (the last such point,
     also behind points that don't), and the share of rows at or above. rows: p, wrong.
 
-    Rows are counted by probability (6 decimals) before the running sums, so the one ordered window runs over distinct
-    values and the rate counts all rows of a value together."""
-    v = rows.groupBy(F.round("p", 6).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col("wrong").cast("int")).alias("w"))
-    run = W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    x = v.withColumn("rate", F.sum("w").over(run) / F.sum("n").over(run)).withColumn("covered", F.sum("n").over(run)).withColumn("total", F.sum("n").over(W.partitionBy()))
+    Rows are counted by probability before the running sums, so the rate counts all rows of a value together. The running
+    sums are made in ranges of the probability: a range starts from the totals of those above it, of which there are few,
+    so no task sees all values."""
+    v = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.col("wrong").cast("int")).alias("w"))
+    v = v.withColumn("_r", F.floor(F.col("p") * RANGES).cast("int"))
+    totals = v.groupBy("_r").agg(F.sum("n").alias("_n"), F.sum("w").alias("_w"))
+    above = W.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)  # over RANGES + 1 rows at most
+    starts = totals.select("_r", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"), F.coalesce(F.sum("_w").over(above), F.lit(0)).alias("_w"), F.sum("_n").over(W.partitionBy()).alias("total"))
+    run = W.partitionBy("_r").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
+    x = v.withColumns({"_cn": F.sum("n").over(run), "_cw": F.sum("w").over(run)}).join(F.broadcast(starts), "_r")
+    x = x.select("p", ((F.col("_cw") + F.col("_w")) / (F.col("_cn") + F.col("_n"))).alias("rate"), (F.col("_cn") + F.col("_n")).alias("covered"), "total")
     y = x.withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets]))).where("rate <= target")
     return y.groupBy("target").agg(F.min("p").alias("p_best"), (F.max("covered") / F.max("total")).alias("coverage"))
 

@@ -1,7 +1,8 @@
 """Interval, nearest and positional joins.
 
-Every join has an equality on the key (chunk, session or file), so none is a cross join; ties go to the first in list
-order, which the pos columns carry."""
+Interval joins meet in time buckets of their key (chunk, session or file): an interval lies in the buckets it touches, a
+point in one, so a word meets the turns about it and not all turns of its session, and a long session spreads over tasks.
+Ties go to the first in list order, which the pos columns carry."""
 
 from __future__ import annotations
 
@@ -9,38 +10,91 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Seconds of a bucket: about a turn's length. It changes cost, not results.
+BUCKET = 30.0
 
-def point_in_interval(words: DataFrame, turns: DataFrame, key: str) -> DataFrame:
-    """JOI-01: words (key, pos, start, end) with the speaker of the first turn (key, pos, start, end, speaker) that covers
-    their middle, ends included; else of the turn with the least gap; Unknown without turns.
 
-    A join on the key and one ranking window by word: the candidates of a word are the turns of its own chunk."""
-    t = turns.select(key, F.col("pos").alias("_tp"), F.col("start").alias("_ts"), F.col("end").alias("_te"), F.col("speaker").alias("_spk"))
-    x = words.withColumn("_t", (F.col("start") + F.col("end")) / 2).join(t, key, "left")
-    gap = F.greatest(F.col("_ts") - F.col("_t"), F.col("_t") - F.col("_te"), F.lit(0.0))
-    best = F.min_by(F.col("_spk"), F.struct(gap.alias("g"), F.col("_tp")))
-    names = words.columns
-    return x.groupBy(*names).agg(F.coalesce(best, F.lit("Unknown")).alias("speaker"))
+def _bucket(t: Column, width: float) -> Column:
+    return F.floor(t / width).cast("bigint")
 
 
-def max_overlap(segments: DataFrame, turns: DataFrame, key: str) -> DataFrame:
-    """JOI-02: segments with the speaker of the single turn that overlaps them most (the first of equals); Unknown if none
-    does."""
-    t = turns.select(key, F.col("pos").alias("_tp"), F.col("start").alias("_ts"), F.col("end").alias("_te"), F.col("speaker").alias("_spk"))
-    x = segments.join(t, key, "left")
-    over = F.least("end", "_te") - F.greatest("start", "_ts")
-    best = F.min_by(F.when(over > 0, F.col("_spk")), F.struct((-F.greatest(over, F.lit(0.0))).alias("o"), F.col("_tp")))
-    return x.groupBy(*segments.columns).agg(F.coalesce(best, F.lit("Unknown")).alias("speaker"))
+def _buckets(start: Column, end: Column, width: float) -> Column:
+    """The buckets that [start, end] touches; none for an interval without start or end."""
+    return F.when(start <= end, F.sequence(_bucket(start, width), _bucket(end, width)))
 
 
-def summed_overlap(spans: DataFrame, reference: DataFrame, key: str, decision: str = "decision") -> DataFrame:
+def _turn_lists(turns: DataFrame, key: str, width: float) -> DataFrame:
+    """key, _b, _turns: the turns that touch each bucket, by pos. Turns within a bucket are few where speech is."""
+    t = F.struct("pos", "start", "end", "speaker")
+    at = turns.select(key, F.explode(_buckets(F.col("start"), F.col("end"), width)).alias("_b"), t.alias("_t"))
+    return at.groupBy(key, "_b").agg(F.array_sort(F.collect_list("_t")).alias("_turns"))
+
+
+def point_in_interval(words: DataFrame, turns: DataFrame, key: str, bucket: float = BUCKET) -> DataFrame:
+    """JOI-01: words (key, pos, start, end) with the speaker of the first turn (key, pos, start, end, speaker) that covers
+    their middle, ends included; else of the turn with the least gap (the first of equals); Unknown without turns.
+
+    A word looks up the turns of one bucket. Where none covers it, the last end before and the first start behind are
+    carried along one sorted line of each key. Words keep all their columns and repeat as given; one without start or end
+    is Unknown."""
+    names = words.columns
+    x = words.withColumn("_t", (F.col("start") + F.col("end")) / 2).withColumn("_b", _bucket(F.col("_t"), bucket))
+    x = x.join(_turn_lists(turns, key, bucket), [key, "_b"], "left")
+    cover = F.filter("_turns", lambda t: (t["start"] <= F.col("_t")) & (t["end"] >= F.col("_t")))
+    x = x.withColumn("_c", F.try_element_at(cover, F.lit(1))).drop("_turns", "_b")
+    done = x.where("_c is not null").select(*names, F.col("_c.speaker").alias("speaker"))
+    # the others on one line with ends and starts of turns: a running last and a reverse running first
+    rest = x.where("_c is null").select(F.col(key).alias("_key"), F.col("_t").alias("_at"), F.struct(*names).alias("_row"), F.lit(None).cast("struct<e:double,p:bigint,s:string>").alias("_end"), F.lit(None).cast("struct<e:double,p:bigint,s:string>").alias("_start"))
+    mark = lambda c: F.struct(F.col(c).cast("double").alias("e"), F.col("pos").cast("bigint").alias("p"), F.col("speaker").cast("string").alias("s"))
+    row, none = dict(rest.dtypes)["_row"], "struct<e:double,p:bigint,s:string>"
+    ok = turns.where("start <= end")
+    ends = ok.select(F.col(key).alias("_key"), F.col("end").cast("double").alias("_at"), F.lit(None).cast(row).alias("_row"), mark("end").alias("_end"), F.lit(None).cast(none).alias("_start"))
+    starts = ok.select(F.col(key).alias("_key"), F.col("start").cast("double").alias("_at"), F.lit(None).cast(row).alias("_row"), F.lit(None).cast(none).alias("_end"), mark("start").alias("_start"))
+    line = rest.union(ends).union(starts)
+    # of equal ends the first pos comes last before the word, of equal starts first behind it
+    forth = W.partitionBy("_key").orderBy(F.asc_nulls_last("_at"), F.desc("_end.p")).rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy("_key").orderBy(F.desc_nulls_first("_at"), F.desc("_start.p")).rowsBetween(W.unboundedPreceding, 0)
+    y = line.withColumn("_l", F.last("_end", ignorenulls=True).over(forth)).withColumn("_n", F.last("_start", ignorenulls=True).over(back)).where("_row is not null")
+    before, behind = F.col("_at") - F.col("_l.e"), F.col("_n.e") - F.col("_at")
+    later = F.col("_l").isNull() | (F.col("_n").isNotNull() & ((behind < before) | ((behind == before) & (F.col("_n.p") < F.col("_l.p")))))
+    found = F.when(F.col("_at").isNotNull(), F.when(later, F.col("_n.s")).otherwise(F.col("_l.s")))
+    return done.union(y.select("_row.*", F.coalesce(found, F.lit("Unknown")).alias("speaker")))
+
+
+def max_overlap(segments: DataFrame, turns: DataFrame, key: str, bucket: float = BUCKET) -> DataFrame:
+    """JOI-02: segments with the speaker of the single turn that overlaps them most (the first of equals); Unknown if none
+    does.
+
+    A segment within one bucket looks up that bucket's turns; one over several takes the best of them. Segments keep all
+    their columns and repeat as given."""
+    names = segments.columns
+    lists = _turn_lists(turns, key, bucket)
+    start, end = F.col("start"), F.col("end")
+    over = lambda t: F.least(end, t["end"]) - F.greatest(start, t["start"])
+    best = F.array_min(F.transform(F.filter("_turns", lambda t: over(t) > 0), lambda t: F.struct((-over(t)).alias("o"), t["pos"].alias("p"), t["speaker"].alias("s"))))
+    one = F.coalesce(_bucket(start, bucket) >= _bucket(end, bucket), F.lit(True))
+    x = segments.withColumn("_b", _bucket(start, bucket))
+    near = x.where(one).join(lists, [key, "_b"], "left").select(*names, F.coalesce(best["s"], F.lit("Unknown")).alias("speaker"))
+    # long segments: each distinct (key, start, end) once
+    wide = segments.where(~one)
+    spans = wide.select(key, "start", "end").distinct().withColumn("_b", F.explode(_buckets(start, end, bucket)))
+    met = spans.join(lists, [key, "_b"]).select(key, "start", "end", best.alias("_m")).groupBy(key, "start", "end").agg(F.min("_m").alias("_m"))
+    far = wide.join(met, [key, "start", "end"], "left").select(*names, F.coalesce("_m.s", F.lit("Unknown")).alias("speaker"))
+    return near.union(far)
+
+
+def summed_overlap(spans: DataFrame, reference: DataFrame, key: str, decision: str = "decision", bucket: float = BUCKET) -> DataFrame:
     """JOI-03: for each decision (its spans: key, decision, start, end) the reference speaker with the most overlap in
-    all, and the seconds; null and 0 if there is none. Ties go to the speaker met first by start."""
-    r = reference.select(key, F.col("start").alias("_rs"), F.col("end").alias("_re"), F.col("speaker").alias("reference"))
+    all, and the seconds; null and 0 if there is none. Ties go to the speaker met first by start.
+
+    A span and a turn meet in the first bucket that both touch."""
+    first = lambda c: _bucket(F.col(c), bucket)
+    r = reference.select(key, F.col("start").alias("_rs"), F.col("end").alias("_re"), F.col("speaker").alias("reference"), F.explode(_buckets(F.col("start"), F.col("end"), bucket)).alias("_b"))
+    s = spans.select(key, decision, "start", "end", F.explode(_buckets(F.col("start"), F.col("end"), bucket)).alias("_b"))
     over = F.least("end", "_re") - F.greatest("start", "_rs")
-    hits = spans.join(r, key).withColumn("_o", over).where("_o > 0")
+    hits = s.join(r, [key, "_b"]).where(F.col("_b") == F.greatest(first("start"), first("_rs"))).withColumn("_o", over).where("_o > 0")
     sums = hits.groupBy(key, decision, "reference").agg(F.sum("_o").alias("seconds"), F.min("_rs").alias("_first"))
-    best = sums.groupBy(key, decision).agg(F.min_by(F.struct("reference", "seconds"), F.struct((-F.col("seconds")).alias("a"), "_first", "reference")).alias("b"))
+    best = sums.groupBy(key, decision).agg(F.min(F.struct((-F.col("seconds")).alias("a"), F.col("_first"), "reference", "seconds")).alias("b"))
     return spans.select(key, decision).distinct().join(best, [key, decision], "left").select(key, decision, "b.reference", F.coalesce("b.seconds", F.lit(0.0)).alias("seconds"))
 
 
@@ -71,14 +125,20 @@ def merge_tiny_speakers(segments: DataFrame, min_seconds: float, session: str =
 
 def tolerance_nearest(probes: DataFrame, rows: DataFrame, key: str, at: str, other_at: str, tolerance: float, order: str) -> DataFrame:
     """JOI-05: the row of the same key whose time is nearest and strictly within the tolerance; the first by order of
-    equals; null if none. Times are dealt to buckets as wide as the tolerance, so a probe meets only three of them."""
+    equals; null if none.
+
+    Times are dealt to buckets as wide as the tolerance; each bucket's rows are one list, and a probe looks up the lists of
+    three buckets, so nothing is grouped by probe: probes keep all their columns (nulls too) and repeat as given. Probes
+    are read once."""
     bucket = lambda c: F.floor(F.col(c) / tolerance).cast("bigint")
-    b = rows.withColumn("_k", bucket(other_at)).withColumnRenamed(key, "_key")
-    p = probes.withColumn("_b", F.explode(F.array(*[bucket(at) + d for d in (-1, 0, 1)])))
-    hit = p.join(b, (p[key] == b["_key"]) & (p["_b"] == b["_k"])).withColumn("_d", F.abs(F.col(at) - F.col(other_at))).where(F.col("_d") < tolerance)
     others = [c for c in rows.columns if c != key]
-    best = hit.groupBy(*probes.columns).agg(F.min_by(F.struct(*others), F.struct("_d", order)).alias("_m"))
-    return probes.join(best, probes.columns, "left").select(*probes.columns, *[F.col(f"_m.{c}").alias(c) for c in others])
+    item = F.struct(F.col(other_at).alias("_u"), F.col(order).alias("_o"), F.struct(*others).alias("_m"))
+    # a row lies in its own bucket's list and in its neighbours', so a probe needs one look-up
+    lists = rows.select(F.col(key).alias("_key"), F.explode(F.array(*[bucket(other_at) + d for d in (-1, 0, 1)])).alias("_k"), item.alias("_i")).groupBy("_key", "_k").agg(F.collect_list("_i").alias("_l"))
+    x = probes.join(lists, (probes[key] == lists["_key"]) & (bucket(at) == lists["_k"]), "left")
+    near = F.filter("_l", lambda i: F.abs(F.col(at) - i["_u"]) < tolerance)
+    best = F.array_min(F.transform(near, lambda i: F.struct(F.abs(F.col(at) - i["_u"]).alias("d"), i["_o"].alias("o"), i["_m"].alias("m"))))
+    return x.withColumn("_best", best).select(*probes.columns, *[F.col(f"_best.m.{c}").alias(c) for c in others])
 
 
 def positional_zip(a: DataFrame, b: DataFrame, pos: str = "pos", limit: int | None = None) -> DataFrame:

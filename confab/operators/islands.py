@@ -117,24 +117,41 @@ def apply_rule(segments: DataFrame, rule, r: Rules = Rules(), session: str = "se
     return _relabelled(numbered, rule(_islands_of(numbered, session), r, session), session)
 
 
+def _islands_live(segments: DataFrame, r: Rules, session: str) -> DataFrame:
+    """The islands, with whether their session has segments enough for the rules."""
+    isl = islands(segments, session)
+    return isl.withColumn("_live", F.sum("n_segments").over(W.partitionBy(session)) >= r.min_segments)
+
+
+def _rule_on_islands(x: DataFrame, rule, r: Rules, session: str) -> DataFrame:
+    """x, islands that keep their number while labels change, with `to`: what a rule makes of the runs of equal labels."""
+    live = _runs(x.where("_live"), "speaker", "island", "_run", session)
+    runs = live.groupBy(session, F.col("_run").alias("island")).agg(F.first("speaker").alias("speaker"), F.sum("n_segments").alias("n_segments"), F.sum("seconds").alias("seconds"))
+    changes = rule(runs, r, session).select(session, F.col("island").alias("_run"), "to")
+    to = live.select(session, "island", "_run").join(changes, [session, "_run"]).select(session, "island", "to")
+    return x.join(to, [session, "island"], "left")
+
+
 def refine(segments: DataFrame, r: Rules = Rules(), session: str = "session") -> DataFrame:
     """WIN-06: small, then tiny, then gap rule, up to r.passes times, with the label before in `refined_from` and the
     first rule that changed it in `refined_by` (null for the others).
 
-    A rule reads its input several times, so each rule's labels are checkpointed: plans stay small, and passes end early
-    once one changes nothing."""
-    kept = [c for c in segments.columns]
-    x = segments.withColumns({"_from": F.col("speaker"), "refined_by": F.lit(None).cast("string"), "_changed": F.lit(False)})
-    for _ in range(r.passes):
+    A rule relabels whole islands, so all passes run over the islands, which are far fewer than the segments; segments are
+    read to number islands and once more to take the final labels. A rule reads its input several times, so each rule's
+    islands are checkpointed: plans stay small, and passes end early once one changes nothing."""
+    x = durable(_islands_live(segments, r, session).select(session, "island", "speaker", "n_segments", "seconds", "_live", F.lit(None).cast("string").alias("_by"), F.lit(-1).alias("_pass")))
+    for k in range(r.passes):
         for name, rule in (("small", small_changes), ("tiny", tiny_changes), ("gap", gap_changes)):
-            before = x.withColumn("_before", F.col("speaker"))
-            x = apply_rule(before, rule, r, session)
-            done = F.coalesce("refined_by", F.when(F.col("speaker") != F.col("_before"), F.lit(name)))
-            x = durable(x.withColumns({"refined_by": done, "_changed": F.coalesce("_changed", F.lit(False)) | (F.col("speaker") != F.col("_before"))}).drop("_before"))
-        if x.where("_changed").isEmpty():
+            new = F.col("to").isNotNull() & (F.col("to") != F.col("speaker"))
+            y = _rule_on_islands(x, rule, r, session)
+            x = durable(y.withColumns({"_by": F.coalesce("_by", F.when(new, F.lit(name))), "_pass": F.when(new, F.lit(k)).otherwise(F.col("_pass")), "speaker": F.coalesce("to", "speaker")}).drop("to"))
+        if x.where(F.col("_pass") == k).isEmpty():
             break
-        x = x.withColumn("_changed", F.lit(False))
-    return x.withColumn("refined_from", F.when(F.col("speaker") != F.col("_from"), F.col("_from"))).select(*kept, "refined_from", "refined_by")
+    final = x.select(session, "island", F.col("speaker").alias("_to"), F.col("_by").alias("refined_by"))
+    out = number_islands(segments, session).join(final, [session, "island"], "left").withColumn("_to", F.coalesce("_to", "speaker"))
+    changed = F.col("_to") != F.col("speaker")
+    names = [F.col("_to").alias("speaker") if c == "speaker" else F.col(c) for c in segments.columns]
+    return out.select(*names, F.when(changed, F.col("speaker")).alias("refined_from"), "refined_by")
 
 
 def touched(refined: DataFrame, key: list[str]) -> DataFrame:

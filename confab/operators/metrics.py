@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.num import round_binary
 from ..functions.text import characters, normalize_text, token_edits, words
 from .reports import ratio
 
@@ -89,6 +90,24 @@ def word_error_details(pairs: DataFrame, key: list[str], reference: str = "refer
     return rows.mapInPandas(run, schema).withColumn("wer", ratio(F.col("substitutions") + F.col("insertions") + F.col("deletions"), F.col("n_words")))
 
 
+def evaluate(pairs: DataFrame, key: list[str], reference: str = "reference", hypothesis: str = "hypothesis", digits: int = 4) -> DataFrame:
+    """MET-08: a row for each sample: status, substitutions, insertions, deletions, n_words, wer and cer (rounded as
+    round_binary). A sample without a hypothesis (null) has failed: status `failed` and null scores."""
+    done = pairs.where(F.col(hypothesis).isNotNull())
+    words_ = word_error_details(done, key, reference, hypothesis)
+    letters = character_errors(done, reference, hypothesis).select(*key, "cer")
+    scored = words_.join(letters, key).select(*key, F.lit("ok").alias("status"), "substitutions", "insertions", "deletions", "n_words", round_binary(F.col("wer"), digits).alias("wer"), round_binary(F.col("cer"), digits).alias("cer"))
+    lost = pairs.where(F.col(hypothesis).isNull()).select(*key, F.lit("failed").alias("status"))
+    return scored.unionByName(lost, allowMissingColumns=True)
+
+
+def evaluation_counts(samples: DataFrame) -> DataFrame:
+    """MET-08: total, successful and failed samples, and the micro and macro word error rates of the successful ones."""
+    ok = F.col("status") == "ok"
+    errors = F.col("substitutions") + F.col("insertions") + F.col("deletions")
+    return samples.agg(F.count("*").alias("total"), F.count_if(ok).alias("successful"), F.count_if(~ok).alias("failed"), ratio(F.sum(errors), F.sum("n_words")).alias("micro"), F.coalesce(F.avg("wer"), F.lit(0.0)).alias("macro"))
+
+
 def assign(cost: np.ndarray) -> np.ndarray:
     """JOI-08: the column of each row in an assignment of least total cost (square matrix), by shortest augmenting paths
     with potentials, in cubic time."""
@@ -159,7 +178,7 @@ def greedy_mapping(weights: DataFrame, key: str) -> DataFrame:
     w = weights.groupBy(key, "hypothesis", "reference").agg(F.sum("weight").alias("weight"), F.min("pos").alias("pos"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["weight", "pos"], ascending=[False, True])
+        p = p.sort_values(["weight", "pos", "hypothesis", "reference"], ascending=[False, True, True, True])
         left, right, keep = set(), set(), []
         for i, a, b in zip(p.index, p["hypothesis"], p["reference"], strict=True):
             if a not in left and b not in right:

@@ -79,6 +79,25 @@ def banded(decisions: DataFrame, value: str, edges: list[float], names: list[str
     return out.select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_b") + 1).alias("band"), "n", "wrong", ratio(F.col("wrong"), F.col("n")).alias("rate"))
 
 
+def mean_confidence(decisions: DataFrame, value: str) -> DataFrame:
+    """AGG-16: the mean confidence of right and of wrong decisions, over the same decisions as banded()."""
+    unknown, wrong = _judged(decisions)
+    x = decisions.where(~unknown & F.col("reference").isNotNull() & F.col(value).isNotNull()).withColumn("_w", wrong)
+    return x.agg(F.avg(F.when(~F.col("_w"), F.col(value))).alias("right"), F.avg(F.when(F.col("_w"), F.col(value))).alias("wrong"))
+
+
+def longest_probe(probes: DataFrame, key: str, seconds: str = "seconds", order: str = "pos") -> DataFrame:
+    """SRT-06: of each key the probe with the most seconds (null counts as 0), the first of equals."""
+    rest = [c for c in probes.columns if c != key]
+    x = probes.groupBy(key).agg(F.min(F.struct((-F.coalesce(seconds, F.lit(0.0))).alias("_s"), F.col(order).alias("_o"), *[F.col(c) for c in rest])).alias("_r"))
+    return x.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def session_means(scores: DataFrame, metrics: list[str]) -> DataFrame:
+    """AGG-24: sessions, and the mean of each metric over them (a session counts once, whatever its length)."""
+    return scores.agg(F.count("*").alias("sessions"), *[F.avg(m).alias(f"avg_{m}") for m in metrics])
+
+
 def latency(chunks: DataFrame, by: str, skip: int = 1) -> DataFrame:
     """AGG-21: mean and median latency without the first chunks, and processing over audio time."""
     n = F.row_number().over(W.partitionBy(by).orderBy("chunk"))

@@ -147,3 +147,17 @@ def concat_by_speaker(segments: DataFrame, session: str = "session") -> DataFram
 def smallest_first(segments: DataFrame, session: str = "session") -> DataFrame:
     """SRT-01: by start, stable."""
     return segments.orderBy(session, "start", "pos")
+
+
+def append_chunks(*parts: DataFrame) -> DataFrame:
+    """SET-05: the segments of all chunks as one, columns by name (missing ones null), with pos anew by start over each
+    session."""
+    x = parts[0]
+    for p in parts[1:]:
+        x = x.unionByName(p, allowMissingColumns=True)
+    return x.withColumn("pos", F.row_number().over(W.partitionBy("session").orderBy("start", "chunk", "pos")))
+
+
+def label_order(labels: DataFrame, label: str = "label") -> DataFrame:
+    """SRT-07: labels in text order, in which SPEAKER_100 comes before SPEAKER_11; profiles merge in this order."""
+    return labels.orderBy(label)

@@ -21,16 +21,20 @@ def load_settings(spark: SparkSession, path: str, base: Settings = Settings(), n
     """SRC-17 and NUM-09: tracker settings from a calibration file (theta, temperature, suggested_cutpoints by target); None
     if it holds no curve. Assigning needs the 5 % cut, learning the highest cut that covers a tenth; new speakers take the
     argument, else the file's value, else 0.60."""
-    kind = "theta double, temperature double, new_speaker double, suggested_cutpoints map<string, struct<p_best:double, coverage:double>>"
-    r = spark.read.schema(kind).option("multiLine", True).json(path).first()
+    r = calibrations(spark.read.text(path, wholetext=True), base, new_speaker).first()
     if r is None or r["theta"] is None or r["temperature"] is None:
         return None
-    cuts = r["suggested_cutpoints"] or {}
-    old = base.policy
-    assign = cuts["error<=5%"]["p_best"] if "error<=5%" in cuts else old[0]
-    wide = [c["p_best"] for c in cuts.values() if c["coverage"] is not None and c["coverage"] >= 0.10]
-    new = new_speaker if new_speaker is not None else r["new_speaker"] if r["new_speaker"] is not None else 0.60
-    return Settings(**{**base.__dict__, "posterior": (r["theta"], r["temperature"], 0.25, 1.0), "policy": (assign, max(wide, default=old[1]), new)})
+    return Settings(**{**base.__dict__, "posterior": (r["theta"], r["temperature"], 0.25, 1.0), "policy": (r["assign"], r["learn"], r["new_speaker"])})
+
+
+def calibrations(raw: DataFrame, base: Settings = Settings(), new_speaker: float | None = None) -> DataFrame:
+    """SRC-17 over a column `value` of JSON: theta, temperature, assign, learn, new_speaker, and the other columns."""
+    kind = "theta double, temperature double, new_speaker double, suggested_cutpoints map<string, struct<p_best:double, coverage:double>>"
+    x = raw.withColumn("_j", F.from_json("value", kind)).withColumn("_c", F.col("_j.suggested_cutpoints"))
+    wide = F.array_max(F.transform(F.filter(F.map_values("_c"), lambda c: c["coverage"] >= 0.10), lambda c: c["p_best"]))
+    assign = F.coalesce(F.try_element_at("_c", F.lit("error<=5%"))["p_best"], F.lit(base.policy[0]))
+    new = F.lit(new_speaker) if new_speaker is not None else F.coalesce("_j.new_speaker", F.lit(0.60))
+    return x.select(*[c for c in raw.columns if c != "value"], "_j.theta", "_j.temperature", assign.alias("assign"), F.coalesce(wide, F.lit(base.policy[1])).alias("learn"), new.alias("new_speaker"))
 
 
 def translation_report(pairs: DataFrame, key: str, neural: Callable | None = None) -> DataFrame:

@@ -254,33 +254,52 @@ class Tracker:
         return gone
 
 
-def run_session(rows: Iterable[tuple[int, str, object, float | None, float]], t: Tracker) -> list[tuple[int, str, str, str, float]]:
-    """(chunk, local, assigned, kind, best score) for ordered rows (chunk, local, embedding, seconds, chunk ms).
-
-    Rows of the warm-up come out with the labels that clustering gave them (STM-10: Unknown if none did), once it is done;
-    a session that ends before is CALIBRATING."""
-    out, warm, chunk = [], [], []
+class SessionRun:
+    """Rows (chunk, local, embedding, seconds, chunk ms) of one session in order, to decisions (chunk, local, assigned,
+    kind, best score).
+
+    A chunk is decided once a row of the next one comes, or at the end. Rows of the warm-up come out with the labels that
+    clustering gave them (STM-10: Unknown if none did), once it is done; a session that ends before is CALIBRATING. The
+    object holds a chunk at most besides the tracker's own bounded state, and pickles between micro-batches."""
+
+    def __init__(self, t: Tracker):
+        self.t = t
+        self.chunk: list[tuple] = []
+        self.warm: list[tuple] = []
+
+    def feed(self, row: tuple[int, str, object, float | None, float]) -> list[tuple[int, str, str, str, float]]:
+        out = self._close() if self.chunk and self.chunk[0][0] != row[0] else []
+        self.chunk.append(row)
+        return out
 
-    def close() -> None:
+    def _close(self) -> list[tuple]:
+        chunk, self.chunk = self.chunk, []
         if not chunk:
-            return
-        k = chunk[0][0]
+            return []
+        k, t = chunk[0][0], self.t
         if t.active:
-            out.extend((k, d.local, d.assigned, d.kind, d.best_score) for d in t.place([(c[1], c[2], c[3]) for c in chunk]))
-        else:
-            warm.extend((k, c[1]) for c in chunk)
-            if t.warm([((k, c[1]), c[2]) for c in chunk], chunk[0][4]):
-                out.extend((w[0], w[1], t.warm_labels.get(w, UNKNOWN), "warm_up", 0.0) for w in warm)
-                warm.clear()
+            return [(k, d.local, d.assigned, d.kind, d.best_score) for d in t.place([(c[1], c[2], c[3]) for c in chunk])]
+        self.warm += [(k, c[1]) for c in chunk]
+        if not t.warm([((k, c[1]), c[2]) for c in chunk], chunk[0][4]):
+            return []
+        warm, self.warm = self.warm, []
+        return [(w[0], w[1], t.warm_labels.get(w, UNKNOWN), "warm_up", 0.0) for w in warm]
+
+    def end(self) -> list[tuple]:
+        out = self._close()
+        warm, self.warm = self.warm, []
+        return out + [(w[0], w[1], "CALIBRATING", "warm_up", 0.0) for w in warm]
+
+
+def run_session(rows: Iterable[tuple[int, str, object, float | None, float]], t: Tracker) -> list[tuple[int, str, str, str, float]]:
+    s = SessionRun(t)
+    return [x for row in rows for x in s.feed(row)] + s.end()
+
 
-    for row in rows:
-        if chunk and chunk[0][0] != row[0]:
-            close()
-            chunk = []
-        chunk.append(row)
-    close()
-    out.extend((w[0], w[1], "CALIBRATING", "warm_up", 0.0) for w in warm)
-    return out
+def session_rows(p: pd.DataFrame) -> Iterable[tuple]:
+    """A session's rows in order, as a SessionRun takes them."""
+    p = p.sort_values(["chunk", "local"], kind="stable")
+    return zip(p["chunk"], p["local"], p["embedding"], [None if pd.isna(x) else float(x) for x in p["seconds"]], p["chunk_ms"], strict=True)
 
 
 def track(rows: DataFrame, settings: Settings = Settings(), session: str = "session") -> DataFrame:
@@ -289,9 +308,7 @@ def track(rows: DataFrame, settings: Settings = Settings(), session: str = "sess
     kind = dict(rows.dtypes)[session]
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["chunk", "local"], kind="stable")
-        secs = [None if pd.isna(x) else float(x) for x in p["seconds"]]
-        found = run_session(zip(p["chunk"], p["local"], p["embedding"], secs, p["chunk_ms"], strict=True), Tracker(settings))
+        found = run_session(session_rows(p), Tracker(settings))
         out = pd.DataFrame(found, columns=["chunk", "local", "assigned", "decision", "best_score"])
         out.insert(0, session, p[session].iloc[0])
         return out

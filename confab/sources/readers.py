@@ -31,36 +31,56 @@ def read_rttm(spark: SparkSession, path: str, drop_empty: bool = True) -> DataFr
     return intervals(spark.read.text(path), drop_empty)
 
 
+def meetings(raw: DataFrame) -> DataFrame:
+    """SRC-09 over a column `value` of JSON arrays (or single objects): one row a meeting."""
+    made = F.from_json(F.when(F.ltrim(F.col("value")).startswith("{"), F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(F.col("value")), f"array<struct<{MEETINGS.replace(' ', ':').replace(',:', ',')}>>")
+    return raw.select(F.explode(made).alias("m")).select("m.*")
+
+
 def read_meetings(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-09."""
-    return spark.read.schema(MEETINGS).option("multiLine", True).json(path)
+    return meetings(spark.read.text(path, wholetext=True))
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """path, value: files as they are."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+
+
+def speaker_transcripts(raw: DataFrame, key: str = "path") -> DataFrame:
+    """SRC-10 over key, value: key, speaker, text; the flat text has a null speaker."""
+    x = raw.select(key, F.from_json("value", "speakers map<string,string>, flat string").alias("j")).select(key, "j.*")
+    return x.select(key, F.explode("speakers").alias("speaker", "text")).union(x.where("flat is not null").select(key, F.lit(None).cast("string"), "flat"))
 
 
 def read_speaker_transcript(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-10: path, speaker, text; the flat text has a null speaker."""
-    raw = spark.read.schema("speakers map<string,string>, flat string").option("multiLine", True).json(path).select(F.input_file_name().alias("path"), "*")
-    return raw.select("path", F.explode("speakers").alias("speaker", "text")).union(raw.where("flat is not null").select("path", F.lit(None).cast("string"), "flat"))
+    return speaker_transcripts(_whole(spark, path))
+
+
+def json_segments(raw: DataFrame, key: str = "path") -> DataFrame:
+    """SRC-11 over key, value: key, pos, speaker, start, end, text of JSON arrays, in order."""
+    x = raw.select(key, F.from_json("value", "array<struct<speaker:string,start:double,end:double,text:string>>").alias("s"))
+    return x.select(key, F.posexplode("s").alias("pos", "s")).select(key, "pos", "s.*")
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-11: path, pos, speaker, start, end, text of JSON arrays, in order."""
-    kind = "array<struct<speaker:string,start:double,end:double,text:string>>"
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", kind).alias("s"))
-    return raw.select("path", F.posexplode("s").alias("pos", "s")).select("path", "pos", "s.*")
+    return json_segments(_whole(spark, path))
 
 
-def read_timed_transcript(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-12: path, pos, speaker, start, end, text of JSON arrays whose times are numbers, clock texts or objects by
-    device; rows without times or text go; pos orders by start, stable."""
+def timed_transcripts(raw: DataFrame, key: str = "path") -> DataFrame:
+    """SRC-12 over key, value: key, pos, speaker, start, end, text of JSON arrays whose times are numbers, clock texts or
+    objects by device; rows without times or text go; pos orders by start, stable."""
     kind = "array<struct<start_time:string,end_time:string,words:string,text:string,speaker:string>>"
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", kind).alias("s"))
-    x = raw.select("path", F.posexplode("s").alias("i", "s"))
+    x = raw.select(key, F.from_json("value", kind).alias("s")).select(key, F.posexplode("s").alias("i", "s"))
     text = clean_tagged(F.coalesce(F.nullif("s.words", F.lit("")), F.col("s.text"), F.lit("")))
-    y = x.select("path", "i", F.coalesce(F.nullif("s.speaker", F.lit("")), F.lit("Unknown")).alias("speaker"), parse_time_json(F.col("s.start_time")).alias("start"), parse_time_json(F.col("s.end_time")).alias("end"), text.alias("text"))
-    n = F.row_number().over(W.partitionBy("path").orderBy("start", "i"))
+    y = x.select(key, "i", F.coalesce(F.nullif("s.speaker", F.lit("")), F.lit("Unknown")).alias("speaker"), parse_time_json(F.col("s.start_time")).alias("start"), parse_time_json(F.col("s.end_time")).alias("end"), text.alias("text"))
+    n = F.row_number().over(W.partitionBy(key).orderBy("start", "i"))
     return y.where("start is not null and end is not null and text <> ''").withColumn("pos", n).drop("i")
 
 
+def read_timed_transcript(spark: SparkSession, path: str) -> DataFrame:
+    return timed_transcripts(_whole(spark, path))
+
+
 def utterances(lines: DataFrame) -> DataFrame:
     """SRC-13 over `value` and `line_no`: id and text; lines without a text go, the last of equal ids stays."""
     p = F.split(F.trim(F.col("value")), " ", 2)
@@ -68,10 +88,14 @@ def utterances(lines: DataFrame) -> DataFrame:
     return x.groupBy("id").agg(F.max_by("text", "line_no").alias("text"))
 
 
+def lines_of(raw: DataFrame, key: str = "path") -> DataFrame:
+    """key, pos (from 0), value: the lines of key, value texts in order."""
+    x = raw.select(key, F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("l"))
+    return x.select(key, F.posexplode("l").alias("pos", "value"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, pos (from 0), value: the lines of each file in order."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("l"))
-    return raw.select("path", F.posexplode("l").alias("pos", "value"))
+    return lines_of(_whole(spark, path))
 
 
 def read_utterances(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +124,7 @@ def resolve_paths(wanted: DataFrame, listing: DataFrame, roots: list[str]) -> Da
     x = wanted.select("raw", F.posexplode(F.array(*tries)).alias("rank", "path")).join(listing, "path", "left_semi")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     named = wanted.withColumn("_n", F.regexp_extract("raw", r"([^/]+)$", 1)).join(listing.withColumn("_n", name), "_n").select("raw", F.lit(len(tries)).alias("rank"), "path")
-    best = x.union(named).groupBy("raw").agg(F.min(F.struct("rank", "path")).alias("b"))
+    best = x.unionByName(named).groupBy("raw").agg(F.min(F.struct("rank", "path")).alias("b"))
     return wanted.join(best, "raw", "left").select("raw", "b.path")
 
 
@@ -109,6 +133,55 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).drop("content")
 
 
+def select_audio(listing: DataFrame, session: str, mode: str = "far", array: str = "U01", enhance: str = "none", speaker: str | None = None) -> DataFrame:
+    """SRC-20: path and place (from 1) of the files of a session to read, of a listing (path); no rows if there are none.
+
+    worn: the speaker's own file, or all worn files in text order. far: of each array (a list by commas, or `all` that
+    the listing has) the channels 1 to 4 for `average` and `beamform`, the first array's lowest channel for `none`. gss:
+    files below a folder `gss`, else the first enhanced file of the arrays or the session, else as for beamform."""
+    if mode not in ("worn", "far") or enhance not in ("none", "average", "beamform", "gss"):
+        raise ValueError("mode is worn or far; enhance is none, average, beamform or gss")
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    files = listing.select("path", name.alias("name")).where(F.col("name").startswith(f"{session}_") | F.col("path").rlike("(^|/)gss/"))
+    if mode == "worn":
+        own = files.where(F.col("name") == f"{session}_{speaker}.wav") if speaker else files.where(F.col("name").rlike(f"^{session}_P.*\\.wav$"))
+        return _placed(own, ["path"], 1 if speaker else None)
+    at = F.regexp_extract("name", f"^{session}_(U\\d\\d)\\.CH([1-4])\\.wav$", 1)
+    channel = F.regexp_extract("name", f"^{session}_(U\\d\\d)\\.CH([1-4])\\.wav$", 2)
+    wanted = [x.strip() for x in array.split(",") if x.strip()]
+    # where every array is wanted and none has a first channel, the first array is meant
+    x = files.withColumns({"at": at, "channel": channel})
+    if array == "all":
+        having = x.where("channel = '1'").select("at").distinct()
+        x = x.join(having, "at", "left_semi")
+        order = F.col("at")
+    else:
+        x = x.where(F.col("at").isin(*wanted))
+        order = F.array_position(F.array(*[F.lit(w) for w in wanted]), F.col("at"))
+    channels = x.where("channel <> ''").withColumn("order", order)
+    if enhance == "none":
+        first = channels.withColumn("first", F.min("order").over(W.partitionBy())).where(F.col("order") == F.col("first"))
+        return _placed(first, ["channel", "path"], 1)
+    both = channels.select("path", F.lit(9).alias("rank"), F.col("order").cast("string").alias("order"), "channel")
+    if enhance == "gss":
+        folder = files.where(F.col("path").rlike("(^|/)gss/")).select("path", F.lit(0).alias("rank"), F.lit("").alias("order"), F.lit("").alias("channel"))
+        exact = [n for w in (wanted if array != "all" else ["U01"]) for n in (f"{session}_{w}.GSS.wav", f"{session}_{w}_GSS.wav", f"{session}_GSS.wav")]
+        place = F.array_position(F.array(*[F.lit(n) for n in exact]), F.col("name"))
+        named = files.where(place > 0).select("path", F.lit(1).alias("rank"), F.lpad(place.cast("string"), 6, "0").alias("order"), F.lit("").alias("channel"))
+        alike = files.where(F.col("name").rlike("GSS.*\\.wav$")).select("path", F.lit(2).alias("rank"), F.col("path").alias("order"), F.lit("").alias("channel"))
+        both = both.union(folder).union(named).union(alike)
+    best = both.withColumn("_r", F.min("rank").over(W.partitionBy())).where("rank = _r")
+    # one enhanced file stands for all
+    placed = _placed(best, ["order", "channel", "path"], None, ["rank"])
+    return placed.where("rank not in (1, 2) or place = 1").drop("rank")
+
+
+def _placed(files: DataFrame, order: list[str], limit: int | None, keep: list[str] | None = None) -> DataFrame:
+    """path and place; the files of one session are few, so their order is that of one task."""
+    x = files.withColumn("place", F.row_number().over(W.partitionBy().orderBy(*order))).select("path", "place", *(keep or []))
+    return x if limit is None else x.where(F.col("place") <= limit)
+
+
 def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     """Rate and samples (frames x channels, 16-bit) of a PCM WAV file."""
     at, rate, channels = 12, 0, 1
@@ -136,9 +209,9 @@ def encode_wav(rate: int, samples: np.ndarray) -> bytes:
     return out.getvalue() + x.tobytes()
 
 
-def read_wav(spark: SparkSession, path: str, channel: int | None = 0, start: float = 0.0, end: float | None = None) -> DataFrame:
-    """SRC-03 and SRC-21: path, rate, samples (16-bit) of each file: one channel, or their mean if channel is None, within
-    [start, end) seconds, clipped to the file."""
+def wav_samples(files: DataFrame, channel: int | None = 0, start: float = 0.0, end: float | None = None) -> DataFrame:
+    """SRC-03 and SRC-21 over path, content: path, rate, samples (16-bit) of each file: one channel, or their mean if
+    channel is None, within [start, end) seconds, clipped to the file."""
 
     def run(batches):
         for p in batches:
@@ -146,11 +219,30 @@ def read_wav(spark: SparkSession, path: str, channel: int | None = 0, start: flo
             for name, data in zip(p["path"], p["content"], strict=True):
                 rate, x = decode_wav(data)
                 x = x[max(0, int(start * rate)) : None if end is None else max(0, int(end * rate))]
-                y = x[:, channel] if channel is not None else np.trunc(x.mean(1)).astype("<i2")
+                y = x[:, channel] if channel is not None else np.trunc(x.mean(1)).astype("<i2") if len(x) else x[:, 0]
                 rows.append((name, rate, y.astype(np.int16)))
             yield pd.DataFrame(rows, columns=["path", "rate", "samples"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, rate int, samples array<smallint>")
+    return files.select("path", "content").mapInPandas(run, "path string, rate int, samples array<smallint>")
+
+
+def read_wav(spark: SparkSession, path: str, channel: int | None = 0, start: float = 0.0, end: float | None = None) -> DataFrame:
+    return wav_samples(spark.read.format("binaryFile").load(path), channel, start, end)
+
+
+def combine_channels(rows: DataFrame, key: str, enhance: str = "average") -> DataFrame:
+    """SRC-21: key, samples: the channels (key, channel, samples) of each key as one: cut or beyond a file's end they may
+    differ in length, so shorter ones are filled with zeros; `average` cuts the mean to whole numbers, `beamform` adds them
+    in step (at 16 kHz). Empty channels don't count."""
+    some = rows.where(F.size("samples") > 0)
+    if enhance == "beamform":
+        from ..operators.speech import beamform
+
+        return beamform(some, key, 16_000)
+    all_ = some.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("channel", "samples")))["samples"].alias("c"))
+    longest = F.array_max(F.transform("c", F.size))
+    mean = lambda i: (F.aggregate("c", F.lit(0.0), lambda acc, x: acc + F.coalesce(F.try_element_at(x, (i + 1).cast("int")), F.lit(0))) / F.size("c")).cast("smallint")
+    return all_.select(key, F.transform(F.sequence(F.lit(0), longest - 1), mean).alias("samples"))
 
 
 def trace_probes(frames: DataFrame, vectors: DataFrame) -> DataFrame:

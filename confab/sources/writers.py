@@ -51,12 +51,26 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
-def write_trace(probes: DataFrame, path: str) -> None:
-    """SNK-08: Parquet with nested vectors (its dictionaries pool repeated values); frames without probes go and the warm-up
-    record stays once."""
+def trace_frames(probes: DataFrame) -> DataFrame:
+    """SNK-08: frames (session, time, warming_up, probes) that a trace keeps: none without probes, and of the warm-up the
+    first."""
     w = W.partitionBy("session", "warming_up").orderBy("time")
-    x = probes.where(F.size("probes") > 0).withColumn("_n", F.row_number().over(w)).where("not warming_up or _n = 1").drop("_n")
-    x.write.option("compression", "zstd").parquet(path)
+    return probes.where(F.size("probes") > 0).withColumn("_n", F.row_number().over(w)).where("not warming_up or _n = 1").drop("_n")
+
+
+def write_trace(probes: DataFrame, path: str) -> None:
+    """SNK-08: Parquet with nested vectors; its dictionaries pool repeated values."""
+    trace_frames(probes).write.option("compression", "zstd").parquet(path)
+
+
+def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """SNK-09 and SNK-10 as lines: value."""
+    return rows.select(F.to_csv(F.struct(*columns)).alias("value"))
+
+
+def json_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """SNK-07 and SNK-12 as lines: value."""
+    return rows.select(F.to_json(F.struct(*columns)).alias("value"))
 
 
 def markdown(rows: DataFrame, columns: list[str], limit: int = 1000) -> str:
