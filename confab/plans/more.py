@@ -12,7 +12,7 @@ from ..functions import num, text, vec
 from ..operators import calibration, intervals, islands, metrics, reports, segments, services, speech, sweeps, voice
 from ..sources import readers, writers
 from ..streaming import live, upserts
-from .queries import BARE, COS, DECISIONS, LETTERS, SIGNAL, VEC, WER, _decisions, _signal, _texts
+from .queries import BARE, COS, DECISIONS, LETTERS, SIGNAL, VEC, WER, _decisions, _passes_sql, _signal, _texts
 from .registry import query
 from .views import CONV, SEG, table
 from .views import segments as seg_view
@@ -434,6 +434,13 @@ def wav_range(spark, sf):
     return x.select("path", F.size("samples").cast("bigint").alias("n"), F.aggregate("samples", F.lit(0).cast("bigint"), lambda acc, v: acc + v).alias("total"))
 
 
+@query(f"WITH {MONO} SELECT CAST(doc_id AS VARCHAR) AS session, CAST(n // 480 * 480 AS BIGINT) AS n_samples, CAST(44 + n // 480 * 480 * 2 AS BIGINT) AS n_bytes FROM c WHERE n >= 480")
+def session_recordings(spark, sf):
+    """SNK-02: whole frames of each signal as one file."""
+    f = speech.frames(_mono(spark, sf), "pcm", 480, keep=("doc_id",)).select(F.col("doc_id").cast("string").alias("session"), "frame", "samples")
+    return writers.session_wavs(f, 16_000).select("session", "n_samples", F.octet_length("content").cast("bigint").alias("n_bytes"))
+
+
 @query()
 def voice_frames(spark, sf):
     """DSP-09 to DSP-11 and STM-16: frames of each turn's signal by an energy model, with a vote against every tenth frame
@@ -621,7 +628,14 @@ def warm_up_relabels(spark, sf):
     return upserts.latest(first.union(again), ["session", "pos"], "revision").select("session", "pos", "speaker")
 
 
-@query()
+def _sweep_sql() -> str:
+    parts = []
+    for k, r in sweeps.rule_grid(small_seconds=[5.005, 60.005], gap_seconds=[3.005, 80.005]):
+        parts.append(f"SELECT {k}::BIGINT AS config, session, CAST(count_if(refined_from IS NOT NULL) AS BIGINT) AS relabelled, count(DISTINCT speaker) AS speakers FROM (WITH {_passes_sql('conv', r)}) GROUP BY session")
+    return f"WITH {CONV} " + " UNION ALL ".join(parts)
+
+
+@query(_sweep_sql())
 def refine_sweep(spark, sf):
     """SWP-02: four configurations of the rules over conversations; equal outcomes of a session are scored once (a
     stand-in score: its number of speakers)."""

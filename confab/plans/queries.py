@@ -49,18 +49,24 @@ def _numbered(source: str) -> str:
   SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY session ORDER BY pos) IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS b FROM {source}))"""
 
 
-SMALL = """ch AS (SELECT session, island, pv AS t FROM (SELECT *, count(*) OVER (PARTITION BY session, speaker) AS c FROM isn) WHERE c = 1 AND seconds <= 60.005 AND n_segments <= 3 AND pv = nx)"""
-TINY = """st AS (SELECT session, speaker FROM isl WHERE speaker <> 'Unknown' GROUP BY ALL HAVING sum(seconds) <= 700.005 AND sum(n_segments) <= 12 AND count(*) BETWEEN 2 AND 12),
+def _rules_sql(r: Rules) -> tuple[str, str, str]:
+    """The changes `ch` of the small, the tiny and the gap rule."""
+    small = f"""ch AS (SELECT session, island, pv AS t FROM (SELECT *, count(*) OVER (PARTITION BY session, speaker) AS c FROM isn) WHERE c = 1 AND seconds <= {r.small_seconds} AND n_segments <= {r.small_segments} AND pv = nx)"""
+    tiny = f"""st AS (SELECT session, speaker FROM isl WHERE speaker <> 'Unknown' GROUP BY ALL HAVING sum(seconds) <= {r.tiny_seconds} AND sum(n_segments) <= {r.tiny_segments} AND count(*) BETWEEN {r.tiny_min_islands} AND {r.tiny_max_islands}),
 vo AS (SELECT session, speaker, v, count(*) AS n FROM (SELECT session, speaker, unnest([pv, nx]) AS v FROM isn JOIN st USING (session, speaker)) WHERE v IS NOT NULL GROUP BY ALL),
 tp AS (SELECT *, count(*) OVER (PARTITION BY session, speaker) AS many FROM (SELECT *, max(n) OVER (PARTITION BY session, speaker) AS m, sum(n) OVER (PARTITION BY session, speaker) AS al FROM vo) WHERE n = m),
-wn AS (SELECT session, speaker, v FROM tp WHERE many = 1 AND n / al >= 0.25 AND NOT EXISTS (SELECT 1 FROM st WHERE st.session = tp.session AND st.speaker = tp.v)),
+wn AS (SELECT session, speaker, v FROM tp WHERE many = 1 AND n / al >= {r.tiny_share} AND NOT EXISTS (SELECT 1 FROM st WHERE st.session = tp.session AND st.speaker = tp.v)),
 ch AS (SELECT session, island, v AS t FROM isl JOIN wn USING (session, speaker))"""
-GAP = """ch AS (SELECT session, island, p AS t FROM (SELECT *, lag(speaker) OVER w AS p, lead(speaker) OVER w AS q FROM isl WINDOW w AS (PARTITION BY session ORDER BY island)) WHERE speaker = 'Unknown' AND p = q AND p <> 'Unknown' AND n_segments <= 1 AND seconds <= 80.005)"""
+    gap = f"""ch AS (SELECT session, island, p AS t FROM (SELECT *, lag(speaker) OVER w AS p, lead(speaker) OVER w AS q FROM isl WINDOW w AS (PARTITION BY session ORDER BY island)) WHERE speaker = 'Unknown' AND p = q AND p <> 'Unknown' AND n_segments <= {r.gap_segments} AND seconds <= {r.gap_seconds})"""
+    return small, tiny, gap
+
+
+SMALL, TINY, GAP = _rules_sql(RULES)
 
 
 def _rule_sql(source: str, rule: str, changed: bool = True) -> str:
     """One rule over a relation of segments; changed: only what it relabels."""
-    need = NEIGHBOURS + ", " if rule is not GAP else ""
+    need = NEIGHBOURS + ", " if "isn" in rule else ""
     tail = "SELECT session, pos, t AS speaker FROM nu JOIN ch USING (session, island)" if changed else 'SELECT session, pos, coalesce(t, speaker) AS speaker, "start", "end" FROM nu LEFT JOIN ch USING (session, island)'
     return f"WITH {_numbered(source)}, {ISLANDS.format(source)}, {need}{rule} {tail}"
 
@@ -97,18 +103,19 @@ def refine_pass1(spark, sf):
     return islands.refine(seg_view(spark, sf), r).where("refined_from is not null").select("session", "pos", "speaker", "refined_from", "refined_by")
 
 
-def _passes_sql(source: str, passes: int) -> str:
+def _passes_sql(source: str, r: Rules) -> str:
     """All rules of all passes as steps p0, p1, ...; a pass that changes nothing is like one that isn't run."""
-    steps = [f"p{k + 1} AS MATERIALIZED ({_rule_sql(f'p{k}', (SMALL, TINY, GAP)[k % 3], False)})" for k in range(3 * passes)]
-    by = " ".join(f"WHEN p{k + 1}.speaker <> p{k}.speaker THEN '{('small', 'tiny', 'gap')[k % 3]}'" for k in range(3 * passes))
-    joins = " ".join(f"JOIN p{k + 1} USING (session, pos)" for k in range(3 * passes))
-    last = f"p{3 * passes}"
+    names, rules, n = ("small", "tiny", "gap"), _rules_sql(r), 3 * r.passes
+    steps = [f"p{k + 1} AS MATERIALIZED ({_rule_sql(f'p{k}', rules[k % 3], False)})" for k in range(n)]
+    by = " ".join(f"WHEN p{k + 1}.speaker <> p{k}.speaker THEN '{names[k % 3]}'" for k in range(n))
+    joins = " ".join(f"JOIN p{k + 1} USING (session, pos)" for k in range(n))
+    last = f"p{n}"
     return f"""p0 AS MATERIALIZED (SELECT session, pos, speaker, "start", "end" FROM {source} QUALIFY count(*) OVER (PARTITION BY session) >= 3), {", ".join(steps)}
 SELECT session, pos, {last}.speaker, p0."start", p0."end", CASE WHEN {last}.speaker <> p0.speaker THEN p0.speaker END AS refined_from, CASE {by} END AS refined_by FROM p0 {joins}
 UNION ALL SELECT session, pos, speaker, "start", "end", NULL, NULL FROM (SELECT *, count(*) OVER (PARTITION BY session) AS c FROM {source}) WHERE c < 3"""
 
 
-@query(f"WITH {CONV}, {_passes_sql('conv', 3)}")
+@query(f"WITH {CONV}, {_passes_sql('conv', RULES)}")
 def refine_sessions(spark, sf):
     return islands.refine(conv_view(spark, sf).drop("text"), RULES)
 
@@ -358,12 +365,25 @@ def cer_ascii(spark, sf):
     return metrics.character_errors(_texts(spark, sf)).select("item_id", "char_errors", "ref_chars", F.round("cer", 6).alias("cer"))
 
 
-# the table of distances row by row: a step needs the row before, and the least of what lies to its left
-WER = f"""RECURSIVE {TEXTS}, w AS (SELECT item_id, list_filter(string_split({NORM.format('reference')}, ' '), lambda x: x <> '') AS r, list_filter(string_split({NORM.format('hypothesis')}, ' '), lambda x: x <> '') AS h FROM tx),
-dp AS (SELECT item_id, r, h, 0::BIGINT AS i, list_transform(range(0, len(h) + 1), lambda j: j) AS d FROM w UNION ALL
-  SELECT item_id, r, h, i, list_transform(range(1, len(c) + 1), lambda j: j - 1 + list_min(c[1:j])) FROM (
-    SELECT item_id, r, h, i + 1 AS i, list_transform(range(0, len(h) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(d[j + 1] + 1, d[j] + CASE WHEN r[i + 1] = h[j] THEN 0 ELSE 1 END) - j END) AS c FROM dp WHERE i < len(r))),
-er AS (SELECT item_id, CAST(d[-1] AS INTEGER) AS errors, CAST(len(r) AS INTEGER) AS n_words FROM dp WHERE i = len(r))"""
+def distances_sql(name: str, pairs: str, keys: str) -> str:
+    """name: keys, errors, n_words of the relation pairs (keys, r, h lists of words).
+
+    The table of distances row by row: a cell needs the row before and the least of what lies to its left, which is found by
+    doubling (up to 4,096 words)."""
+    step = "c0"
+    inner = f"SELECT {keys}, r, h, i + 1 AS i, list_transform(range(0, len(h) + 1), lambda j: CASE WHEN j = 0 THEN i + 1 ELSE least(d[j + 1] + 1, d[j] + CASE WHEN r[i + 1] = h[j] THEN 0 ELSE 1 END) - j END) AS c FROM {name}_t WHERE i < len(r)"
+    for k in range(12):
+        inner = f"SELECT {keys}, r, h, i, CASE WHEN len(c) <= {1 << k} THEN c ELSE list_transform(range(1, len(c) + 1), lambda j: least(c[j], CASE WHEN j > {1 << k} THEN c[j - {1 << k}] END)) END AS c FROM ({inner}) {step}{k}"
+    return f"""{name}_v AS (SELECT *, list_distinct(list_concat(r, h)) AS v FROM {pairs}), {name}_n AS MATERIALIZED (SELECT {keys}, list_transform(r, lambda x: list_position(v, x)) AS r, list_transform(h, lambda x: list_position(v, x)) AS h FROM {name}_v),
+{name}_t AS (SELECT {keys}, r, h, 0::BIGINT AS i, list_transform(range(0, len(h) + 1), lambda j: j) AS d FROM {name}_n UNION ALL SELECT {keys}, r, h, i, list_transform(range(1, len(c) + 1), lambda j: j - 1 + c[j]) FROM ({inner}) x),
+{name} AS (SELECT {keys}, CAST(d[-1] AS INTEGER) AS errors, CAST(len(r) AS INTEGER) AS n_words FROM {name}_t WHERE i = len(r))"""
+
+
+def _words_sql(text_: str) -> str:
+    return f"list_filter(string_split({NORM.format(text_)}, ' '), lambda x: x <> '')"
+
+
+WER = f"""RECURSIVE {TEXTS}, w AS (SELECT item_id, {_words_sql('reference')} AS r, {_words_sql('hypothesis')} AS h FROM tx), {distances_sql('er', 'w', 'item_id')}"""
 
 
 @query(f"WITH {WER} SELECT item_id, errors, n_words, round(errors / n_words, 6) AS wer FROM er")
@@ -551,7 +571,18 @@ def _frames(spark, sf) -> DataFrame:
     return e.select(F.col("user_id").alias("session"), (F.row_number().over(w) - 1).cast("bigint").alias("frame"), F.col("event_type").isin("click", "view").alias("speech"))
 
 
-@query()
+# one step a frame: the state of the open chunk behind it, and what it closes or shows
+@query("""WITH RECURSIVE fr AS MATERIALIZED (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f, event_type IN ('click', 'view') AS sp, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+st AS (SELECT DISTINCT session, -1::BIGINT AS f, NULL::BIGINT AS b, 0::BIGINT AS n, 0::BIGINT AS quiet, 0::BIGINT AS trim, 0::BIGINT AS made, 0::BIGINT AS lead, NULL::VARCHAR AS why, NULL::BIGINT AS cb, NULL::BIGINT AS cn, NULL::BIGINT AS ct, NULL::BIGINT AS pn, NULL::BIGINT AS pt FROM fr UNION ALL
+  SELECT session, f, CASE why WHEN 'silence' THEN NULL WHEN 'max' THEN f + 1 - least(3, n) ELSE b END, CASE WHEN why = 'silence' OR b IS NULL THEN 0 WHEN why = 'max' THEN least(3, n) ELSE n END, CASE WHEN why IS NOT NULL OR b IS NULL THEN 0 ELSE quiet END, CASE WHEN why = 'silence' OR b IS NULL THEN 0 WHEN why = 'max' THEN least(3, n) ELSE trim END,
+    made + CASE WHEN why IS NULL THEN 0 ELSE 1 END, lead, why, CASE WHEN why IS NOT NULL THEN b END, CASE WHEN why IS NOT NULL THEN n END, CASE WHEN why IS NOT NULL THEN trim END, CASE WHEN b IS NOT NULL AND n % CASE WHEN n <= 100 THEN 10 ELSE 20 END = 0 THEN least(n, 133) END, CASE WHEN n <= 133 THEN trim ELSE 0 END
+  FROM (SELECT *, CASE WHEN b IS NULL THEN NULL WHEN quiet > CASE WHEN n * 30 > 300 THEN 1 ELSE 3 END THEN 'silence' WHEN n * 30 >= 600 THEN 'max' END AS why FROM (
+    SELECT session, f, CASE WHEN b0 IS NOT NULL THEN b0 WHEN sp THEN f - lead0 END AS b, CASE WHEN b0 IS NOT NULL THEN n0 + 1 WHEN sp THEN lead0 + 1 ELSE 0 END AS n, CASE WHEN sp OR b0 IS NULL THEN 0 ELSE quiet0 + 1 END AS quiet, trim, made, CASE WHEN b0 IS NOT NULL THEN lead0 WHEN sp THEN 0 ELSE least(lead0 + 1, 2) END AS lead
+    FROM (SELECT fr.session, fr.f, fr.sp, st.b AS b0, st.n AS n0, st.quiet AS quiet0, st.trim, st.made, st.lead AS lead0 FROM st JOIN fr ON fr.session = st.session AND fr.f = st.f + 1)))),
+o AS (SELECT session, made - 1 AS chunk, 'final' AS type, cb AS start_frame, cn AS n_frames, ct AS trim_frames, why AS reason FROM st WHERE why IS NOT NULL
+  UNION ALL SELECT session, made - CASE WHEN why IS NULL THEN 0 ELSE 1 END, 'partial', f + 1 - pn, pn, pt, 'cadence' FROM st WHERE pn IS NOT NULL
+  UNION ALL SELECT st.session, st.made, 'final', st.b, st.n, st.trim, 'end' FROM st JOIN fr USING (session, f) WHERE f + 1 = total AND b IS NOT NULL)
+SELECT CAST(session AS VARCHAR) AS session, CAST(chunk AS INTEGER) AS chunk, type, CAST(start_frame AS BIGINT) AS start_frame, CAST(n_frames AS INTEGER) AS n_frames, CAST(trim_frames AS INTEGER) AS trim_frames, reason FROM o""")
 def chunker(spark, sf):
     return chunking.chunk_batch(_frames(spark, sf), chunking.Settings(silence_limit=3, short_silence_limit=1, soft_ms=300, max_ms=600, preroll_ms=60, overlap_ms=90, partials=True))
 
@@ -601,32 +632,47 @@ def _two_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     return s, h.where("end > start")
 
 
-# elementary intervals, shared time by pairs of labels, and the best of all one-to-one pairings
-@query(f"""WITH RECURSIVE {SEG}, rf AS (SELECT session AS m, "start" AS a, "end" AS b, speaker AS s FROM seg WHERE "end" > "start"),
-hy AS (SELECT session AS m, "start" + 1.5 AS a, "end" + 1.0 AS b, 'h_' || CASE WHEN pos % 7 = 0 THEN 'Unknown' ELSE speaker END AS s FROM seg WHERE "end" + 1.0 > "start" + 1.5),
-mk AS (SELECT m, a AS t FROM rf UNION SELECT m, b FROM rf), ct AS (SELECT m, t FROM mk UNION SELECT m, t - 0.125 FROM mk UNION SELECT m, t + 0.125 FROM mk UNION SELECT m, a FROM hy UNION SELECT m, b FROM hy),
-iv AS (SELECT m, t AS a, lead(t) OVER (PARTITION BY m ORDER BY t) AS b FROM ct), el AS MATERIALIZED (SELECT iv.m, a, b, (a + b) / 2 AS x FROM iv WHERE b IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mk WHERE mk.m = iv.m AND abs((iv.a + iv.b) / 2 - t) < 0.125)),
-ra AS MATERIALIZED (SELECT DISTINCT el.m, el.a, el.b, s FROM el JOIN rf ON rf.m = el.m AND rf.a < el.x AND rf.b > el.x), ha AS MATERIALIZED (SELECT DISTINCT el.m, el.a, el.b, s FROM el JOIN hy ON hy.m = el.m AND hy.a < el.x AND hy.b > el.x),
-n AS (SELECT el.m, el.a, el.b - el.a AS w, (SELECT count(*) FROM ra WHERE ra.m = el.m AND ra.a = el.a) AS nr, (SELECT count(*) FROM ha WHERE ha.m = el.m AND ha.a = el.a) AS nh FROM el),
-t AS (SELECT m, sum(nr * w) AS total, sum(greatest(nh - nr, 0) * w) AS fa, sum(greatest(nr - nh, 0) * w) AS mi, sum(least(nr, nh) * w) AS both_ FROM n GROUP BY m),
-sh AS MATERIALIZED (SELECT ra.m, ra.s AS r, ha.s AS h, sum(ra.b - ra.a) AS w FROM ra JOIN ha ON ha.m = ra.m AND ha.a = ra.a GROUP BY ALL),
-rn AS MATERIALIZED (SELECT m, r, row_number() OVER (PARTITION BY m ORDER BY r) AS k FROM (SELECT DISTINCT m, r FROM sh)),
+def der_sql(rf: str, hy: str, half: float) -> str:
+    """dr: m, total, fa, mi, co of the relations rf and hy (m, a, b, s): elementary intervals, shared time by pairs of labels,
+    and the best of all one-to-one pairings."""
+    marks = f"UNION SELECT m, t - {half} FROM mk UNION SELECT m, t + {half} FROM mk" if half else ""
+    near = f"AND NOT EXISTS (SELECT 1 FROM mk WHERE mk.m = iv.m AND abs((iv.a + iv.b) / 2 - t) < {half})" if half else ""
+    return f"""mk AS (SELECT m, a AS t FROM {rf} UNION SELECT m, b FROM {rf}), ct AS (SELECT m, t FROM mk {marks} UNION SELECT m, a FROM {hy} UNION SELECT m, b FROM {hy}),
+iv AS (SELECT m, t AS a, lead(t) OVER (PARTITION BY m ORDER BY t) AS b FROM ct), el AS MATERIALIZED (SELECT iv.m, a, b, (a + b) / 2 AS x FROM iv WHERE b IS NOT NULL {near}),
+ra AS MATERIALIZED (SELECT DISTINCT el.m, el.a, el.b, s FROM el JOIN {rf} q ON q.m = el.m AND q.a < el.x AND q.b > el.x), ha AS MATERIALIZED (SELECT DISTINCT el.m, el.a, el.b, s FROM el JOIN {hy} q ON q.m = el.m AND q.a < el.x AND q.b > el.x),
+dn AS (SELECT el.m, el.a, el.b - el.a AS w, (SELECT count(*) FROM ra WHERE ra.m = el.m AND ra.a = el.a) AS nr, (SELECT count(*) FROM ha WHERE ha.m = el.m AND ha.a = el.a) AS nh FROM el),
+dt AS (SELECT m, sum(nr * w) AS total, sum(greatest(nh - nr, 0) * w) AS fa, sum(greatest(nr - nh, 0) * w) AS mi, sum(least(nr, nh) * w) AS both_ FROM dn GROUP BY m),
+sh AS MATERIALIZED (SELECT ra.m, ra.s AS r, ha.s AS h, sum(ra.b - ra.a) AS w FROM ra JOIN ha ON ha.m = ra.m AND ha.a = ra.a GROUP BY ALL), rn AS MATERIALIZED (SELECT m, r, row_number() OVER (PARTITION BY m ORDER BY r) AS k FROM (SELECT DISTINCT m, r FROM sh)),
 pm AS (SELECT DISTINCT m, 0::BIGINT AS k, ''::VARCHAR AS used, 0::DOUBLE AS w FROM sh UNION ALL
   SELECT pm.m, pm.k + 1, pm.used || coalesce('|' || c.h || '|', ''), pm.w + coalesce(c.w, 0) FROM pm JOIN rn ON rn.m = pm.m AND rn.k = pm.k + 1 JOIN (SELECT m, r, h, w FROM sh UNION ALL SELECT DISTINCT m, r, NULL, 0 FROM sh) c ON c.m = pm.m AND c.r = rn.r AND (c.h IS NULL OR NOT contains(pm.used, '|' || c.h || '|'))),
-bs AS (SELECT m, max(w) AS w FROM pm GROUP BY m)
-SELECT t.m AS meeting, round(total, 6) AS total, round(fa, 6) AS false_alarm, round(mi, 6) AS miss, round(both_ - coalesce(bs.w, 0), 6) AS confusion, round((fa + mi + both_ - coalesce(bs.w, 0)) / greatest(total, 1e-8), 6) AS der FROM t LEFT JOIN bs ON bs.m = t.m""")
+bs AS (SELECT m, max(w) AS w FROM pm GROUP BY m), dr AS (SELECT dt.m, total, fa, mi, both_ - coalesce(bs.w, 0) AS co FROM dt LEFT JOIN bs ON bs.m = dt.m)"""
+
+
+@query(f"""WITH RECURSIVE {SEG}, rf AS (SELECT session AS m, "start" AS a, "end" AS b, speaker AS s FROM seg WHERE "end" > "start"),
+hy AS (SELECT session AS m, "start" + 1.5 AS a, "end" + 1.0 AS b, 'h_' || CASE WHEN pos % 7 = 0 THEN 'Unknown' ELSE speaker END AS s FROM seg WHERE "end" + 1.0 > "start" + 1.5), {der_sql('rf', 'hy', 0.125)}
+SELECT m AS meeting, abs(round(total, 6)) AS total, abs(round(fa, 6)) AS false_alarm, abs(round(mi, 6)) AS miss, abs(round(co, 6)) AS confusion, abs(round((fa + mi + co) / greatest(total, 1e-8), 6)) AS der FROM dr""")
 def der(spark, sf):
     r, h = _two_sides(spark, sf)
     x = metrics.diarization_errors(r, h, "meeting", collar=0.25)
-    return x.select("meeting", *[F.round(c, 6).alias(c) for c in ("total", "false_alarm", "miss", "confusion", "der")])
+    return x.select("meeting", *[F.abs(F.round(c, 6)).alias(c) for c in ("total", "false_alarm", "miss", "confusion", "der")])
 
 
-@query()
+def cpwer_sql(hyp_speaker: str) -> str:
+    """cp: session, errors, n_words over conv: all one-to-one pairings of its speakers with those of another labelling.
+    What a hypothesis speaker costs unpaired is taken off when it is paired."""
+    by = lambda spk, out: f"SELECT session, {spk} AS {out}, {_words_sql("string_agg(trim(text), ' ' ORDER BY " + chr(34) + "start" + chr(34) + ", pos)")} AS w FROM conv WHERE trim(text) <> '' GROUP BY ALL"
+    return f"""cr_ AS MATERIALIZED ({by("speaker", "a")}), ch_ AS MATERIALIZED ({by(hyp_speaker, "b")}), pw AS (SELECT session, a, b, cr_.w AS r, ch_.w AS h FROM cr_ JOIN ch_ USING (session)), {distances_sql("pe", "pw", "session, a, b")},
+co AS MATERIALIZED (SELECT pe.session, a, b, pe.errors - len(ch_.w) AS e FROM pe JOIN ch_ USING (session, b) UNION ALL SELECT session, a, NULL, len(w) FROM cr_), cn AS MATERIALIZED (SELECT session, a, row_number() OVER (PARTITION BY session ORDER BY a) AS k, count(*) OVER (PARTITION BY session) AS many FROM cr_),
+cq AS (SELECT DISTINCT session, 0::BIGINT AS k, ''::VARCHAR AS used, 0::BIGINT AS e FROM cr_ UNION ALL SELECT cq.session, cq.k + 1, cq.used || coalesce('|' || co.b || '|', ''), cq.e + co.e FROM cq JOIN cn ON cn.session = cq.session AND cn.k = cq.k + 1 JOIN co ON co.session = cq.session AND co.a = cn.a AND (co.b IS NULL OR NOT contains(cq.used, '|' || co.b || '|'))),
+cp AS (SELECT cq.session, min(cq.e) + any_value(t.h) AS errors, any_value(t.r) AS n_words FROM cq JOIN (SELECT session, (SELECT sum(len(w)) FROM ch_ WHERE ch_.session = x.session) AS h, sum(len(w)) AS r, count(*) AS n FROM cr_ x GROUP BY session) t ON t.session = cq.session AND cq.k = t.n GROUP BY cq.session)"""
+
+
+@query(f"WITH RECURSIVE {CONV}, {cpwer_sql("CASE WHEN pos % 3 = 0 THEN 'S2' ELSE 'S' || CAST(pos % 2 AS VARCHAR) END")} SELECT session, CAST(errors AS BIGINT) AS errors, CAST(n_words AS BIGINT) AS n_words, round(errors / n_words, 6) AS cpwer FROM cp")
 def cpwer(spark, sf):
     c = conv_view(spark, sf)
     r = segments.concat_by_speaker(c)
     h = segments.concat_by_speaker(c.withColumn("speaker", F.when(F.col("pos") % 3 == 0, "S2").otherwise(F.concat(F.lit("S"), (F.col("pos") % 2).cast("string")))))
-    return metrics.speaker_permutation_errors(r, h, "session").select("session", "errors", "n_words", "cpwer")
+    return metrics.speaker_permutation_errors(r, h, "session").select("session", "errors", "n_words", F.round("cpwer", 6).alias("cpwer"))
 
 
 @query(f"WITH {WER} SELECT item_id, errors, n_words FROM er")
@@ -875,14 +921,19 @@ def translate_cached(spark, sf):
     return translate(d, cache, _marked).select("doc_id", "translation")
 
 
-@query()
+MISLED = "CASE WHEN pos % 7 = 3 THEN 'S9' ELSE 'S' || CAST(length(speaker) AS VARCHAR) END"
+
+
+@query(f"""WITH RECURSIVE {CONV}, fl AS (SELECT session, string_agg(trim(text), ' ' ORDER BY "start", pos) AS t FROM conv GROUP BY 1), fw AS (SELECT session, {_words_sql('t')} AS r, {_words_sql('t')} AS h FROM fl), {distances_sql('fe', 'fw', 'session')}, {cpwer_sql(MISLED)},
+rf AS (SELECT session AS m, "start" AS a, "end" AS b, speaker AS s FROM conv WHERE "end" > "start"), hy AS (SELECT session AS m, "start" AS a, "end" AS b, {MISLED} AS s FROM conv WHERE "end" > "start"), {der_sql('rf', 'hy', 0)}
+SELECT fe.session, fe.n_words, fe.errors, round(fe.errors / fe.n_words, 6) AS wer, round(cp.errors / cp.n_words, 6) AS cpwer, abs(round((fa + mi + co) / greatest(total, 1e-8), 6)) AS der FROM fe LEFT JOIN cp USING (session) LEFT JOIN dr ON dr.m = fe.session""")
 def session_report(spark, sf):
     """MET-14: turns against the same turns with every seventh misattributed."""
     from ..operators import services
 
     c = conv_view(spark, sf)
     h = c.withColumn("speaker", F.when(F.col("pos") % 7 == 3, "S9").otherwise(F.concat(F.lit("S"), F.length("speaker").cast("string"))))
-    return services.session_report(c, h)
+    return services.session_report(c, h).withColumns({x: F.abs(F.round(x, 6)) for x in ("wer", "cpwer", "der")})
 
 
 @query(f"WITH {SCORES_SQL} SELECT round(bleu.v, 6) AS bleu, round(chrf.v, 6) AS chrf, NULL::DOUBLE AS neural FROM bleu, chrf")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import format_result_line
+from ..session import durable
+from .readers import encode_wav
 
 
 def rttm_lines(segments: DataFrame, drop_empty: bool = True) -> DataFrame:
@@ -41,6 +47,45 @@ def transcript_lines(segments: DataFrame, key: str) -> DataFrame:
     return segments.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", line.alias("l"))))["l"], "\n").alias("text"))
 
 
+def session_wavs(frames: DataFrame, rate: int, key: str = "session") -> DataFrame:
+    """SNK-02: key, n_samples, content of a WAV file of each session's frames (key, frame, samples) in order. A session's
+    recording is one value, as its file is."""
+    kind = dict(frames.dtypes)[key]
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("frame")
+        x = np.concatenate([np.asarray(s, np.int16) for s in p["samples"]])
+        return pd.DataFrame({key: [p[key].iloc[0]], "n_samples": [len(x)], "content": [encode_wav(rate, x)]})
+
+    return frames.select(key, "frame", "samples").groupBy(key).applyInPandas(run, f"{key} {kind}, n_samples bigint, content binary")
+
+
+def write_wavs(frames: DataFrame, folder: str, rate: int, key: str = "session", enabled: bool = True) -> DataFrame | None:
+    """SNK-02: writes each session's recording to `folder` (a URI that all workers reach) as <session>.wav and gives key,
+    path, n_samples; nothing is recorded unless enabled. A file is written under another name and then renamed."""
+    if not enabled:
+        return None
+    made = session_wavs(frames, rate, key)
+    kind = dict(frames.dtypes)[key]
+
+    def run(batches):
+        from pyarrow import fs
+
+        where, path = fs.FileSystem.from_uri(folder)
+        where.create_dir(path, recursive=True)
+        for p in batches:
+            names = []
+            for k, content in zip(p[key], p["content"], strict=True):
+                part = f"{path}/.{k}-{uuid.uuid4().hex}"
+                with where.open_output_stream(part) as out:
+                    out.write(content)
+                where.move(part, f"{path}/{k}.wav")
+                names.append(f"{folder.rstrip('/')}/{k}.wav")
+            yield pd.DataFrame({key: p[key], "path": names, "n_samples": p["n_samples"]})
+
+    return durable(made.mapInPandas(run, f"{key} {kind}, path string, n_samples bigint"))
+
+
 def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
     """SNK-09 and SNK-10."""
     rows.select(*columns).write.option("header", True).csv(path)

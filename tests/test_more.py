@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from confab.functions import num
 from confab.operators import intervals, islands, metrics, services, similarity, speech, sweeps, tracking, voice
 from confab.operators.islands import Rules
-from confab.sources import readers
+from confab.sources import readers, writers
 from confab.streaming import live, upserts
 
 WORDS = "k int, pos int, start double, end double, tags map<string,int>"
@@ -372,3 +372,13 @@ def test_similar_pairs_by_blocks(spark, block):
             if k == k2 and c >= 0.2:
                 expect[i, j] = c
     assert got.keys() == expect.keys() and np.allclose([got[k] for k in sorted(got)], [expect[k] for k in sorted(expect)])
+
+
+def test_recordings(spark, tmp_path):
+    rows = [("a", 1, [3, 4]), ("a", 0, [1, 2]), ("b", 0, [9, 9])]
+    df = spark.createDataFrame(rows, "session string, frame int, samples array<smallint>")
+    assert writers.write_wavs(df, f"file://{tmp_path}/w", 8000, enabled=False) is None and not (tmp_path / "w").exists()
+    got = {x["session"]: (x["path"], x["n_samples"]) for x in writers.write_wavs(df, f"file://{tmp_path}/w", 8000).collect()}
+    assert got == {"a": (f"file://{tmp_path}/w/a.wav", 4), "b": (f"file://{tmp_path}/w/b.wav", 2)}
+    back = {x["path"].rsplit("/", 1)[1]: (x["rate"], x["samples"]) for x in readers.read_wav(spark, f"file://{tmp_path}/w").collect()}
+    assert back == {"a.wav": (8000, [1, 2, 3, 4]), "b.wav": (8000, [9, 9])}
