@@ -31,6 +31,7 @@ SLICE = 1_000_000  # characters of lines that are told apart at once
 LONG_LINE = 20  # words
 LONG_WORD = 40  # a longer word, or one in a script without blanks, counts as its characters
 INDEX, PROBE = 0, 1
+CHUNK = 512  # lines of a match group that are compared at once with as many others
 
 
 def word_edits(words: int) -> int:
@@ -246,9 +247,9 @@ def entries(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([of, short[a]]), np.concatenate([sig, s])
 
 
-def _groups(s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(group, key) of the entries whose hash has an index and a probe entry of different lines. A group is known by a hash
-    of its lines, so lines that share several segments meet once."""
+def _groups(s: np.ndarray, k: np.ndarray, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, key, chunk, chunks) of the entries whose hash has an index and a probe entry of different lines. A group is
+    known by a hash of its lines, so lines that share several segments meet once, and cut to chunks in order of key."""
     sig = s >> np.uint64(1)
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     n = np.diff(np.append(first, len(s)))
@@ -257,7 +258,7 @@ def _groups(s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep = np.repeat((probing > 0) & (probing < n) & differ, n)
     sig, k = sig[keep], k[keep]
     if not len(sig):
-        return sig, k
+        return sig, k, np.zeros(0, np.int32), np.zeros(0, np.int32)
     order = np.lexsort((k, sig))
     sig, k = sig[order], k[order]
     fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (k[1:] != k[:-1])])
@@ -268,15 +269,19 @@ def _groups(s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((k, group))
     group, k = group[order], k[order]
     fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (k[1:] != k[:-1])])
-    return group[fresh], k[fresh]
+    group, k = group[fresh], k[fresh]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    n = np.diff(np.append(first, len(group)))
+    place = np.arange(len(group)) - np.repeat(first, n)
+    return group, k, (place // size).astype(np.int32), np.repeat(-(-n // size), n).astype(np.int32)
 
 
 def _fresh(found: list[str], min_chars: int) -> list[str]:
     return list(dict.fromkeys(x for t in found for x in lines_of(t) if len(x) >= min_chars))
 
 
-def _meetings(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFrame:
-    """group, key: the lines that share a segment."""
+def _meetings(docs: DataFrame, edits: int, min_chars: int, text: str, size: int) -> DataFrame:
+    """sig, key, chunk, chunks: the lines that share a segment, by group."""
     ranges = parallelism(docs.sparkSession)
     small_batches(docs.sparkSession)
 
@@ -303,11 +308,11 @@ def _meetings(docs: DataFrame, edits: int, min_chars: int, text: str) -> DataFra
             part = parts.pop(r)
             s, k = np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
             order = np.argsort(s)
-            group, k = _groups(s[order], k[order])
+            group, k, chunk, chunks = _groups(s[order], k[order], size)
             if len(group):
-                yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(k.view(np.int64))], names=["sig", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(k.view(np.int64)), pa.array(chunk), pa.array(chunks)], names=["sig", "key", "chunk", "chunks"])
 
-    return arrow(arrow(docs.select(text), emit, "range int, sigs binary, keys binary").repartitionById(ranges, F.col("range")), meet, "sig bigint, key bigint").distinct()
+    return arrow(arrow(docs.select(text), emit, "range int, sigs binary, keys binary").repartitionById(ranges, F.col("range")), meet, "sig bigint, key bigint, chunk int, chunks int").distinct()
 
 
 def _histograms(texts: list) -> np.ndarray:
@@ -327,8 +332,8 @@ def _strings(lines: list[str]) -> tuple[list, bool]:
 
 
 def join_group(rows: list[tuple[int, str]], edits: int) -> list[tuple[int, int]]:
-    """Links of one match group: rows (key, line) that share a segment. The index entries of a group have its least length,
-    so only pairs with such a line are compared, and of these only unconnected ones."""
+    """Links of (a part of) one match group: rows (key, line) that share a segment. The index entries of a group have its least
+    length, so only pairs with such a line are compared, and of these only unconnected ones."""
     rows = sorted(rows)
     said, by_words = _strings([t for _, t in rows])
     size = np.array([len(x) for x in said])
@@ -355,13 +360,13 @@ def join_group(rows: list[tuple[int, str]], edits: int) -> list[tuple[int, int]]
     return out
 
 
-def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str = "text") -> DataFrame:
+def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) between keys of different lines of min_chars or more that are near: both of under 20 words and within so
     many edits of characters, or both of 20 words or more and within word_edits edits of words, by the one with fewer:
     enough to connect all that such pairs connect."""
     if min_chars <= edits:
         raise ValueError("min_chars must be over edits, so that no segment is empty")
-    met = durable(_meetings(docs, edits, min_chars, text_col))
+    met = durable(_meetings(docs, edits, min_chars, text_col, chunk))
     # A filter of fixed size on the keys that met: it lets all of them pass, and of the others few while those are few
     words = met.selectExpr(f"shiftrightunsigned(key, {64 - FILTER_BITS}) AS p").selectExpr("cast(p div 32 AS int) AS w", "shiftleft(1L, cast(p % 32 AS int)) AS b")
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -379,22 +384,25 @@ def links(docs: DataFrame, edits: int = 2, min_chars: int = 24, text_col: str =
 
     needed = met.select("key").distinct()
     texts = arrow(docs.select(text_col), emit, "key bigint, line string").join(needed, "key", "left_semi").groupBy("key").agg(F.first("line").alias("line"))
-    ready = met.join(texts, "key").repartition(parallelism(docs.sparkSession), "sig").sortWithinPartitions("sig")
+    # a group's cells, one for each pair of its chunks: what a task holds at once is bounded, and a large group spreads
+    ready = met.join(texts, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    ready = ready.select("sig", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "key", "line")
+    ready = ready.repartition(parallelism(docs.sparkSession), "sig", "low", "high").sortWithinPartitions("sig", "low", "high")
 
     def verify(batches):
-        names, held, sig, out = ["a", "b"], [], None, []
+        names, held, cell, out = ["a", "b"], [], None, []
         for batch in batches:
-            for s, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if s != sig:
+            for s, low, high, k, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (s, low, high) != cell:
                     out += join_group(held, edits) if len(held) > 1 else []
-                    held, sig = [], s
+                    held, cell = [], (s, low, high)
                 held.append((k, t))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=names)
             out = []
         out = join_group(held, edits) if len(held) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=names)
 
-    return arrow(ready.select("sig", "key", "line"), verify, "a bigint, b bigint")
+    return arrow(ready.select("sig", "low", "high", "key", "line"), verify, "a bigint, b bigint")
 
 
 def _mark(text_col: str):

@@ -205,6 +205,23 @@ def test_line_dedup_of_long_lines(spark):
     assert sum(root[i] != i for i in range(len(lines))) > 30
 
 
+def test_line_dedup_of_a_large_group(spark):
+    """A group of more lines than are held at once is compared part by part, with the same result."""
+    r = random.Random(43)
+    base = [f"word{k}" for k in range(30)]
+    made = [replaced(r, base, 1) for _ in range(30)] + [base[:20] + [f"x{r.randrange(9)}{k}" for k in range(10)] for _ in range(30)]
+    lines = [" ".join(x) for x in made]
+    near = [(a, b) for a in range(60) for b in range(a) if edits(made[a], made[b]) <= 2]
+    root = roots(60, near)
+    place = {np.array([line_dedup._key(x)], np.uint64).view(np.int64)[0]: i for i, x in enumerate(lines)}
+    for chunk in (7, 512):
+        s, k = np.repeat(np.arange(2, dtype=np.uint64) << np.uint64(1), 20) | np.tile(np.arange(2, dtype=np.uint64), 20), np.arange(40, dtype=np.uint64)
+        _, _, at, many = line_dedup._groups(s, k, chunk)
+        assert many.tolist() == [-(-20 // chunk)] * 40 and at.max() == (20 - 1) // chunk
+        found = [(place[x["a"]], place[x["b"]]) for x in line_dedup.links(docs(spark, lines), chunk=chunk).collect()]
+        assert roots(60, found) == root
+
+
 def test_line_dedup_of_clashing_names(spark):
     """Columns of any name stay; null ids and texts, repeated rows and empty tables have results."""
     line = "a line that stands in more than one document"
