@@ -1,11 +1,11 @@
 """Quality classifier: a byte-level convolutional network, trained and applied in numpy.
 
-A text's UTF-8 bytes are embedded and convolved at every second byte (windows of 8 bytes, learned filters, ReLU), the
-activations max-pooled over overlapping chunks of 512 bytes that cover the whole text, each chunk passed through a small
+A text's UTF-8 bytes are embedded and convolved at every byte (windows of 8 bytes, learned filters, ReLU), the activations
+max-pooled over overlapping chunks of 512 bytes that cover the whole text, each chunk passed through a small
 hidden layer, and the chunks' hidden values averaged into one logistic unit.
 
-Embedding and filters are linear, so at prediction they fold into one table for each pair of bytes in the window: a
-window costs four look-ups."""
+At prediction the windows of some blocks of bytes are laid side by side, so that the convolution is one matrix product.
+"""
 
 from __future__ import annotations
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import by_text
 
-WIDTH, STRIDE = 8, 2
-BLOCK = 64  # positions pooled first: 128 bytes
+WIDTH = 8
+BLOCK = 128  # bytes whose windows are pooled first
 CHUNK, STEP = 4, 2  # blocks in a chunk, blocks from chunk to chunk
 
 
@@ -40,46 +40,36 @@ class ByteCnn:
         at = lambda *s, by: (r.standard_normal(s) * by).astype(np.float32)
         return ByteCnn(at(256, size, by=0.5), at(WIDTH * size, filters, by=(WIDTH * size) ** -0.5), np.zeros(filters, np.float32), at(filters, hidden, by=filters**-0.5), np.zeros(hidden, np.float32), at(hidden, by=hidden**-0.5), 0.0)
 
-    def tables(self) -> np.ndarray:
-        """4 x 65536 x F: what each pair of bytes adds at its place in the window."""
-        size = self.embed.shape[1]
-        taps = np.einsum("be,tef->tbf", self.embed, self.conv.reshape(WIDTH, size, -1))
-        # little-endian pairs: the low byte comes first
-        return (taps[0::2, None, :, :] + taps[1::2, :, None, :]).reshape(WIDTH // 2, 65536, -1).astype(np.float32)
-
 
 class Scorer:
     """Applies a network to batches of texts."""
 
-    RANGE = 512  # blocks at once
+    RANGE = 96  # blocks at once: a few megabytes of windows
 
     def __init__(self, net: ByteCnn):
-        self.net, self.table = net, net.tables()
+        self.net = net
 
     def score(self, texts: list[str]) -> np.ndarray:
         data = [x.encode("utf-8", "surrogatepass") for x in texts]
         sizes = np.array([len(x) for x in data], np.int64)
-        unit = BLOCK * STRIDE
-        blocks = np.maximum(1, -(-sizes // unit))
-        room = -(-(sizes + WIDTH) // unit)  # room behind a text keeps windows from the next
-        room = np.maximum(room, blocks)
-        flat = np.frombuffer(b"".join(x.ljust(int(n) * unit, b"\0") for x, n in zip(data, room, strict=True)) + b"\0" * WIDTH, "<u2")
+        blocks = np.maximum(1, -(-sizes // BLOCK))
+        room = np.maximum(-(-(sizes + WIDTH) // BLOCK), blocks)  # room behind a text keeps windows from the next
+        raw = np.frombuffer(b"".join(x.ljust(int(n) * BLOCK, b"\0") for x, n in zip(data, room, strict=True)) + b"\0" * WIDTH, np.uint8)
         first = np.concatenate([[0], np.cumsum(room)])
         pooled = np.empty((int(first[-1]), self.net.bias.size), np.float32)
-        # positions behind a text's last byte don't count (an empty text has one: all zero bytes)
-        places = np.maximum(1, -(-sizes // STRIDE))
-        ends = first[:-1] * BLOCK + places
+        # places behind a text's last byte don't count (an empty text has one: all zero bytes)
+        ends = first[:-1] * BLOCK + np.maximum(1, sizes)
+        size = self.net.embed.shape[1]
         for b in range(0, int(first[-1]), self.RANGE):
             n = min(self.RANGE, int(first[-1]) - b)
             p, m = b * BLOCK, n * BLOCK
-            a = self.table[0][flat[p : p + m]]
-            for k in range(1, WIDTH // 2):
-                a += self.table[k][flat[p + k : p + k + m]]
+            e = self.net.embed[raw[p : p + m + WIDTH]].ravel()
+            windows = np.lib.stride_tricks.as_strided(e, (m, WIDTH * size), (size * e.itemsize, e.itemsize))
+            a = self.net.conv.T @ np.ascontiguousarray(windows).T  # filters x places
             low, high = np.searchsorted(ends, [p, p + m])
-            for d in range(low, min(high + 1, len(texts))):
-                dead = slice(max(int(ends[d]) - p, 0), max(0, min(int(first[d + 1]) * BLOCK - p, m)))
-                a[dead] = -np.inf
-            pooled[b : b + n] = a.reshape(n, BLOCK, -1).max(1)
+            for d in range(max(0, low - 1), min(high + 1, len(texts))):
+                a[:, max(int(ends[d]) - p, 0) : max(0, min(int(first[d + 1]) * BLOCK - p, m))] = -np.inf
+            pooled[b : b + n] = a.reshape(-1, n, BLOCK).max(2).T
         return self._combine(pooled, first[:-1], blocks)
 
     def _combine(self, pooled: np.ndarray, first: np.ndarray, blocks: np.ndarray) -> np.ndarray:
@@ -99,7 +89,7 @@ class Scorer:
 def gradients(net: ByteCnn, raw: np.ndarray, live: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """The weighed mean logistic loss of chunks (raw: rows x bytes; live: which places count) and its gradients."""
     size, places = net.embed.shape[1], live.shape[1]
-    idx = raw[:, (np.arange(places) * STRIDE)[:, None] + np.arange(WIDTH)]  # rows x places x WIDTH
+    idx = raw[:, np.arange(places)[:, None] + np.arange(WIDTH)]  # rows x places x WIDTH
     e = net.embed[idx].reshape(len(raw), places, WIDTH * size)
     a = e @ net.conv
     a[~live] = -np.inf
@@ -129,22 +119,22 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
     r = np.random.default_rng(seed)
     net = ByteCnn.start(seed)
     names = ["embed", "conv", "bias", "hidden", "hidden_bias", "out", "out_bias"]
-    unit, width = BLOCK * STRIDE, CHUNK * BLOCK * STRIDE
+    unit, width = BLOCK, CHUNK * BLOCK
     m = {k: np.zeros_like(np.asarray(getattr(net, k), np.float32)) for k in names}
     v = {k: x.copy() for k, x in m.items()}
-    step, places = 0, width // STRIDE
+    step = 0
     for _ in range(epochs):
         order = r.permutation(len(texts))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            raw, live = np.zeros((len(rows), width + WIDTH), np.uint8), np.zeros((len(rows), places), bool)
+            raw, live = np.zeros((len(rows), width + WIDTH), np.uint8), np.zeros((len(rows), width), bool)
             for i, k in enumerate(rows):
                 t = texts[k]
                 blocks = max(1, -(-len(t) // unit))
                 begin = int(r.integers(0, 1 + max(0, -(-(blocks - CHUNK) // STEP)))) * STEP * unit
                 part = t[begin : begin + width + WIDTH]
                 raw[i, : len(part)] = np.frombuffer(part, np.uint8)
-                live[i, : max(1, -(-min(len(t) - begin, width) // STRIDE))] = True
+                live[i, : max(1, min(len(t) - begin, width))] = True
             _, g = gradients(net, raw, live, labels[rows], weights[rows])
             step += 1
             for k in names:

@@ -323,9 +323,9 @@ def test_quality(spark):
     def direct(t):
         data = t.encode()
         raw = np.frombuffer(data + b"\0" * 16, np.uint8)
-        a = np.array([net.embed[raw[2 * p : 2 * p + 8]].reshape(-1) @ net.conv for p in range(max(1, -(-len(data) // 2)))])
+        a = np.array([net.embed[raw[p : p + 8]].reshape(-1) @ net.conv for p in range(max(1, len(data)))])
         blocks = max(1, -(-len(data) // 128))
-        h = [np.tanh(np.maximum(a[c * 128 : c * 128 + 256].max(0) + net.bias, 0) @ net.hidden + net.hidden_bias) for c in range(1 + max(0, -(-(blocks - 4) // 2)))]
+        h = [np.tanh(np.maximum(a[c * 256 : c * 256 + 512].max(0) + net.bias, 0) @ net.hidden + net.hidden_bias) for c in range(1 + max(0, -(-(blocks - 4) // 2)))]
         return 1 / (1 + np.exp(-(np.mean(h, 0) @ net.out + net.out_bias)))
 
     for i in (*range(0, 300, 37), 300, 302):
