@@ -106,9 +106,12 @@ def nearest(probes: DataFrame, survivors: DataFrame, key: str, at: str = "at", v
     sort and not a join of all with all."""
     s = survivors.select(key, F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.col(value).cast("string").alias("_v"), F.lit(None).cast(dict(probes.dtypes)[tie]).alias("_id"))
     p = probes.select(key, F.col(at).alias("_at"), F.lit(-1).alias("_kind"), F.lit(None).cast("string").alias("_v"), F.col(tie).alias("_id"))
-    w = W.partitionBy(key).orderBy("_at", "_kind", "_v", "_id")
+    order = ("_at", "_kind", "_v", "_id")
+    # both ways from the front: a frame that runs to the end would be gone through again for each row
+    forth = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy(key).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
     seen = F.when(F.col("_kind") == 0, F.struct("_at", "_v"))
-    x = s.union(p).withColumn("_b", F.last(seen, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_a", F.first(seen, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    x = s.union(p).withColumn("_b", F.last(seen, ignorenulls=True).over(forth)).withColumn("_a", F.last(seen, ignorenulls=True).over(back))
     after = F.col("_b").isNull() | (F.col("_a").isNotNull() & ((F.col("_a._at") - F.col("_at")) < (F.col("_at") - F.col("_b._at"))))
     return x.where("_kind = -1").select(key, F.col("_id").alias(tie), F.col("_at").alias(at), F.when(after, F.col("_a._v")).otherwise(F.col("_b._v")).alias(value))
 

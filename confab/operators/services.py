@@ -5,6 +5,8 @@ Models are passed in; what a missing one would give is null."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
+from math import gcd
 
 import numpy as np
 import pandas as pd
@@ -65,17 +67,35 @@ def fir(x: np.ndarray, low: float, high: float, rate: int, taps: int = 257) -> n
     return np.convolve(x, (sinc(high) - sinc(low)) * np.hamming(taps), "same")
 
 
+@lru_cache(32)
+def _kernels(source: int, target: int, zeros: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Steps p of the input for q samples of the output, and for each of these its first input and its weights: rates have a
+    common measure, so there are only q different kernels."""
+    g = gcd(source, target)
+    p, q = source // g, target // g
+    cut = min(1.0, target / source) * 0.95
+    reach = int(np.ceil(zeros / cut))
+    at = np.arange(q) * p
+    first = at // q
+    d = np.arange(-reach, reach + 1) - (at % q / q)[:, None]
+    return p, q, first, cut * np.sinc(cut * d) * np.cos(np.clip(d / (reach + 1), -1, 1) * np.pi / 2) ** 2
+
+
 def resample(x: np.ndarray, source: int, target: int, zeros: int = 16) -> np.ndarray:
-    """DSP-05: by a windowed sinc of `zeros` crossings to a side, cut off at the lower rate's band."""
+    """DSP-05: by a windowed sinc of `zeros` crossings to a side, cut off at the lower rate's band; zeros lie beyond the
+    ends."""
     if source == target or not len(x):
         return x
-    cut = min(1.0, target / source) * 0.95
-    at = np.arange(int(np.ceil(len(x) * target / source))) * source / target
-    reach = int(np.ceil(zeros / cut))
-    i = np.floor(at).astype(int)[:, None] + np.arange(-reach, reach + 1)
-    d = i - at[:, None]
-    w = cut * np.sinc(cut * d) * np.cos(np.clip(d / (reach + 1), -1, 1) * np.pi / 2) ** 2
-    return np.where((i >= 0) & (i < len(x)), x[np.clip(i, 0, len(x) - 1)], 0.0).__mul__(w).sum(1)
+    p, q, first, kernels = _kernels(source, target, zeros)
+    width = kernels.shape[1]
+    n = int(np.ceil(len(x) * target / source))
+    wide = np.pad(np.asarray(x, float), (width // 2, width + p))
+    out = np.empty(n)
+    for r in range(min(q, n)):
+        many = -(-(n - r) // q)
+        windows = np.lib.stride_tricks.sliding_window_view(wide, width)[first[r] : first[r] + p * (many - 1) + 1 : p]
+        out[r::q] = windows @ kernels[r]
+    return out
 
 
 def resample_rows(rows: DataFrame, target: int) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import fields, replace
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,26 +30,32 @@ def grid(spark: SparkSession, **values: list) -> DataFrame:
 
 def rule_grid(base: Rules = Rules(), **values: list) -> list[tuple[int, Rules]]:
     """(config, rules) in the order of grid(); names are fields of Rules."""
-    unknown = set(values) - {f.name for f in fields(Rules)}
+    unknown = set(values) - {f.name for f in fields(Rules)} | {"passes", "min_segments"} & set(values)
     if unknown:
-        raise ValueError(f"no such rules: {sorted(unknown)}")
+        raise ValueError(f"no such rules, or not for a grid: {sorted(unknown)}")
     names = sorted(values)
     return [(k, replace(base, **dict(zip(names, x, strict=True)))) for k, x in enumerate(product(*(values[n] for n in names)))]
 
 
 def outcomes(segments: DataFrame, configs: list[tuple[int, Rules]], session: str = "session") -> DataFrame:
     """SWP-02: config, session, signature (a hash of the final labels in order), relabelled (how many segments changed) and
-    labels (the final ones) of each configuration.
-
-    Each configuration has rules, and so a plan, of its own; what it leaves is small (a row for each session) and cut off
-    from its lineage."""
-    made = []
-    for k, rules in configs:
-        done = refine(segments.select(session, "pos", "speaker", "start", "end"), rules, session)
-        order = F.array_sort(F.collect_list(F.struct("pos", "speaker")))["speaker"]
-        one = done.groupBy(session).agg(order.alias("labels"), F.count_if(F.col("refined_from").isNotNull()).alias("relabelled"))
-        made.append(durable(one.select(F.lit(k).cast("bigint").alias("config"), session, F.xxhash64("labels").alias("signature"), "relabelled", "labels")))
-    return reduce(DataFrame.unionByName, made)
+    labels (the final ones) of each configuration. configs differ in thresholds only.
+
+    All configurations run through one refinement: a session of a configuration is a session of its own, whose key carries
+    the thresholds that differ, so neither the plan nor the number of jobs grows with the grid."""
+    if not configs:
+        raise ValueError("no configurations")
+    if len(configs) > MOST_CONFIGS:
+        raise ValueError(f"over {MOST_CONFIGS} configurations")
+    base = configs[0][1]
+    differ = [f.name for f in fields(Rules) if any(getattr(r, f.name) != getattr(base, f.name) for _, r in configs)]
+    rules = replace(base, **{n: F.col("session")[n] for n in differ})
+    cells = F.array(*[F.struct(F.lit(k).cast("bigint").alias("config"), *[F.lit(getattr(r, n)).alias(n) for n in differ]) for k, r in configs])
+    spread = segments.select(F.col(session).alias("_own"), "pos", "speaker", "start", "end", F.explode(cells).alias("_cell"))
+    keyed = spread.select(F.struct("_cell.*", F.col("_own").alias("own")).alias("session"), "pos", "speaker", "start", "end")
+    order = F.array_sort(F.collect_list(F.struct("pos", "speaker")))["speaker"]
+    one = refine(keyed, rules).groupBy("session").agg(order.alias("labels"), F.count_if(F.col("refined_from").isNotNull()).alias("relabelled"))
+    return durable(one.select("session.config", F.col("session.own").alias(session), F.xxhash64("labels").alias("signature"), "relabelled", "labels"))
 
 
 def memoised(found: DataFrame, score: Callable[[DataFrame], DataFrame], session: str = "session") -> DataFrame:
