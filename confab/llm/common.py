@@ -25,13 +25,20 @@ def _fallback(spark: SparkSession, prefix: str) -> str:
     return tempfile.mkdtemp(prefix=prefix)
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Rows of a few numbers that one file of a checkpoint should hold at least.
+FILE_ROWS = 250_000
+
+
+def durable(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows of df, written to the shared folder in spark.checkpoint.dir and cut off from their lineage.
 
-    A local folder is set only where the setting is missing in local mode, as in tests."""
+    Where about how many (narrow) rows there will be is known, as in later rounds of a loop, few rows make few files. A local
+    folder is set only where the setting is missing in local mode, as in tests."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _fallback(df.sparkSession, "checkpoint-"))
+    if rows is not None and (files := -(-max(rows, 1) // FILE_ROWS)) < parallelism(df.sparkSession):
+        df = df.coalesce(files)
     return df.checkpoint(eager=True)
 
 

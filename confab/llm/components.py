@@ -22,15 +22,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges and loops do no harm; no edges give no rows. It raises if the bound on rounds is met (the number needed grows
     as the logarithm of the nodes)."""
     now = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
+    mark, rows = None, now.count()
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _low(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _low(large)
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = durable(after)
+        # a round leaves no more edges than there were, and one for each node
+        now = durable(after, 2 * rows)
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == was or not mark[0]:
+        rows = mark[0]
+        if mark == was or not rows:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

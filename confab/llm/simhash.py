@@ -110,7 +110,7 @@ def links(fps: DataFrame, max_bits: int = 2, bucket: int = 64) -> DataFrame:
 def _groups(fps: DataFrame, max_bits: int, first: Column) -> DataFrame:
     """fp and least, the smallest value of first in the fingerprint's component."""
     nodes = durable(fps.groupBy("fp").agg(F.min(first).alias("rep")))
-    roots = durable(components(links(nodes.select("fp"), max_bits)))
+    roots = components(links(nodes.select("fp"), max_bits))
     joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     return joined.join(joined.groupBy("root").agg(F.min("rep").alias("least")), "root").select("fp", "least")
 
