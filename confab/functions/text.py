@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .base import let
+
 # Whole lines that a recogniser makes up over silence, music or credits.
 HALLUCINATIONS = (
     "altyazı m.k.",
@@ -74,17 +76,15 @@ def token_edits(reference: Column, hypothesis: Column) -> Column:
     """STR-05: edit distance of two token arrays. Each distinct token of the pair becomes one character, so the built-in
     distance of strings counts tokens. A pair of over 35,327 distinct tokens is an error (metrics.word_error_details has
     no such bound)."""
-    # bound by one-element arrays, as what a lambda refers to is evaluated for each element
-    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     # 0x4E00 + place: one UTF-16 unit, below the surrogates
     code = lambda v, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v, w) + 19967), 4, "0")), "UTF-16BE")
     spelled = lambda v, tokens: F.array_join(F.transform(tokens, lambda w: code(v, w)), "")
     few = lambda v: F.when(F.size(v) > 0xD800 - 0x4E00 - 1, F.raise_error(F.lit("too many distinct tokens in a pair")).cast("array<string>")).otherwise(v)
 
     def edits(p: Column) -> Column:
-        return once(F.array_distinct(F.concat(p["r"], p["h"])), lambda x: once(few(x), lambda v: F.levenshtein(spelled(v, p["r"]), spelled(v, p["h"]))))
+        return let(F.array_distinct(F.concat(p["r"], p["h"])), lambda x: let(few(x), lambda v: F.levenshtein(spelled(v, p["r"]), spelled(v, p["h"]))))
 
-    return once(F.struct(reference.alias("r"), hypothesis.alias("h")), edits)
+    return let(F.struct(reference.alias("r"), hypothesis.alias("h")), edits)
 
 
 def parse_result_line(line: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .base import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -27,8 +29,7 @@ def clipped_cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """VEC-02: a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return let(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double"))))
 
 
 def best_two_mean(scores: Column) -> Column:
@@ -52,8 +53,12 @@ def in_plane_ratio(v: Column, basis: list[list[float]]) -> Column:
 
 def mean_pairwise_cosine(vectors: Column) -> Column:
     """AGG-26: mean cosine of all pairs of an array of vectors; null under two. Arrays are small (a candidate's vectors)."""
-    n = F.size(vectors)
-    at = lambda i: F.element_at(vectors, (i + 1).cast("int"))
-    row = lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: cosine(at(i), at(j)))
-    total = F.aggregate(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), row)), F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(n >= 2, total / (n * (n - 1) / 2))
+
+    def mean(v: Column) -> Column:
+        n = F.size(v)
+        at = lambda i: F.element_at(v, (i + 1).cast("int"))
+        row = lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: cosine(at(i), at(j)))
+        total = F.aggregate(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), row)), F.lit(0.0), lambda acc, x: acc + x)
+        return F.when(n >= 2, total / (n * (n - 1) / 2))
+
+    return let(vectors, mean)

@@ -41,19 +41,18 @@ def is_hallucination(text: Column, compression: Column, no_speech: Column, logpr
     return (t == "") | (c > 2.4) | ((n > 0.6) & (p < -1.0)) | (F.lower(t).isin(*HALLUCINATIONS) & ((n > 0.3) | (p < -0.5)))
 
 
-def trim_prefix(segments: DataFrame, trim: float, words: str = "words") -> DataFrame:
+def trim_prefix(segments: DataFrame, trim: Column | float, words: str = "words") -> DataFrame:
     """FLT-02: words with their middle before trim go and the rest make the segment anew; a segment without words stays
-    if it ends after trim; empty ones go. Nothing changes for trim <= 0."""
-    if trim <= 0:
-        return segments
-    kept = F.filter(words, lambda w: (w["start"] + w["end"]) / 2 >= trim)
-    has = F.coalesce(F.size(words), F.lit(0)) > 0
-    x = segments.withColumn("_has", has).withColumn("_kept", F.when(has, kept))
-    x = x.where(F.when(F.col("_has"), F.size("_kept") > 0).otherwise(F.col("end") > trim))
+    if it ends after trim; empty ones go. Nothing changes where trim is 0 or less."""
+    trim = trim if isinstance(trim, Column) else F.lit(float(trim))
+    has = (F.coalesce(F.size(words), F.lit(0)) > 0) & (trim > 0)
+    x = segments.withColumn("_trim_at", trim).withColumn("_has", has)
+    x = x.withColumn("_kept", F.when(F.col("_has"), F.filter(words, lambda w: (w["start"] + w["end"]) / 2 >= F.col("_trim_at"))))
+    x = x.where(F.when(F.col("_has"), F.size("_kept") > 0).otherwise((F.col("_trim_at") <= 0) | (F.col("end") > F.col("_trim_at"))))
     first, last = F.try_element_at("_kept", F.lit(1)), F.try_element_at("_kept", F.lit(-1))
     text = F.trim(F.array_join(F.transform("_kept", lambda w: w["word"]), ""))
     new = {words: F.when(F.col("_has"), F.col("_kept")).otherwise(F.col(words)), "start": F.when(F.col("_has"), first["start"]).otherwise(F.col("start")), "end": F.when(F.col("_has"), last["end"]).otherwise(F.col("end")), "text": F.when(F.col("_has"), text).otherwise(F.col("text"))}
-    return x.withColumns(new).where(~F.col("_has") | (F.col("text") != "")).drop("_has", "_kept")
+    return x.withColumns(new).where(~F.col("_has") | (F.col("text") != "")).drop("_has", "_kept", "_trim_at")
 
 
 def drop_before(segments: DataFrame, trim: float) -> DataFrame:

@@ -9,15 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.base import let
+
 
 def frames(audio: DataFrame, pcm: str, size: int, pad: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """SRC-04 and SRC-05: fixed frames of a sample array, with their index; an incomplete last one goes, or is filled with
     zeros."""
-    n = F.size(pcm)
-    count = F.ceil(n / size) if pad else F.floor(n / size)
-    one = lambda i: F.slice(pcm, (i * size + 1).cast("int"), size)
-    full = (lambda i: F.concat(one(i), F.array_repeat(F.lit(0).cast("smallint"), F.lit(size) - F.size(one(i))))) if pad else one
-    made = F.transform(F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>")), full)
+
+    def cut(x: Column) -> Column:
+        count = F.ceil(F.size(x) / size) if pad else F.floor(F.size(x) / size)
+        one = lambda i: F.slice(x, (i * size + 1).cast("int"), size)
+        full = (lambda i: F.concat(one(i), F.array_repeat(F.lit(0).cast("smallint"), F.lit(size) - F.size(one(i))))) if pad else one
+        return F.transform(F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>")), full)
+
+    made = let(F.col(pcm), cut)
     return audio.select(*keep, F.posexplode(made).alias("frame", "samples"))
 
 
@@ -25,9 +30,13 @@ def to_float(samples: Column, channels: int = 1) -> Column:
     """DSP-01 and DSP-13: interleaved 16-bit samples to mono within [-1, 1)."""
     if channels == 1:
         return F.transform(samples, lambda x: x / 32768.0)
-    i = F.sequence(F.lit(0), (F.floor(F.size(samples) / channels) - 1).cast("int"))
-    total = lambda k: F.aggregate(F.slice(samples, k * channels + 1, channels), F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(samples) >= channels, F.transform(i, lambda k: total(k) / channels / 32768.0)).otherwise(F.array().cast("array<double>"))
+
+    def mixed(x: Column) -> Column:
+        i = F.sequence(F.lit(0), (F.floor(F.size(x) / channels) - 1).cast("int"))
+        total = lambda k: F.aggregate(F.slice(x, k * channels + 1, channels), F.lit(0.0), lambda acc, v: acc + v)
+        return F.when(F.size(x) >= channels, F.transform(i, lambda k: total(k) / channels / 32768.0)).otherwise(F.array().cast("array<double>"))
+
+    return let(samples, mixed)
 
 
 def rms(x: Column) -> Column:
@@ -36,18 +45,25 @@ def rms(x: Column) -> Column:
 
 def speech_level(x: Column, block: int) -> Column:
     """DSP-02: 95th percentile (between ranks by line) of the blocks' RMS; the RMS of all under three blocks."""
-    n = F.floor(F.size(x) / block).cast("int")
-    levels = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: rms(F.slice(x, i * block + 1, block))))
-    at = (n - 1) * 0.95
-    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
-    a, b = F.element_at(levels, low + 1), F.element_at(levels, high + 1)
-    return F.when(n >= 3, a + (b - a) * (at - low)).otherwise(rms(x))
+
+    def between(levels: Column) -> Column:
+        at = (F.size(levels) - 1) * 0.95
+        low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        a, b = F.element_at(levels, low + 1), F.element_at(levels, high + 1)
+        return a + (b - a) * (at - low)
+
+    def level(a: Column) -> Column:
+        n = F.floor(F.size(a) / block).cast("int")
+        blocks = F.array_sort(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: rms(F.slice(a, i * block + 1, block))))
+        return F.when(n >= 3, let(blocks, between)).otherwise(rms(a))
+
+    return let(x, level)
 
 
 def gain(x: Column, level: Column, target: float = 0.1, most: float = 10.0) -> Column:
     """DSP-03."""
-    g = F.least(F.lit(most), target / level)
-    return F.when(level > 0.001, F.transform(x, lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v * g)))).otherwise(x)
+    raised = lambda g: F.transform(x, lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v * g)))
+    return let(level, lambda at: F.when(at > 0.001, let(F.least(F.lit(most), target / at), raised)).otherwise(x))
 
 
 def regions(probabilities: list[float], window: int = 512, rate: int = 16000, enter: float = 0.5, hysteresis: float = 0.15, min_silence_ms: float = 100, min_speech_ms: float = 250, pad_ms: float = 30, n_samples: int | None = None) -> list[tuple[int, int]]:
@@ -181,14 +197,16 @@ def plane(centroids: np.ndarray, points: np.ndarray) -> np.ndarray | None:
     return np.array(basis)
 
 
-def apply_model(rows: DataFrame, schema: str, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
+def apply_model(rows: DataFrame, schema: str, model: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], batch: int | None = None) -> DataFrame:
     """UDF-01 to UDF-10: an injected model over Arrow batches: model() is called once a task and gives the function that
-    turns a batch into rows of the schema (recognition, diarisation, embedding, translation, neural voice activity)."""
+    turns a batch into rows of the schema (recognition, diarisation, embedding, translation, neural voice activity). With
+    batch, the function gets so many rows at once at most (UDF-08); tasks report progress as they end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = model()
         for p in batches:
-            yield f(p)
+            for k in range(0, len(p), batch or max(1, len(p))):
+                yield f(p.iloc[k : k + (batch or len(p))].reset_index(drop=True))
 
     return rows.mapInPandas(run, schema)
 

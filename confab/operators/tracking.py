@@ -6,7 +6,7 @@ plain values, so that state can be pickled between micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -302,13 +302,13 @@ def session_rows(p: pd.DataFrame) -> Iterable[tuple]:
     return zip(p["chunk"], p["local"], p["embedding"], [None if pd.isna(x) else float(x) for x in p["seconds"]], p["chunk_ms"], strict=True)
 
 
-def track(rows: DataFrame, settings: Settings = Settings(), session: str = "session") -> DataFrame:
+def track(rows: DataFrame, settings: Settings = Settings(), session: str = "session", tracker: Callable[[Settings], Tracker] = Tracker) -> DataFrame:
     """STM-12 in batch: rows session, chunk, local, embedding, seconds (null: unknown), chunk_ms. One grouped call for each
-    session, which is the unit that is sequential by nature; sessions run in parallel."""
+    session, which is the unit that is sequential by nature; sessions run in parallel. UDF-11: a subclass of Tracker can stand in."""
     kind = dict(rows.dtypes)[session]
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        found = run_session(session_rows(p), Tracker(settings))
+        found = run_session(session_rows(p), tracker(settings))
         out = pd.DataFrame(found, columns=["chunk", "local", "assigned", "decision", "best_score"])
         out.insert(0, session, p[session].iloc[0])
         return out

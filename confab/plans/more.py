@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import num, text, vec
-from ..operators import calibration, intervals, islands, metrics, reports, segments, services, speech, sweeps, voice
+from ..operators import calibration, intervals, islands, metrics, models, reports, segments, services, speech, sweeps, voice
 from ..sources import readers, writers
 from ..streaming import live, upserts
-from .queries import BARE, COS, DECISIONS, LETTERS, SIGNAL, VEC, WER, _decisions, _passes_sql, _signal, _texts
+from .queries import BARE, COS, DECISIONS, LETTERS, SIGNAL, TURNS, VEC, WER, WORDS, _decisions, _passes_sql, _signal, _texts, _turns, _words
 from .registry import query
 from .views import CONV, SEG, table
 from .views import segments as seg_view
@@ -312,6 +312,70 @@ def model_batches(spark, sf):
     return speech.apply_model(d, "doc_id bigint, n bigint", _counter)
 
 
+def _recogniser():
+    """A stand-in that hears each word of a text for 0.4 seconds, one each half second, and every fourth turn as noise."""
+
+    def hear(p: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for session, turn, said, words in zip(p["session"], p["turn"], p["said"], p["with_words"], strict=True):
+            heard = [{"start": k * 0.5, "end": k * 0.5 + 0.4, "word": " " + w} for k, w in enumerate(said)]
+            noise = turn % 4 == 0
+            out.append((session, turn, 0, 0.0, len(said) * 0.5, " ".join(said), 1.0, 0.7 if noise else 0.1, -1.5 if noise else -0.2, heard if words else None))
+        return pd.DataFrame(out, columns=["session", "turn", "pos", "start", "end", "text", "compression_ratio", "no_speech_prob", "avg_logprob", "words"])
+
+    return hear
+
+
+HEARD = "hd AS (SELECT conv_id AS session, turn, list_filter(string_split(text, ' '), lambda x: x <> '') AS said, CASE WHEN turn % 2 = 1 THEN 1.0 ELSE 0.0 END AS trim FROM conversations)"
+
+
+def _heard(spark, sf):
+    said = F.filter(F.split("text", " "), lambda x: x != "")
+    return table(spark, sf, "conversations").select(F.col("conv_id").alias("session"), "turn", said.alias("said"), F.when(F.col("turn") % 2 == 1, 1.0).otherwise(0.0).alias("trim_seconds"))
+
+
+@query(f"WITH {HEARD} SELECT session, turn, CASE WHEN trim > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS \"start\", CASE WHEN trim > 0 THEN (len(said) - 1) * 0.5 + 0.4 ELSE len(said) * 0.5 END::DOUBLE AS \"end\", trim(array_to_string(CASE WHEN trim > 0 THEN said[3:] ELSE said END, ' ')) AS text FROM hd WHERE turn % 4 <> 0 AND (trim = 0 OR len(said) > 2) AND len(said) > 0")
+def recognised_final(spark, sf):
+    """UDF-01 with a stand-in model, FLT-01 and FLT-02: odd turns lose their first second."""
+    x = models.recognise(_heard(spark, sf), _recogniser, ["session", "turn"])
+    return x.select("session", "turn", "start", F.round("end", 6).alias("end"), "text")
+
+
+@query(f"WITH {HEARD} SELECT session, turn, len(said) * 0.5::DOUBLE AS \"end\", array_to_string(said, ' ') AS text FROM hd WHERE turn % 4 <> 0 AND len(said) > 0 AND (trim = 0 OR len(said) * 0.5 > 1)")
+def recognised_partial(spark, sf):
+    """UDF-01 for partial results, FLT-03."""
+    return models.recognise(_heard(spark, sf), _recogniser, ["session", "turn"], final=False).select("session", "turn", "end", "text")
+
+
+@query(f"""WITH {TURNS}, {WORDS}, tm AS (SELECT chunk, pos, "start", "end", CASE WHEN speaker = 'S0' THEN 'Unknown' ELSE 'SPEAKER_' || speaker END AS speaker FROM tn),
+c AS (SELECT wd.*, tm.speaker, greatest(tm."start" - (wd."start" + wd."end") / 2, (wd."start" + wd."end") / 2 - tm."end", 0) AS g, tm.pos AS tp FROM wd LEFT JOIN tm USING (chunk)),
+l AS (SELECT chunk, pos, "start", "end", coalesce(speaker, 'Unknown') AS speaker FROM c QUALIFY row_number() OVER (PARTITION BY chunk, pos ORDER BY g, tp) = 1),
+b AS (SELECT *, CASE WHEN lag(speaker) OVER w IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS b FROM l WINDOW w AS (PARTITION BY chunk ORDER BY pos)), n AS (SELECT *, sum(b) OVER (PARTITION BY chunk ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM b)
+SELECT chunk, CAST(run AS BIGINT) AS run, any_value(speaker) AS speaker, min("start") AS "start", arg_max("end", pos) AS "end", string_agg('w' || CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS text FROM n GROUP BY chunk, run""")
+def attributed_words(spark, sf):
+    """UDF-02: turns of three local labels, of which one has no speaker."""
+    turns = _turns(spark, sf).withColumnRenamed("speaker", "local")
+    mapping = turns.where("local <> 'S0'").select("chunk", "local").distinct().withColumn("label", F.concat(F.lit("SPEAKER_"), "local"))
+    words = _words(spark, sf).withColumn("word", F.concat(F.lit(" w"), F.col("pos").cast("string")))
+    return models.attribute(words, turns, mapping, "chunk")
+
+
+def _ears():
+    """A stand-in for a voice model: the mean size and the peak."""
+    return lambda p: pd.DataFrame({"doc_id": p["doc_id"], "embedding": [[float(np.abs(s).mean()), float(np.max(s))] for s in p["samples"]]})
+
+
+@query(f"""WITH c AS (SELECT doc_id, {SIGNAL.format('n_chars')} AS c, n_chars AS n FROM documents), s AS (SELECT doc_id, n, unnest(c) / 32768.0::DOUBLE AS v, unnest(range(0, n)) AS i FROM c WHERE n > 0),
+b AS (SELECT doc_id, i // 20 AS k, sqrt(avg(v * v)) AS r FROM s WHERE i < n // 20 * 20 GROUP BY ALL), q AS (SELECT doc_id, quantile_cont(r, 0.95) AS r FROM b GROUP BY 1 HAVING count(*) >= 3), a AS (SELECT doc_id, any_value(n) AS n, sqrt(avg(v * v)) AS r FROM s GROUP BY 1),
+l AS (SELECT a.doc_id, a.n, coalesce(q.r, a.r) AS r FROM a LEFT JOIN q USING (doc_id)), g AS (SELECT doc_id, greatest(-1, least(1, v * least(10, 0.1 / r))) AS v FROM s JOIN l USING (doc_id) WHERE l.n / 1000.0 >= 0.35 AND l.r >= 0.01)
+SELECT l.doc_id, round(l.n / 1000.0::DOUBLE, 6) AS seconds, coalesce(round(e.m, 6), -1) AS size, coalesce(round(e.p, 6), -1) AS peak FROM l LEFT JOIN (SELECT doc_id, avg(abs(v)) AS m, max(v) AS p FROM g GROUP BY 1) e USING (doc_id)""")
+def voice_embeddings(spark, sf):
+    """UDF-03, FLT-10, DSP-02 and DSP-03: signals at 1,000 samples a second; those under 0.35 seconds have no embedding."""
+    audio = _mono(spark, sf).where(F.size("pcm") > 0).select("doc_id", speech.to_float(F.col("pcm")).alias("samples"))
+    x = models.voices(audio, _ears, ["doc_id"], rate=1000)
+    return x.select("doc_id", F.round("seconds", 6).alias("seconds"), F.coalesce(F.round(F.col("embedding")[0], 6), F.lit(-1.0)).alias("size"), F.coalesce(F.round(F.col("embedding")[1], 6), F.lit(-1.0)).alias("peak"))
+
+
 # --- signals ---
 
 MONO = f"c AS (SELECT doc_id, {SIGNAL.format('n_chars')} AS c, n_chars AS n FROM documents)"

@@ -103,14 +103,14 @@ class TrackProcessor(StatefulProcessor):
     """Keeps a session's tracker (its candidates age by chunks, its reference score is an exponential average) and its open
     chunk. The last row of a session carries `last`. Rows of a micro-batch are put in order; chunks arrive in order."""
 
-    def __init__(self, settings: Settings):
-        self.settings = settings
+    def __init__(self, settings: Settings, tracker: Callable[[Settings], Tracker] = Tracker):
+        self.settings, self.tracker = settings, tracker
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", "data binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        s = pickle.loads(self.state.get()[0]) if self.state.exists() else SessionRun(Tracker(self.settings))
+        s = pickle.loads(self.state.get()[0]) if self.state.exists() else SessionRun(self.tracker(self.settings))
         p = pd.concat(list(rows))
         found = [x for row in session_rows(p) for x in s.feed((row[0], row[1], None if row[2] is None else np.asarray(row[2], float), *row[3:]))]
         if p["last"].any():
@@ -126,10 +126,10 @@ class TrackProcessor(StatefulProcessor):
         pass
 
 
-def track_stream(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def track_stream(rows: DataFrame, settings: Settings = Settings(), tracker: Callable[[Settings], Tracker] = Tracker) -> DataFrame:
     """STM-12: decisions of a stream of session, chunk, local, embedding, seconds, chunk_ms, last, in append mode. The rows
     of a warm-up come late, with their final labels (STM-10)."""
-    return rows.groupBy("session").transformWithStateInPandas(statefulProcessor=TrackProcessor(settings), outputStructType=DECISIONS, outputMode="Append", timeMode="None")
+    return rows.groupBy("session").transformWithStateInPandas(statefulProcessor=TrackProcessor(settings, tracker), outputStructType=DECISIONS, outputMode="Append", timeMode="None")
 
 
 # --- SNK-01, STM-10, STM-11 ---
