@@ -128,7 +128,8 @@ def fit(docs: DataFrame, train: Column, sample: int = 2400, bits: int = 14, epoc
     """Learns from rows where train holds and the language isn't null.
 
     Document frequencies cover all such rows. Weights and temperature are fitted on a bounded sample of about `sample`
-    rows, as many for each language as there are (chosen by a hash of the id), four fifths for the weights. No such rows give a
+    rows (twice that at most, also where one id has very many), as many for each language as there are (chosen by a hash of
+    the id), four fifths for the weights. No such rows give a
     model without classes, which says `und`."""
     size = 1 << bits
     rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, train: Column, sample: int = 2400, bits: int = 14, epoc
         "id " + dict(rows.dtypes)["id"] + ", lang string, at binary, n binary",
         lambda rest, found: rest | dict(zip(("at", "n"), _packed(found, bits), strict=True)),
     )
-    seen = sorted(((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in made.drop("id").collect()), key=lambda r: hash_of(r[1]))[: 2 * sample]
+    seen = sorted(((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in made.drop("id").orderBy(F.xxhash64("at", "lang"), "lang", "at", "n").limit(2 * sample).collect()), key=lambda r: hash_of(r[1]))
     examples = []
     for lang, at, n in seen:
         at, n = np.frombuffer(at, "<u4").astype(np.int64), np.frombuffer(n, "<u4")

@@ -64,7 +64,7 @@ class TextIds:
     bytes themselves. Longer units and texts with a special string go to the tokenizer each time. The table starts anew
     when it holds max_units. Texts of any other tokenizer go to it whole."""
 
-    def __init__(self, tokenizer_file: str, max_units: int = 500_000):
+    def __init__(self, tokenizer_file: str, max_units: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -148,10 +148,10 @@ def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: i
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int = 2000, sample_bytes: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteCnn | None:
     """Learns from labelled rows where train_rows (over the id) holds; None if there is no such row.
 
-    It fits on a bounded sample: up to about sample / 2 rows of each label, chosen by a hash of the id, and at most
-    sample_bytes of them (the bound holds before texts reach the driver); the loss weighs them back to the labels' true shares. An id with several labels counts with
+    It fits on a bounded sample: up to about sample / 2 rows of each label, chosen by a hash of the id (4 * sample at most, also
+    where one id has very many rows), and at most sample_bytes of them (the bound holds before texts reach the driver); the loss weighs them back to the labels' true shares. An id with several labels counts with
     each, null labels with none."""
-    marked = labels.where(train_rows & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    marked = labels.where(train_rows & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     per = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect() if r["y"] in (0, 1)}
     if not per:
         return None
@@ -163,13 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, sample: int = 20
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b")).join(chosen, "id")
     # rows in the order of another hash, as many as sample_bytes hold; their sizes come to the driver before any text
     rows = rows.withColumn("place", F.xxhash64(F.lit("order"), "id", "y")).withColumn("size", F.length("b"))
-    sizes = sorted((r["place"], r["size"]) for r in rows.select("place", "size").collect())
+    sizes = [(r["place"], r["size"]) for r in rows.select("place", "size").orderBy("place", "size").limit(4 * sample).collect()]
     fits = np.cumsum([0, *(n for _, n in sizes)])[1:] <= sample_bytes
     if not sizes:
         return None
     # the first row is kept however long it is, cut to the bound: what is fitted are chunks
-    last = sizes[max(0, int(fits.sum()) - 1)][0]
-    found = sorted((r["place"], bytes(r["b"]), r["y"]) for r in rows.where(F.col("place") <= last).select("place", F.expr(f"substring(b, 1, {sample_bytes})").alias("b"), "y").collect())
+    many = max(1, int(fits.sum()))
+    first = rows.where(F.col("place") <= sizes[many - 1][0]).orderBy("place", "size").limit(many)
+    found = sorted((r["place"], bytes(r["b"]), r["y"]) for r in first.select("place", F.expr(f"substring(b, 1, {sample_bytes})").alias("b"), "y").collect())
     texts, y = [b for _, b, _ in found], [k for _, _, k in found]
     y = np.array(y)
     seen, true = np.bincount(y, minlength=2), np.array([per.get(0, 0), per.get(1, 0)], float)
