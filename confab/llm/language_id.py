@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_CHARS, arrow, by_text, slices, small_batches, text_slices
+from .common import arrow, by_text, slices, small_batches
 
 UNDETERMINED = "und"
 MIX = np.uint32(2654435761)
+RARITY = 100  # a feature of fewer than one in so many texts of a language is a rarity there
 
 
 @lru_cache(1)
@@ -59,17 +60,26 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     bits: int
+    known: np.ndarray | None = None  # features that are no rarity in some language learned
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(counts)
         x = counts[at] * self.idf[at]
         return (x / max(np.sqrt((x * x).sum()), 1e-12)) @ self.weights[at] + self.bias
 
+    def known_share(self, text: str) -> float:
+        """Which share of a text's n-grams the languages learned have too; 0 without letters. A text of another language, or
+        of junk, may be much like one of them by its known n-grams, but has others."""
+        return self.known_among(ngrams(text, self.bits))
+
+    def known_among(self, found: np.ndarray) -> float:
+        return float(self.known[found].mean()) if found.size and self.known is not None else float(found.size > 0)
+
     def predict(self, text: str) -> tuple[str, float]:
-        if not self.classes:
-            return UNDETERMINED, 0.0
-        found = ngrams(text, self.bits)
-        if not found.size:
+        return self.predict_among(ngrams(text, self.bits))
+
+    def predict_among(self, found: np.ndarray) -> tuple[str, float]:
+        if not self.classes or not found.size:
             return UNDETERMINED, 0.0
         p = softmax(self.logits(np.bincount(found, minlength=1 << self.bits)) / self.temperature)
         k = int(p.argmax())
@@ -104,23 +114,29 @@ class Ftrl:
         self.n[rows] = after
 
 
-def document_frequencies(docs: DataFrame, bits: int, text_col: str = "text") -> np.ndarray:
-    """In how many texts each feature is, over all rows; partial sums leave each task as at most 2^bits rows."""
+def document_frequencies(docs: DataFrame, bits: int, text_col: str = "text", lang_col: str | None = None) -> dict[str | None, np.ndarray]:
+    """In how many texts of each language (of all, as None, without lang_col) each feature is, over all rows; partial sums
+    leave each task as at most 2^bits rows for a language."""
     size = 1 << bits
     small_batches(docs.sparkSession)
+    lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
 
     def run(batches):
-        total = np.zeros(size, np.int64)
-        for found in text_slices(batches, SLICE_CHARS):
-            for x in found:
-                at = np.bincount(ngrams(x, bits), minlength=size)
-                total += at > 0
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["feature", "n"])
-
-    out = np.zeros(size, np.int64)
-    for r in arrow(docs.select(text_col), run, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        out[r["feature"]] = r["n"]
+        total: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            for part, found in slices(iter([batch])):
+                for of, x in zip(part.column(0).to_pylist(), found, strict=True):
+                    if of not in total:
+                        total[of] = np.zeros(size, np.int64)
+                    total[of] += np.bincount(ngrams(x, bits), minlength=size) > 0
+        for of, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([of] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "feature", "n"])
+
+    out: dict[str | None, np.ndarray] = {}
+    rows = docs.select(lang.alias("lang"), F.col(text_col).alias("text"))
+    for r in arrow(rows, run, "lang string, feature int, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect():
+        out.setdefault(r["lang"], np.zeros(size, np.int64))[r["feature"]] = r["n"]
     return out
 
 
@@ -137,8 +153,12 @@ def fit(docs: DataFrame, train: Column, sample: int = 2400, bits: int = 14, epoc
     classes = sorted(per)
     if not classes:
         return LanguageModel([], np.ones(size), np.zeros((size, 0)), np.zeros(0), 1.0, bits)
-    df = document_frequencies(rows, bits)
+    of = document_frequencies(rows, bits, lang_col="lang")
+    df = sum(of.values(), np.zeros(size, np.int64))
     total = sum(per.values())
+    known = np.zeros(size, bool)
+    for lang, n in of.items():
+        known |= n >= max(1, per[lang] / RARITY)
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
     each = max(1, sample // len(classes))
     share = F.coalesce(*[F.when(F.col("lang") == c, F.lit(min(1.0, each / per[c]))) for c in classes])
@@ -163,7 +183,7 @@ def fit(docs: DataFrame, train: Column, sample: int = 2400, bits: int = 14, epoc
         for k in rng.permutation(len(kept)):
             model.learn(*kept[k])
     w = model.weights()
-    fitted = LanguageModel(classes, idf, w[:-1].copy(), w[-1].copy(), 1.0, bits)
+    fitted = LanguageModel(classes, idf, w[:-1].copy(), w[-1].copy(), 1.0, bits, known)
     if out:
         z = np.array([x @ fitted.weights[at] + fitted.bias for at, x, _ in out])
         fitted.temperature = temperature(z, np.array([y for _, _, y in out]))
@@ -222,8 +242,9 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = (), i
 
 
 
-def select_rows(docs: DataFrame, model: LanguageModel, least: float = 0.0, text_col: str = "text") -> DataFrame:
-    """Rows of docs, with all their columns (of any name), that aren't `und` and whose prediction scores least or more. A
+def select_rows(docs: DataFrame, model: LanguageModel, least: float = 0.0, least_known: float = 0.0, text_col: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns (of any name), that aren't `und`, whose prediction scores least or more, and of
+    whose n-grams the model knows a share of least_known or more. A
     model without classes can't tell languages and keeps every row whose text has a letter. Null and empty texts go; very
     long ones count whole; repeated rows share their fate; an empty table gives none."""
 
@@ -234,8 +255,10 @@ def select_rows(docs: DataFrame, model: LanguageModel, least: float = 0.0, text_
             for part, found in slices(iter([batch]), text_col):
                 keep = []
                 for x in found:
-                    lang, score = model.predict(x)
-                    keep.append(lang != UNDETERMINED and score >= least if model.classes else any(map(str.isalpha, x)))
+                    grams = ngrams(x, model.bits)
+                    lang, score = model.predict_among(grams)
+                    good = lang != UNDETERMINED and score >= least and model.known_among(grams) >= least_known
+                    keep.append(good if model.classes else grams.size > 0)
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return arrow(docs, run, docs.schema)

@@ -53,10 +53,12 @@ def test_ngrams_one_by_one():
 
 def test_document_frequencies_and_prediction(spark):
     texts = ["ab ab", "abc", None, "", "xyz ab"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = language_id.document_frequencies(df, 10)
-    expect = collections.Counter(k for t in texts for k in plain_ngrams(t or "", 10))
-    assert {int(k): int(got[k]) for k in np.flatnonzero(got)} == dict(expect)
+    df = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    counts = lambda x: {int(k): int(x[k]) for k in np.flatnonzero(x)}
+    expect = lambda some: dict(collections.Counter(k for t in some for k in plain_ngrams(t or "", 10)))
+    assert counts(language_id.document_frequencies(df, 10)[None]) == expect(texts)
+    by = language_id.document_frequencies(df, 10, lang_col="lang")
+    assert counts(by["a"]) == expect(texts[::2]) and counts(by["b"]) == expect(texts[1::2])
     rng = np.random.default_rng(2)
     model = language_id.LanguageModel(["p", "q"], 1 + rng.random(1024), rng.normal(size=(1024, 2)), rng.normal(size=2), 0.7, 10)
     for t in ("ab ab", "xyz q"):
@@ -68,6 +70,21 @@ def test_document_frequencies_and_prediction(spark):
         assert model.predict(t) == (["p", "q"][int(p.argmax())], pytest.approx(float(p.max())))
 
 
+def test_unlearned_languages_are_told_by_their_ngrams(spark):
+    """Texts of a language that wasn't learned, and junk, have n-grams that the others lack; learned ones are kept."""
+    r = random.Random(6)
+    syllables = {"p": ["ba", "ne", "li", "tor"], "q": ["sch", "und", "ei", "ge"], "z": ["vuk", "jox", "zwy", "qa"]}
+    made = [(k, "".join(" " * (r.random() < 0.4) + r.choice(syllables[x]) for _ in range(80)), x if x != "z" else None) for k, x in enumerate("pq" * 60 + "z" * 20)]
+    made += [(200, "привет как дела " * 9, None), (201, "今日は天気がいい" * 9, None), (202, "12 34", None), (203, None, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True), sample=200)
+    kept = {x["doc_id"] for x in language_id.select_rows(df, model, 0.3, 0.9).collect()}
+    assert kept == {k for k, _, x in made if x}
+    for _, t, _ in made[:130:9]:
+        grams = plain_ngrams(t, model.bits)
+        assert model.known_share(t) == pytest.approx(sum(n for g, n in grams.items() if model.known[g]) / sum(grams.values()))
+
+
 def test_ftrl_step_by_step():
     """Each coordinate on its own, with both penalties."""
     rng = np.random.default_rng(3)
