@@ -16,12 +16,14 @@ from confab.llm.paths import tokenizer
 
 #: A prediction below this is no language that the model knows. Odd texts of a known language score above it.
 LEAST_SCORE = 0.3
+#: Texts of a learned language share nearly all their n-grams with it (0.9 or more); another language, or junk, mostly fewer.
+LEAST_KNOWN = 0.88
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has letters and a language that the model stands by; it learns from two thirds of them."""
     model = language_id.fit(docs, fold("doc_id", 3) != 1, sample=2400)
-    return language_id.select_rows(docs, model, LEAST_SCORE)
+    return language_id.select_rows(docs, model, LEAST_SCORE, LEAST_KNOWN)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
