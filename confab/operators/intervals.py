@@ -34,31 +34,26 @@ def point_in_interval(words: DataFrame, turns: DataFrame, key: str, bucket: floa
     """JOI-01: words (key, pos, start, end) with the speaker of the first turn (key, pos, start, end, speaker) that covers
     their middle, ends included; else of the turn with the least gap (the first of equals); Unknown without turns.
 
-    A word looks up the turns of one bucket. Where none covers it, the last end before and the first start behind are
-    carried along one sorted line of each key. Words keep all their columns and repeat as given; one without start or end
-    is Unknown."""
+    A word looks up its bucket: the turns that touch it, the last end in earlier buckets and the first start in later ones.
+    The latter two are running values over the buckets that words or turns are in, not over words. Words keep all their
+    columns and repeat as given; one without start or end is Unknown."""
     names = words.columns
     x = words.withColumn("_t", (F.col("start") + F.col("end")) / 2).withColumn("_b", _bucket(F.col("_t"), bucket))
-    x = x.join(_turn_lists(turns, key, bucket), [key, "_b"], "left")
-    cover = F.filter("_turns", lambda t: (t["start"] <= F.col("_t")) & (t["end"] >= F.col("_t")))
-    x = x.withColumn("_c", F.try_element_at(cover, F.lit(1))).drop("_turns", "_b")
-    done = x.where("_c is not null").select(*names, F.col("_c.speaker").alias("speaker"))
-    # the others on one line with ends and starts of turns: a running last and a reverse running first
-    rest = x.where("_c is null").select(F.col(key).alias("_key"), F.col("_t").alias("_at"), F.struct(*names).alias("_row"), F.lit(None).cast("struct<e:double,p:bigint,s:string>").alias("_end"), F.lit(None).cast("struct<e:double,p:bigint,s:string>").alias("_start"))
-    mark = lambda c: F.struct(F.col(c).cast("double").alias("e"), F.col("pos").cast("bigint").alias("p"), F.col("speaker").cast("string").alias("s"))
-    row, none = dict(rest.dtypes)["_row"], "struct<e:double,p:bigint,s:string>"
-    ok = turns.where("start <= end")
-    ends = ok.select(F.col(key).alias("_key"), F.col("end").cast("double").alias("_at"), F.lit(None).cast(row).alias("_row"), mark("end").alias("_end"), F.lit(None).cast(none).alias("_start"))
-    starts = ok.select(F.col(key).alias("_key"), F.col("start").cast("double").alias("_at"), F.lit(None).cast(row).alias("_row"), F.lit(None).cast(none).alias("_end"), mark("start").alias("_start"))
-    line = rest.union(ends).union(starts)
-    # of equal ends the first pos comes last before the word, of equal starts first behind it
-    forth = W.partitionBy("_key").orderBy(F.asc_nulls_last("_at"), F.desc("_end.p")).rowsBetween(W.unboundedPreceding, 0)
-    back = W.partitionBy("_key").orderBy(F.desc_nulls_first("_at"), F.desc("_start.p")).rowsBetween(W.unboundedPreceding, 0)
-    y = line.withColumn("_l", F.last("_end", ignorenulls=True).over(forth)).withColumn("_n", F.last("_start", ignorenulls=True).over(back)).where("_row is not null")
-    before, behind = F.col("_at") - F.col("_l.e"), F.col("_n.e") - F.col("_at")
-    later = F.col("_l").isNull() | (F.col("_n").isNotNull() & ((behind < before) | ((behind == before) & (F.col("_n.p") < F.col("_l.p")))))
-    found = F.when(F.col("_at").isNotNull(), F.when(later, F.col("_n.s")).otherwise(F.col("_l.s")))
-    return done.union(y.select("_row.*", F.coalesce(found, F.lit("Unknown")).alias("speaker")))
+    asked = x.where("_b is not null").select(key, "_b").distinct()
+    cells = asked.join(_turn_lists(turns, key, bucket), [key, "_b"], "full_outer")
+    last = F.array_max(F.transform("_turns", lambda t: F.struct(t["end"].alias("e"), (-t["pos"]).alias("p"), t["start"].alias("a"), t["speaker"].alias("s"))))
+    first = F.array_min(F.transform("_turns", lambda t: F.struct(t["start"].alias("e"), t["pos"].alias("p"), t["end"].alias("a"), t["speaker"].alias("s"))))
+    # both ways from the front: a frame that runs to the end would be gone through again for each row
+    forth = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    back = W.partitionBy(key).orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumns({"_l": last, "_f": first})
+    cells = cells.withColumn("_l", F.max("_l").over(forth)).withColumn("_f", F.min("_f").over(back))
+    turn = lambda p, a, e, s: F.struct(p.alias("pos"), a.alias("start"), e.alias("end"), s.alias("speaker"))
+    sides = F.array(F.when(F.col("_l").isNotNull(), turn(-F.col("_l.p"), F.col("_l.a"), F.col("_l.e"), F.col("_l.s"))), F.when(F.col("_f").isNotNull(), turn(F.col("_f.p"), F.col("_f.e"), F.col("_f.a"), F.col("_f.s"))))
+    cells = cells.select(key, "_b", F.array_compact(F.concat(F.coalesce("_turns", F.array().cast(dict(cells.dtypes)["_turns"])), sides)).alias("_near"))
+    gap = lambda t: F.greatest(t["start"] - F.col("_t"), F.col("_t") - t["end"], F.lit(0.0))
+    best = F.array_min(F.transform("_near", lambda t: F.struct(gap(t).alias("g"), t["pos"].alias("p"), t["speaker"].alias("s"))))["s"]
+    return x.join(cells, [key, "_b"], "left").select(*names, F.coalesce(best, F.lit("Unknown")).alias("speaker"))
 
 
 def max_overlap(segments: DataFrame, turns: DataFrame, key: str, bucket: float = BUCKET) -> DataFrame:
