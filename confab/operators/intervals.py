@@ -82,12 +82,13 @@ def summed_overlap(spans: DataFrame, reference: DataFrame, key: str, decision: s
     """JOI-03: for each decision (its spans: key, decision, start, end) the reference speaker with the most overlap in
     all, and the seconds; null and 0 if there is none. Ties go to the speaker met first by start.
 
-    A span and a turn meet in the first bucket that both touch."""
+    A span and a turn meet in the first bucket that both touch. Both sides are dealt out by bucket: sizes are estimated before
+    rows are exploded, so spans made of a small table would be taken for small and sent whole through the driver."""
     first = lambda c: _bucket(F.col(c), bucket)
     r = reference.select(key, F.col("start").alias("_rs"), F.col("end").alias("_re"), F.col("speaker").alias("reference"), F.explode(_buckets(F.col("start"), F.col("end"), bucket)).alias("_b"))
     s = spans.select(key, decision, "start", "end", F.explode(_buckets(F.col("start"), F.col("end"), bucket)).alias("_b"))
     over = F.least("end", "_re") - F.greatest("start", "_rs")
-    hits = s.join(r, [key, "_b"]).where(F.col("_b") == F.greatest(first("start"), first("_rs"))).withColumn("_o", over).where("_o > 0")
+    hits = s.join(r.hint("merge"), [key, "_b"]).where(F.col("_b") == F.greatest(first("start"), first("_rs"))).withColumn("_o", over).where("_o > 0")
     sums = hits.groupBy(key, decision, "reference").agg(F.sum("_o").alias("seconds"), F.min("_rs").alias("_first"))
     best = sums.groupBy(key, decision).agg(F.min(F.struct((-F.col("seconds")).alias("a"), F.col("_first"), "reference", "seconds")).alias("b"))
     return spans.select(key, decision).distinct().join(best, [key, decision], "left").select(key, decision, "b.reference", F.coalesce("b.seconds", F.lit(0.0)).alias("seconds"))

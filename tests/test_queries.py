@@ -70,3 +70,10 @@ def test_joins_are_on_keys(spark):
     for name in ("point_in_interval", "max_overlap", "summed_overlap", "tolerance_nearest", "nearest_survivor"):
         plan = core.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan, name
+
+
+@needs_data
+def test_summed_overlap_broadcasts_no_exploded_side(spark):
+    """Words are many for each row of the small table that they are made of, so its size is no reason to broadcast them."""
+    plan = core.QUERIES["summed_overlap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
