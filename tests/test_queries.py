@@ -77,3 +77,13 @@ def test_summed_overlap_broadcasts_no_exploded_side(spark):
     """Words are many for each row of the small table that they are made of, so its size is no reason to broadcast them."""
     plan = core.QUERIES["summed_overlap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_candidate_coherence_of_a_last_vector_alone(spark, tmp_path):
+    """Six vectors are a candidate of five and one without pairs."""
+    at = f"{tmp_path}/embeddings.parquet"
+    pd.DataFrame({"vec_id": range(6), "embedding": [[1.0, float(i)] for i in range(6)]}).to_parquet(at)
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select *, 0 as label from '{at}'")
+    got = core.QUERIES["candidate_coherence"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(c.sql(core.ORACLE_SQL["candidate_coherence"]).df()) and len(got) == 1
