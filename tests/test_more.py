@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,3 +383,25 @@ def test_recordings(spark, tmp_path):
     assert got == {"a": (f"file://{tmp_path}/w/a.wav", 4), "b": (f"file://{tmp_path}/w/b.wav", 2)}
     back = {x["path"].rsplit("/", 1)[1]: (x["rate"], x["samples"]) for x in readers.read_wav(spark, f"file://{tmp_path}/w").collect()}
     assert back == {"a.wav": (8000, [1, 2, 3, 4]), "b.wav": (8000, [9, 9])}
+
+
+def test_wav_samples_come_in_batches_by_size(spark):
+    """One batch of many large files leaves as several, each within the bytes that an Arrow batch may have; a file of its own
+    size stays whole, and what goes in is bounded too."""
+    from confab.session import BATCH_BYTES
+
+    class Files:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+
+    x = np.arange(BATCH_BYTES // 8, dtype=np.int16)  # a quarter of a batch
+    files = pd.DataFrame({"path": list("abcdefghij"), "content": [readers.encode_wav(8000, np.resize(x, len(x) * (5 if k == 3 else 1))) for k in range(10)]})
+    got = list(readers.wav_samples(Files())(iter([files])))
+    assert [list(p["path"]) for p in got] == [list("abc"), ["d"], list("efgh"), list("ij")]
+    assert all(len(p) == 1 or sum(s.nbytes for s in p["samples"]) <= BATCH_BYTES for p in got)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= BATCH_BYTES
