@@ -6,6 +6,7 @@ plain values, so that state can be pickled between micro-batches."""
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -45,6 +46,14 @@ class Profile:
     kept: list[np.ndarray]
     centroid: np.ndarray
     seconds: float
+    _known: tuple | None = field(default=None, repr=False, compare=False)
+
+    def vectors(self) -> list[tuple[np.ndarray, float]]:
+        """The kept vectors and the centroid with their norms, which are counted once for each change of them."""
+        now = (*self.kept, self.centroid)
+        if self._known is None or len(self._known) != len(now) or any(a is not b for (a, _), b in zip(self._known, now, strict=True)):
+            self._known = tuple((x, np.linalg.norm(x)) for x in now)
+        return self._known
 
 
 @dataclass
@@ -103,6 +112,7 @@ class Tracker:
         self.chunks = 0
         self.made = 0
         self.cohort: float | None = None
+        self.apart: dict[str, np.ndarray] = {}  # centroids that are known to be no pair to merge
 
     # --- warm-up ---
 
@@ -148,7 +158,8 @@ class Tracker:
     # --- active phase ---
 
     def score(self, v: np.ndarray, p: Profile) -> float:
-        best = sorted((cosine(v, x) for x in (*p.kept, p.centroid)), reverse=True)[:2]
+        own = np.linalg.norm(v)
+        best = sorted((float(v @ x / (own * n)) if own * n > 0 else 0.0 for x, n in p.vectors()), reverse=True)[:2]
         return sum(best) / len(best)
 
     def _normalized(self, raw: dict[str, float]) -> dict[str, float]:
@@ -242,15 +253,26 @@ class Tracker:
             self.profiles[label].seconds += max(0.0, seconds)
 
     def _merge(self) -> dict[str, str]:
-        """Joins profiles alike, the lower label stays; labels in text order."""
+        """Joins profiles alike, the lower label stays; labels in text order. Two profiles whose centroids are those of the
+        last call were compared then."""
         gone: dict[str, str] = {}
+        old = {k for k, p in self.profiles.items() if self.apart.get(k) is p.centroid}
+        new = self.profiles.keys() - old
+        if not new:
+            return gone
         for keep in sorted(self.profiles):
-            for drop in sorted(x for x in self.profiles if x > keep):
-                if keep in self.profiles and cosine(self.profiles[keep].centroid, self.profiles[drop].centroid) >= self.s.merge_at:
+            rest = deque(sorted(x for x in (self.profiles if keep in new else new) if x > keep and x in self.profiles)) if keep in self.profiles else ()
+            while rest:
+                drop = rest.popleft()
+                if cosine(self.profiles[keep].centroid, self.profiles[drop].centroid) >= self.s.merge_at:
                     a, b = self.profiles[keep], self.profiles.pop(drop)
                     a.kept = [*(a.kept or [a.centroid]), *(b.kept or [b.centroid])][-self.s.reservoir :]
                     a.centroid, a.seconds = unit(np.mean(a.kept, 0)), a.seconds + b.seconds
                     gone[drop] = keep
+                    if keep not in new:  # it is another one now, also for those behind
+                        new.add(keep)
+                        rest = deque(sorted(x for x in self.profiles if x > drop))
+        self.apart = {k: p.centroid for k, p in self.profiles.items() if k not in gone.values()}
         return gone
 
 

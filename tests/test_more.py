@@ -405,3 +405,25 @@ def test_wav_samples_come_in_batches_by_size(spark):
     assert [list(p["path"]) for p in got] == [list("abc"), ["d"], list("efgh"), list("ij")]
     assert all(len(p) == 1 or sum(s.nbytes for s in p["samples"]) <= BATCH_BYTES for p in got)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= BATCH_BYTES
+
+
+def test_tracker_merges_compare_only_what_changed(monkeypatch):
+    """Profiles end as by comparing all pairs after each chunk, though pairs that stayed as they were aren't compared again."""
+
+    class Direct(tracking.Tracker):
+        def _merge(self):
+            self.apart = {}
+            return super()._merge()
+
+    r = np.random.default_rng(3)
+    s = tracking.Settings(threshold=0.3, self_similarity=0.3, merge_at=0.4, learn_above=0.35)
+    rows = [(k // 2, f"L{k % 2}", r.normal(size=8) + 0.2, 2.5, 6000.0) for k in range(400)]
+    a, b = tracking.Tracker(s), Direct(s)
+    assert tracking.run_session(rows, a) == tracking.run_session(rows, b)
+    assert a.made > len(a.profiles) > 1, "profiles merged"
+    calls, cosine = [], tracking.cosine
+    monkeypatch.setattr(tracking, "cosine", lambda x, y: calls.append(1) or cosine(x, y))
+    a.place([("L0", None, None)])
+    calls.clear()
+    a.place([("L0", None, None)])
+    assert not calls
