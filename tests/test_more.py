@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
@@ -427,3 +430,28 @@ def test_tracker_merges_compare_only_what_changed(monkeypatch):
     calls.clear()
     a.place([("L0", None, None)])
     assert not calls
+
+
+SMALL = """import sys
+from pyspark.sql import SparkSession, functions as F
+from confab.plans import more
+spark = SparkSession.builder.master("local[2]").config("spark.driver.extraJavaOptions", f"-Dio.netty.maxDirectMemory={48 << 20}").config("spark.ui.enabled", "false").config("spark.local.dir", sys.argv[1]).getOrCreate()
+spark.range(0, 600, 1, 2).select(F.col("id").alias("doc_id"), F.lit(60_000).alias("n_chars")).write.parquet(f"{sys.argv[1]}/documents.parquet")
+x = getattr(more, sys.argv[2])(spark, sys.argv[1]).groupBy("n", "total").count().collect()
+print([tuple(r) for r in x])
+"""
+
+
+@pytest.mark.parametrize("name, first, last", [("wav_range", 400, 1200)])
+def test_signals_cross_in_little_memory(tmp_path, name, first, last):
+    """72 MB of signals (144 MB as files) go to Python and back, in a session that may have 48 MB outside its heap."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run([sys.executable, "-c", SMALL, str(tmp_path), name], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-3000:]
+    assert run.stdout.strip() == str([(last - first, sum(i * 37 % 2000 - 1000 for i in range(first, last)), 600)])
+
+
+def test_pieces_of_empty_rows_end():
+    from confab.session import BATCH_ROWS, pieces
+
+    assert [len(p) for p in pieces(((k,) for k in range(2 * BATCH_ROWS + 1)), ["k"], lambda r: 0)] == [BATCH_ROWS, BATCH_ROWS, 1]
