@@ -442,7 +442,7 @@ print([tuple(r) for r in x])
 """
 
 
-@pytest.mark.parametrize("name, first, last", [("wav_range", 400, 1200)])
+@pytest.mark.parametrize("name, first, last", [("wav_range", 400, 1200), ("wav_round_trip", 0, 60_000)])
 def test_signals_cross_in_little_memory(tmp_path, name, first, last):
     """72 MB of signals (144 MB as files) go to Python and back, in a session that may have 48 MB outside its heap."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
